@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, fingerprint, langid, packing
+from tidemark.llm import bpe, fingerprint, langid, ngram_join, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op3_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -38,7 +42,7 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op9_byte_bpe, op10_one_permutation_minhash)}
+    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op5_prefix_tree_join, op9_byte_bpe, op10_one_permutation_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
