@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, fingerprint, langid, ngram_join, packing
+from tidemark.llm import bpe, fingerprint, langid, ngram_join, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,11 @@ def op3_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return pii.find_personal_data(documents, pii.train_on(documents))
+
+
 def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -42,7 +47,7 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op5_prefix_tree_join, op9_byte_bpe, op10_one_permutation_minhash)}
+    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op4_bilstm_crf_pii, op5_prefix_tree_join, op9_byte_bpe, op10_one_permutation_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
