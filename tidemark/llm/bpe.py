@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.hashing import pieces
 
 #: Pre-tokens remembered by a worker; beyond it the memory starts afresh.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 800_000
 
 _NONE = np.int32(2**31 - 1)
 
@@ -132,7 +132,7 @@ class ByteBPE:
             stay[at + 1] = False
             new_at = (np.cumsum(stay) - 1)[at]
             owner, symbols, rank = owner[stay], symbols[stay], rank[stay]
-            fresh = np.unique(np.concatenate((new_at, new_at[new_at > 0] - 1)))
+            fresh = np.concatenate((new_at, new_at[new_at > 0] - 1))
             rank[fresh] = _NONE
             fresh = fresh[fresh + 1 < len(symbols)]
             fresh = fresh[owner[fresh] == owner[fresh + 1]]
