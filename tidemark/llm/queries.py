@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprint, langid, ngram_join, packing, pii
+from tidemark.llm import bpe, fingerprint, langid, linededup, ngram_join, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,12 @@ def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op7_segment_edit_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines removed, and length and digest of the text left."""
+    left = linededup.dedupe_lines(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_equal", "n_near", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -47,7 +54,7 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op4_bilstm_crf_pii, op5_prefix_tree_join, op9_byte_bpe, op10_one_permutation_minhash)}
+    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op4_bilstm_crf_pii, op5_prefix_tree_join, op7_segment_edit_line_dedup, op9_byte_bpe, op10_one_permutation_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
