@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm.hashing import pieces
+from tidemark.llm.storage import map_batches
 
 #: Pre-tokens remembered by a worker; beyond it the memory starts afresh.
 MEMORY_WORDS = 800_000
@@ -204,7 +205,7 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "ids", "decoded"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+    return map_batches(documents.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, decoded string")
 
 
 def digest_documents(documents: DataFrame, path: str) -> DataFrame:
@@ -223,4 +224,4 @@ def digest_documents(documents: DataFrame, path: str) -> DataFrame:
                 of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(documents.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

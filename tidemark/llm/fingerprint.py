@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import distinct_shingles, mix
+from tidemark.llm.storage import map_batches
 
 BINS = 256
 BITS = 4
@@ -92,7 +93,7 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1)), pa.string())], ["doc_id", "fingerprint"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fingerprint string")
+    return map_batches(documents.select("doc_id", "text"), run, "doc_id bigint, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -126,7 +127,7 @@ def _following(documents: DataFrame, bucket_rows: int) -> DataFrame:
             table = pa.table({"bucket": bucket_of(batch.column(0)), "head": batch.column(0)}).group_by("bucket").aggregate([("head", "max")])
             yield from table.select(["bucket", "head_max"]).rename_columns(["bucket", "head"]).combine_chunks().to_batches()
 
-    found = docs.select("doc_id").mapInArrow(summarise, "bucket bigint, head bigint").groupBy("bucket").agg(F.max("head").alias("head")).collect()
+    found = map_batches(docs.select("doc_id"), summarise, "bucket bigint, head bigint").groupBy("bucket").agg(F.max("head").alias("head")).collect()
     heads = {r["bucket"]: r["head"] for r in found}
     there = sorted(heads)
     before = {b: there[i - 1] for i, b in enumerate(there)}  # the first follows the last
@@ -140,7 +141,7 @@ def _following(documents: DataFrame, bucket_rows: int) -> DataFrame:
                 part = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array([before[int(own[i])] for i in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()), part.column(0), part.column(1)], ["bucket", "extra", "doc_id", "text"])
 
-    return docs.mapInArrow(deal, "bucket bigint, extra int, doc_id bigint, text string")
+    return map_batches(docs, deal, "bucket bigint, extra int, doc_id bigint, text string")
 
 
 def compare_neighbours(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -188,4 +189,4 @@ def compare_neighbours(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) ->
             )
 
     placed = _following(documents, bucket_rows).repartition("bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    return placed.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_batches(placed, run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

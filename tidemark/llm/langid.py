@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.hashing import pieces
+from tidemark.llm.storage import map_batches
 
 PROFILE_GRAMS = 400
 SAMPLE_DOCUMENTS = 2000
@@ -129,7 +130,7 @@ def fit_profiles(documents: DataFrame, limit: int = PROFILE_GRAMS, sample: int =
                     grams, n = np.unique(np.concatenate(codes), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = chosen.select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_batches(chosen.select("text", "lang"), count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
     ranked: dict[str, list[int]] = {lang: [] for lang in sizes}
@@ -148,7 +149,7 @@ def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
                 found = [profiles.predict(x) for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_batches(documents.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(documents: DataFrame, profiles: Profiles) -> DataFrame:
@@ -168,4 +169,4 @@ def keep_identified(documents: DataFrame, profiles: Profiles) -> DataFrame:
                 columns = [lang if n == "lang" else part.column(i) for i, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([x != UNKNOWN for x in found]))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_batches(documents, run, documents.schema)

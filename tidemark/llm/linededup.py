@@ -29,11 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import BROADCAST_ROWS, materialize, small
 
 THRESHOLD = 2
 LEAST_CHARS = 30
-BROADCAST_ROWS = 500_000
 
 _LAST = 2**63 - 1
 
@@ -137,11 +136,6 @@ def _name(k1: Column) -> Column:
     return k1.bitwiseAND(F.lit(-2))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` to be broadcast if it has at most so many rows, all of fixed width."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_chars: int, broadcast_rows: int) -> DataFrame:
     """k1 and k2 of the distinct lines that have an earlier line within the threshold."""
     keys = classes.select(_name(F.col("k1")).alias("name"), F.posexplode("keys").alias("at", "key")).where("key is not null")
@@ -156,7 +150,7 @@ def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_c
     pairs = materialize(pairs, "line-pairs")
 
     wanted = materialize(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct(), "line-names")
-    texts = _lines(documents, least_chars).withColumn("name", _name(F.col("k1"))).join(_small(wanted, broadcast_rows), "name", "left_semi")
+    texts = _lines(documents, least_chars).withColumn("name", _name(F.col("k1"))).join(small(wanted, broadcast_rows), "name", "left_semi")
     texts = materialize(texts.select("name", "line", "k1", "k2").distinct(), "line-texts")
     left, right = (texts.select(F.col("name").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("line", "k1", "k2"))) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
@@ -178,7 +172,7 @@ def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars
     near = near_lines(documents, classes, threshold, least_chars, broadcast_rows).withColumn("near", F.lit(True))
     marked = classes.select("k1", "k2", "first", "n").join(near, ["k1", "k2"], "left").where("n > 1 or near")
     marked = materialize(marked.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-marks")
-    found = lines.select("k1", "k2", "place").join(_small(marked, broadcast_rows), ["k1", "k2"]).where("near or place <> first")
+    found = lines.select("k1", "k2", "place").join(small(marked, broadcast_rows), ["k1", "k2"]).where("near or place <> first")
     return found.select("place.doc", "place.number", "near").distinct()
 
 
@@ -188,8 +182,8 @@ def dedupe_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars:
     found = repeated_lines(documents, threshold, least_chars, broadcast_rows)
     by_doc = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("number").alias("_gone"), F.sum((~F.col("near")).cast("bigint")).alias("_equal"), F.sum(F.col("near").cast("bigint")).alias("_near"))
     by_doc = materialize(by_doc, "line-gone")
-    small = by_doc.agg(F.coalesce(F.sum(F.size("_gone") + 4), F.lit(0))).first()[0] <= broadcast_rows
-    joined = documents.withColumn("_doc", F.coalesce("doc_id", F.lit(_LAST))).join(F.broadcast(by_doc) if small else by_doc, "_doc", "left")
+    few = by_doc.agg(F.coalesce(F.sum(F.size("_gone") + 4), F.lit(0))).first()[0] <= broadcast_rows
+    joined = documents.withColumn("_doc", F.coalesce("doc_id", F.lit(_LAST))).join(F.broadcast(by_doc) if few else by_doc, "_doc", "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
     columns = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in documents.columns]

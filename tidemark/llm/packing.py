@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encoded
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import map_batches, materialize, ship
 
 WINDOW = 2048
 END_ID = 1
@@ -118,11 +118,12 @@ def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id:
                 columns, names = [*columns, pa.array(own, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA + (", ids array<int>" if keep_ids else ""))
+    return map_batches(documents.select("doc_id", "text"), run, PIECE_SCHEMA + (", ids array<int>" if keep_ids else ""))
 
 
 def pack_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, block_pieces: int = BLOCK_PIECES, keep_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset; padding follows each sequence's last piece."""
+    ship(documents.sparkSession)
     pieces = materialize(cut_documents(documents, path, window, end_id, keep_ids), "pieces")
     blocks = max(1, math.ceil(pieces.count() / block_pieces))
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")

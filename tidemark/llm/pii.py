@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import pieces
+from tidemark.llm.storage import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 80, 40
@@ -509,7 +510,7 @@ def find_personal_data(documents: DataFrame, net: Network) -> DataFrame:
                 digests = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, digests, pa.array([joined(x) for _, x in found], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return map_batches(documents.select("doc_id", "text"), run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def redact(documents: DataFrame, net: Network) -> DataFrame:
@@ -526,4 +527,4 @@ def redact(documents: DataFrame, net: Network) -> DataFrame:
                 clean = pa.array([t if t is None else redacted(t, x) for t, (_, x) in zip(texts, found)], pa.string())
                 yield pa.RecordBatch.from_arrays([clean if i == at else part.column(i) for i in range(part.num_columns)], part.schema.names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_batches(documents, run, documents.schema)

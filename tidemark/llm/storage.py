@@ -1,4 +1,4 @@
-"""Tables that cut lineage, kept where every executor can read them.
+"""What operators need of the cluster: shared tables and shipped code.
 
 An operator whose input would otherwise be computed twice, or whose plan
 would grow with each iteration, writes it once as Parquet below the folder
@@ -9,12 +9,49 @@ and nothing more.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers each that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 500_000
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this subpackage to the executors once for each application.
+
+    Workers then import it wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(here)
+    folder = tempfile.mkdtemp(prefix="tidemark-")  # the driver serves the file from there
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"tidemark-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w") as file:
+        file.write(os.path.join(top, "__init__.py"), "tidemark/__init__.py")
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                file.write(os.path.join(here, name), f"tidemark/llm/{name}")
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with this subpackage there for the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +78,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has at most so many rows.
+
+    For tables of a few fixed-width columns; beyond that size the join
+    shuffles, to the same result.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later plan reads."""
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
