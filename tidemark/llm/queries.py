@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprint, langid, linededup, ngram_join, packing, pii
+from tidemark.llm import bpe, fingerprint, langid, linededup, ngram_join, packing, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op6_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op7_segment_edit_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines removed, and length and digest of the text left."""
     left = linededup.dedupe_lines(_table(spark, sf_dir, "documents"))
@@ -54,7 +58,7 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op4_bilstm_crf_pii, op5_prefix_tree_join, op7_segment_edit_line_dedup, op9_byte_bpe, op10_one_permutation_minhash)}
+    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op4_bilstm_crf_pii, op5_prefix_tree_join, op6_robust_quality, op7_segment_edit_line_dedup, op9_byte_bpe, op10_one_permutation_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
