@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprint, langid, linededup, ngram_join, packing, pii, quality
+from tidemark.llm import bpe, fingerprint, langid, linededup, ngram_join, packing, pii, quality, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,28 @@ def op7_segment_edit_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_equal", "n_near", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    urlfilter.Rule("com", "/", "allow"),
+    urlfilter.Rule("example.com", "/en/", "block"),
+    urlfilter.Rule("www.example.com", "/en/", "allow"),
+    urlfilter.Rule("net", "/es/", "block"),
+    urlfilter.Rule("net", "/fr/", "block"),
+]
+
+
+#: Words in the hosts of URLs that count as labelled block; other
+#: URLs count as labelled allow.  The model itself sees no words.
+URL_SEEDS = ("casino", "bets", "pills", "ads", "loans", "replica")
+
+
+def op8_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    host = urlfilter.host_and_path(F.col("url"))[0]
+    labelled = pages.select("url", F.rlike(host, F.lit(rf"(^|[.-])({'|'.join(URL_SEEDS)})([.-]|$)")).alias("blocked"))
+    return urlfilter.judge(pages, URL_RULES, urlfilter.fit(labelled))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -58,7 +80,7 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op4_bilstm_crf_pii, op5_prefix_tree_join, op6_robust_quality, op7_segment_edit_line_dedup, op9_byte_bpe, op10_one_permutation_minhash)}
+    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op4_bilstm_crf_pii, op5_prefix_tree_join, op6_robust_quality, op7_segment_edit_line_dedup, op8_boosted_url_filter, op9_byte_bpe, op10_one_permutation_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
