@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprint, langid, linededup, ngram_join, packing, pii, quality, urlfilter
+from tidemark.llm import bpe, fingerprint, langid, linededup, ngram_join, packing, pii, quality, quotes, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.thread_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return langid.identify(documents, langid.fit_profiles(documents))
@@ -80,7 +84,7 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_rank_order_language, op3_minimum_slack_packing, op4_bilstm_crf_pii, op5_prefix_tree_join, op6_robust_quality, op7_segment_edit_line_dedup, op8_boosted_url_filter, op9_byte_bpe, op10_one_permutation_minhash)}
+    return {f.__name__: f for f in (op1_quotation_linking, op2_rank_order_language, op3_minimum_slack_packing, op4_bilstm_crf_pii, op5_prefix_tree_join, op6_robust_quality, op7_segment_edit_line_dedup, op8_boosted_url_filter, op9_byte_bpe, op10_one_permutation_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
