@@ -1 +1 @@
-
+"""Batch operators on event logs."""

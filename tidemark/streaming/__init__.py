@@ -1 +1 @@
-
+"""The pipeline over unbounded logs."""
