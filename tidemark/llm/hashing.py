@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 _BASE = 0x9E6C63D0876A9A47 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

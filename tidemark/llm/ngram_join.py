@@ -14,12 +14,16 @@ component of the link graph.
     class there; linking classes share a block.  A block too large for a task
     is dealt into chunks, and every pair of chunks is joined on its own, so a
     task's size is bounded and no pair is lost.
-4.  In a task the sets, most frequent shingle first, lie in a prefix tree
+4.  Each class has a parity sketch, one bit for each bucket of shingles, of
+    about one bit for each of its shingles.  Differing bits bound the
+    symmetric difference from below, so most chance meetings end here and
+    only classes with a possible partner in the task send their sets there.
+5.  In a task the sets, most frequent shingle first, lie in a prefix tree
     with shared stretches joined into one node.  A set walks down the tree,
     carrying its overlap with the path; a subtree is left when the lengths
     that remain cannot reach the threshold any more, and classes connected
     already are not compared again.
-5.  The links found span the components, which star rounds then join.
+6.  The links found span the components, which star rounds then join.
 
 Texts without words, and null texts, have empty sets and are alone:
 component_id is their doc_id.  Documents without doc_id take part; a
@@ -39,13 +43,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
 from tidemark.llm.hashing import distinct_shingles, mix
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import map_batches, materialize, small
 
 CELL_BITS = 20
 CHUNK_SETS = 1500
 CHUNK_SHINGLES = 1_500_000
 
 _NO_ID = -(2**63)
+_ROW_CELLS = 64
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
@@ -59,6 +64,46 @@ def class_of(hashes: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the hashes' buckets in 64-bit words; the number of buckets
+    is the power of two of at most the set's size, 64 at least."""
+    buckets = max(64, 1 << (len(hashes).bit_length() - 1))
+    at = (hashes & np.uint64(buckets - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=buckets) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def possible_links(sizes: np.ndarray, sketches: list[np.ndarray], sides: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each set may link with another one (of the other side, if there
+    are two), as far as sizes and sketches tell."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, sides = sizes[order], sides[order]
+    own = [sketches[i] for i in order]
+    across = bool((sides != sides[0]).any())
+    widths = np.array([len(x) for x in own])
+    levels = {int(w): (int(np.searchsorted(widths, w, "left")), int(np.searchsorted(widths, w, "right"))) for w in np.unique(widths)}
+    tables = {w: np.stack(own[a:b]) for w, (a, b) in levels.items()}
+    found = np.zeros(len(sizes), bool)
+    for i in range(len(sizes)):
+        last = int(np.searchsorted(sizes * percent, 100 * sizes[i], "right"))
+        for width, (a, b) in levels.items():
+            first, end = max(a, i + 1), min(b, last)
+            if first >= end:
+                continue
+            rows = tables[width][first - a : end - a]
+            while rows.shape[1] > widths[i]:  # buckets fold in halves
+                rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+            apart = np.bitwise_count(rows ^ own[i]).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * (sizes[first:end] + sizes[i])
+            if across:
+                near &= sides[first:end] != sides[i]
+            if near.any():
+                found[i] = True
+                found[first:end] |= near
+    out = np.empty(len(found), bool)
+    out[order] = found
+    return out
+
+
 def shingle_frequencies(documents: DataFrame, width: int) -> np.ndarray:
     """Documents per hash cell, over all documents."""
 
@@ -73,33 +118,36 @@ def shingle_frequencies(documents: DataFrame, width: int) -> np.ndarray:
                     held = []
             if held:
                 total += np.bincount(np.concatenate(held), minlength=len(total))
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
+        table = total.reshape(-1, _ROW_CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table), dtype=np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], ["row", *names])
 
-    found = documents.select("text").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
+    names = [f"n{k}" for k in range(_ROW_CELLS)]
+    counts = map_batches(documents.select("text"), count, "row int, " + ", ".join(f"{n} bigint" for n in names))
+    found = counts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    out = np.zeros((1 << CELL_BITS) // _ROW_CELLS * _ROW_CELLS, np.int64).reshape(-1, _ROW_CELLS)
+    out[found["row"].to_numpy()] = np.stack([found[n].to_numpy() for n in names], axis=1)
+    return out.ravel()
 
 
 def _signatures(documents: DataFrame, width: int, percent: int, frequencies) -> DataFrame:
-    """doc_id, n, c1, c2 (the class) and the rarest shingles of each document."""
+    """doc_id, a hash of the text, n, c1, c2 (the class), sketch and the rarest shingles of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequencies.value
         for batch in batches:
-            sizes, one, two, rare = [], [], [], []
+            sizes, one, two, sketch, rare = [], [], [], [], []
             for hashes in distinct_shingles(batch.column(1), width):
                 n = len(hashes)
                 sizes.append(n)
                 a, b = class_of(hashes) if n else (None, None)
                 one.append(a)
                 two.append(b)
+                sketch.append(parity_sketch(hashes).tobytes() if n else None)
                 order = np.argsort(often[_cells(hashes)], kind="stable")[: n + percent * n // -100 + 1 if n else 0]
                 rare.append(hashes[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "n", "c1", "c2", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketch, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "mark", "n", "c1", "c2", "sketch", "rare"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, c1 bigint, c2 bigint, rare array<bigint>")
+    return map_batches(documents.select("doc_id", "text", F.xxhash64("text").alias("mark")), run, "doc_id bigint, mark bigint, n bigint, c1 bigint, c2 bigint, sketch binary, rare array<bigint>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -115,7 +163,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
                 sets.append(hashes.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["c1", "c2", "shingles"])
 
-    return texts.select("text").mapInArrow(run, "c1 bigint, c2 bigint, shingles array<bigint>")
+    return map_batches(texts.select("text"), run, "c1 bigint, c2 bigint, shingles array<bigint>")
 
 
 class PrefixTree:
@@ -266,71 +314,125 @@ def spanning_links(sets: list[np.ndarray], sides: np.ndarray, frequencies: np.nd
     return links
 
 
-def _block_links(rows: DataFrame, frequencies, percent: int) -> DataFrame:
-    """Links within each (hub, i, j), whose rows come after one another."""
-    names = ["hub", "i", "j", "chunk", "c1", "c2", "shingles"]
+def _by_task(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run(task rows as an Arrow table, sides)`` for each task (hub, i, j).
 
-    def links(group: list[tuple]) -> Iterator[tuple[str, str]]:
-        own = {(r[4], r[5]): r for r in group}
-        rows = list(own.values())
-        if len(rows) < 2:
-            return
-        i, j = rows[0][1], rows[0][2]
-        sides = np.array([0 if i == j or r[3] == i else 1 for r in rows])
-        if i != j and (sides == sides[0]).all():
-            return
-        name = [f"{r[4] & 2**64 - 1:016x}{r[5] & 2**64 - 1:016x}" for r in rows]
-        for a, b in spanning_links([r[6].view(np.uint64) for r in rows], sides, frequencies.value, percent):
-            yield name[a], name[b]
+    ``rows`` starts with hub, i, j and chunk; the sides are 0 and 1 for the
+    two chunks of a pair.  Tasks whose rows cannot pair are left out.
+    """
+    keys = ["hub", "i", "j"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, out = None, [], []
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts)
+            if len(table) < 2:
+                return
+            i, j, chunk = table["i"][0].as_py(), table["j"][0].as_py(), table["chunk"].to_numpy()
+            sides = np.zeros(len(table), np.int64) if i == j else (chunk != i).astype(np.int64)
+            if i == j or (sides != sides[0]).any():
+                yield from run(table, sides)
+
+        parts, key = [], None
         for batch in batches:
-            sets = batch.column(6)
-            bounds, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
-            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
-                if row[:3] != key:
-                    out.extend(links(group))
-                    key, group = row[:3], []
-                group.append((*row, flat[bounds[k] : bounds[k + 1]].copy()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out])], ["u", "v"])
-                out = []
-        out.extend(links(group))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], ["u", "v"])
+            marks = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if tuple(marks[:, a]) != key:
+                    if parts:
+                        yield from closed(parts)
+                    parts, key = [], tuple(marks[:, a])
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from closed(parts)
 
-    keys = ["hub", "i", "j"]
-    return rows.select(*names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u string, v string")
+    return map_batches(rows.repartition(*keys).sortWithinPartitions(*keys), each, schema)
 
 
-def link_components(documents: DataFrame, width: int = 5, percent: int = 80, chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _possible(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of each task that have a possible partner there."""
+
+    def run(table: pa.Table, sides: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sketches = [np.frombuffer(x, np.uint64) for x in table["sketch"].to_pylist()]
+        found = possible_links(table["n"].to_numpy(), sketches, sides, percent)
+        if found.any():
+            yield from table.select(["hub", "i", "j", "chunk", "c1", "c2"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    return _by_task(rows.select("hub", "i", "j", "chunk", "c1", "c2", "n", "sketch"), run, "hub bigint, i int, j int, chunk int, c1 bigint, c2 bigint")
+
+
+def _links(rows: DataFrame, frequencies, percent: int) -> DataFrame:
+    """Links that span each task's components."""
+
+    def run(table: pa.Table, sides: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sets = [x.values.to_numpy().view(np.uint64) for x in table["shingles"]]
+        found = spanning_links(sets, sides, frequencies.value, percent)
+        if found:
+            names = [f"{a & 2**64 - 1:016x}{b & 2**64 - 1:016x}" for a, b in zip(table["c1"].to_pylist(), table["c2"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in found]), pa.array([names[b] for _, b in found])], ["u", "v"])
+
+    return _by_task(rows.select("hub", "i", "j", "chunk", "c1", "c2", "shingles"), run, "u string, v string")
+
+
+def _linked(documents: DataFrame, width: int, percent: int, chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """doc_id, hash of the text, set size, component and its least doc_id of every document."""
     context = documents.sparkSession.sparkContext
     frequencies = context.broadcast(shingle_frequencies(documents, width))
     members = materialize(_signatures(documents, width, percent, frequencies), "signatures")
-    classes = members.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("least"), F.first("rare").alias("rare"))
-    classes = materialize(classes, "classes")
+    filled = members.where("n > 0")
+    classes = materialize(filled.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("least")), "classes")
 
-    posts = classes.select("c1", "c2", "n", F.explode("rare").alias("shingle")).repartition("shingle")
-    hubs = posts.groupBy("shingle").agg(F.min("c1").alias("hub"), F.count(F.lit(1)).alias("there")).where("there > 1").select("shingle", "hub")
-    blocks = materialize(posts.join(hubs, "shingle").select("hub", "c1", "c2", "n").distinct(), "blocks")
+    # c1 alone stands for a class until the blocks are known: two classes that share it only widen a block
+    rare = filled.groupBy("c1", "c2").agg(F.first("rare").alias("rare"))
+    posts = rare.select("c1", F.explode("rare").alias("shingle")).repartition("shingle")
+    hubs = posts.groupBy("shingle").agg(F.min("c1").alias("hub"), F.max("c1").alias("last")).where("hub <> last").select("shingle", "hub")
+    blocks = materialize(posts.join(hubs, "shingle").select("hub", "c1").distinct(), "blocks")
 
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / chunk_shingles)).cast("int")
-    dealt = blocks.join(blocks.groupBy("hub").agg(chunks.alias("chunks")), "hub")
+    sizes = blocks.join(classes.select("c1", "n"), "c1").groupBy("hub").agg(chunks.alias("chunks"))
+    sketches = filled.groupBy("c1", "c2", "n").agg(F.first("sketch").alias("sketch"))
+    dealt = blocks.join(sizes, "hub").join(sketches, "c1")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("c1", "c2"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("hub", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "c1", "c2")
+    dealt = dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    possible = materialize(_possible(dealt, percent), "possible")
 
-    wanted = blocks.select("c1", "c2").distinct().join(classes.select("c1", "c2", "least"), ["c1", "c2"])
-    wanted = wanted.select(F.coalesce("least", F.lit(_NO_ID)).alias("id")).distinct()
-    texts = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(wanted, "id", "left_semi")
+    wanted = possible.select("c1", "c2").distinct().join(classes.select("c1", "c2", "least"), ["c1", "c2"])
+    wanted = materialize(wanted.select(F.coalesce("least", F.lit(_NO_ID)).alias("id")).distinct(), "wanted")
+    texts = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(small(wanted), "id", "left_semi")
     sets = _sets(texts, width).dropDuplicates(["c1", "c2"])
-    links = _block_links(dealt.join(sets, ["c1", "c2"]), frequencies, percent)
+    links = _links(possible.join(sets, ["c1", "c2"]), frequencies, percent)
 
     roots = components(links)
     node = F.concat(F.lpad(F.lower(F.hex("c1")), 16, "0"), F.lpad(F.lower(F.hex("c2")), 16, "0"))
     named = classes.select("c1", "c2", "least", node.alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named.select("c1", "c2", "least", "root"), "roots")
-    found = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("c1", "c2", "component_id")
-    out = members.select("doc_id", "n", "c1", "c2").join(found, ["c1", "c2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("c1", "c2", "root", "component_id")
+    out = members.select("doc_id", "mark", "n", "c1", "c2").join(found, ["c1", "c2"], "left")
+    return out.select("doc_id", "mark", "n", "root", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def link_components(documents: DataFrame, width: int = 5, percent: int = 80, chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    found = _linked(documents, width, percent, chunk_sets, chunk_shingles)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one row of each component, that of the least doc_id
+    (then of the least hash of the text).
+
+    Documents without words all stay, as do all columns.
+    """
+    marked = documents.withColumns({"_id": F.coalesce("doc_id", F.lit(_NO_ID)), "_mark": F.xxhash64("text")})
+    linked = materialize(_linked(documents, width, percent).where("n > 0"), "linked").withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "_id", "mark")
+    first = linked.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("there")).where("there > 1")
+    rows = linked.join(first, "root").select("_id", F.col("mark").alias("_mark"), (F.col("first") == place).alias("stays"))
+    stays = materialize(rows.groupBy("_id", "_mark").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times")), "stays")
+    gone, again = stays.where("not stays").select("_id", "_mark"), stays.where("stays and times > 1").select("_id", "_mark")
+    kept = marked.join(small(gone), ["_id", "_mark"], "left_anti")
+    if again.limit(1).count():  # equal rows of one doc_id
+        kept = kept.join(small(again), ["_id", "_mark"], "left_anti").union(kept.join(small(again), ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]))
+    return kept.select(*documents.columns)
