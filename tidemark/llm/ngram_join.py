@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
 from tidemark.llm.hashing import distinct_shingles, mix
-from tidemark.llm.storage import map_batches, materialize, small
+from tidemark.llm.storage import map_batches, materialize, small, unused
 
 CELL_BITS = 20
 CHUNK_SETS = 1500
@@ -425,14 +425,15 @@ def keep_one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     Documents without words all stay, as do all columns.
     """
-    marked = documents.withColumns({"_id": F.coalesce("doc_id", F.lit(_NO_ID)), "_mark": F.xxhash64("text")})
-    linked = materialize(_linked(documents, width, percent).where("n > 0"), "linked").withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "_id", "mark")
+    at, mark = unused(documents, "at", "mark")
+    marked = documents.withColumns({at: F.coalesce("doc_id", F.lit(_NO_ID)), mark: F.xxhash64("text")})
+    linked = materialize(_linked(documents, width, percent).where("n > 0"), "linked").withColumn("at", F.coalesce("doc_id", F.lit(_NO_ID)))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "at", "mark")
     first = linked.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("there")).where("there > 1")
-    rows = linked.join(first, "root").select("_id", F.col("mark").alias("_mark"), (F.col("first") == place).alias("stays"))
-    stays = materialize(rows.groupBy("_id", "_mark").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times")), "stays")
-    gone, again = stays.where("not stays").select("_id", "_mark"), stays.where("stays and times > 1").select("_id", "_mark")
-    kept = marked.join(small(gone), ["_id", "_mark"], "left_anti")
+    rows = linked.join(first, "root").select(F.col("at").alias(at), F.col("mark").alias(mark), (F.col("first") == place).alias("stays"))
+    stays = materialize(rows.groupBy(at, mark).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times")), "stays")
+    gone, again = stays.where("not stays").select(at, mark), stays.where("stays and times > 1").select(at, mark)
+    kept = marked.join(small(gone), [at, mark], "left_anti")
     if again.limit(1).count():  # equal rows of one doc_id
-        kept = kept.join(small(again), ["_id", "_mark"], "left_anti").union(kept.join(small(again), ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]))
+        kept = kept.join(small(again), [at, mark], "left_anti").unionByName(kept.join(small(again), [at, mark], "left_semi").dropDuplicates([at, mark]))
     return kept.select(*documents.columns)

@@ -87,6 +87,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later plan reads."""
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
