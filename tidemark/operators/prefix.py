@@ -40,8 +40,9 @@ def running(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str]
     total = {"sum": F.sum, "max": F.max}
     inside = Window.partitionBy(*keys, block).orderBy(*order)
     ends = {True: Window.currentRow, False: -1}
-    local = df.withColumns({f"_{n}": total[kind](value).over(inside.rowsBetween(Window.unboundedPreceding, ends[own])) for n, (kind, value, own) in wanted.items()})
-    totals = df.groupBy(*keys, block).agg(*[total[kind](value).alias(f"_t_{n}") for n, (kind, value, _) in wanted.items()])
+    dealt = df.repartition(*keys, block)  # one exchange, read by the window and by the totals
+    local = dealt.withColumns({f"_{n}": total[kind](value).over(inside.rowsBetween(Window.unboundedPreceding, ends[own])) for n, (kind, value, own) in wanted.items()})
+    totals = dealt.groupBy(*keys, block).agg(*[total[kind](value).alias(f"_t_{n}") for n, (kind, value, _) in wanted.items()])
     earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     sums = totals.select(*keys, block, *[total[kind](f"_t_{n}").over(earlier).alias(f"_b_{n}") for n, (kind, *_) in wanted.items()])
     joined = local.join(sums, [*keys, block])
