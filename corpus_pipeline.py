@@ -40,9 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = linededup.dedupe_lines(docs)
-    bare = (F.col("n_equal") + F.col("n_near") > 0) & (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) == "")
-    return _measured(left.where(~F.coalesce(bare, F.lit(False))).select(*docs.columns))
+    return _measured(linededup.dedupe_lines(docs, drop_emptied=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def test_ids_and_texts(library):
     assert [own.decode(x) for x in ids] == [library.decode(x.ids, skip_special_tokens=False) for x in expected]
 
 
-def test_memory_starts_afresh(monkeypatch, library):
+def test_memory_forgets(monkeypatch, library):
     monkeypatch.setattr(bpe, "MEMORY_WORDS", 10)
     own = bpe.ByteBPE(PATH)
     for n in range(20):

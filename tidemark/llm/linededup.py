@@ -14,8 +14,12 @@ bit-parallel edit distance: the 2 * threshold + 1 cells of each column around
 the diagonal lie in one integer of vertical differences.
 
 Everything is DataFrame expressions.  Equal lines are merged before any line
-is paired, keys that one distinct line alone holds leave before the join, and
-texts of lines move only for candidates.  Tables are broadcast when their
+is compared, keys that one distinct line alone holds leave before the join,
+and texts of lines move only for candidates.  Lines that share a key are
+compared through lists of at most about ``CHUNK_LINES`` lines, first by the
+parities of their letters, then by distance, up to the first earlier line that
+is near; pairs are never rows, so a key that many lines share makes rows in
+proportion to the lines and the lists.  Tables are broadcast when their
 counted rows, all of fixed width, stay under ``BROADCAST_ROWS``, and shuffled
 else, to the same result.
 
@@ -29,21 +33,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import BROADCAST_ROWS, materialize, small
+from tidemark.llm.storage import BROADCAST_ROWS, materialize, small, unused
 
 THRESHOLD = 2
 LEAST_CHARS = 30
+CHUNK_LINES = 128
 
 _LAST = 2**63 - 1
 
 
-def segment(length: Column, number: int, threshold: int) -> tuple[Column, Column]:
-    """0-based start and size of a segment of lines of the length."""
-    count = threshold + 1
-    size, larger = F.floor(length / count), count - length % count
-    return size * number + F.greatest(F.lit(number) - larger, F.lit(0)), size + (F.lit(number) >= larger).cast("int")
-
-
 def lookups(threshold: int) -> list[tuple[int, int, int]]:
     """(length difference, segment, shift of its start) of every lookup, the
     line's own segments first."""
@@ -56,16 +54,27 @@ def lookups(threshold: int) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0] or abs(x[2]) > 0, x))
 
 
-def segment_keys(line: Column, threshold: int) -> Column:
-    """Array of lookup keys; the first threshold + 1 are the line's index keys."""
-    own = F.length(line)
+def with_segment_keys(lines: DataFrame, threshold: int, name: str = "keys") -> DataFrame:
+    """``lines`` (column line) with an array of lookup keys, the first
+    threshold + 1 of which are the line's index keys.
+
+    Lines must have at least ``(threshold + 1) ** 2`` code points, so that no
+    lookup leaves the line.
+    """
+    count = threshold + 1
+    own = lines.withColumn("_n", F.length("line"))
+    sizes = {}
+    for less in range(count):
+        size = F.call_function("div", F.col("_n") - less, F.lit(count)).cast("int")
+        sizes |= {f"_s{less}": size, f"_l{less}": F.lit(count) - F.pmod(F.col("_n") - less, F.lit(count))}
+    own = own.withColumns(sizes)
     keys = []
     for less, number, shift in lookups(threshold):
-        start, size = segment(own - less, number, threshold)
-        start = start + shift
-        fits = (start >= 0) & (start + size <= own)
-        keys.append(F.when(fits, F.xxhash64(F.lit(number), (own - less).cast("int"), line.substr((start + 1).cast("int"), size.cast("int")))))
-    return F.array(*keys)
+        size, larger = F.col(f"_s{less}"), F.col(f"_l{less}")
+        start = size * number + F.greatest(F.lit(number) - larger, F.lit(0)) + (shift + 1)
+        width = F.when(larger <= number, size + 1).otherwise(size)
+        keys.append(F.xxhash64(F.lit(number), F.col("_n") - less, F.col("line").substr(start, width)))
+    return own.withColumn(name, F.array(*keys)).drop("_n", *sizes)
 
 
 def within_edits(left: Column, right: Column, threshold: int) -> Column:
@@ -79,8 +88,6 @@ def within_edits(left: Column, right: Column, threshold: int) -> Column:
     """
     bits = 2 * threshold + 1
     full = (1 << bits) - 1
-    rows, columns = F.split(left, ""), F.split(right, "")
-    height, width = F.length(left), F.length(right)
 
     def long(x: int) -> Column:
         return F.lit(x).cast("bigint")
@@ -89,39 +96,50 @@ def within_edits(left: Column, right: Column, threshold: int) -> Column:
         """``use`` of a value that is computed once."""
         return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def equal_rows(j: Column, letter: Column) -> Column:
-        marks = [F.when(F.get(rows, j - 1 - threshold + k) == letter, long(1 << k)).otherwise(long(0)) for k in range(bits)]
-        total = marks[0]
-        for one in marks[1:]:
-            total = total.bitwiseOR(one)
-        return total
+    def distance(rows: Column, columns: Column) -> Column:
+        height, width = F.size(rows), F.size(columns)
 
-    def step(state: Column, j: Column) -> Column:
-        up, down = state["up"], state["down"]
+        def equal_rows(j: Column) -> Column:
+            def marks(letter: Column) -> Column:
+                total = long(0)
+                for k in range(bits):
+                    total = total.bitwiseOR(F.when(F.get(rows, j - 1 - threshold + k) == letter, long(1 << k)).otherwise(long(0)))
+                return total
 
-        def diagonal(equal: Column) -> Column:
-            return (equal.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(equal).bitwiseOR(down).bitwiseAND(long(full))
+            return let(F.get(columns, j - 1), marks)
 
-        def sides(same: Column) -> Column:
-            more = down.bitwiseOR(F.bitwise_not(same.bitwiseOR(up))).bitwiseAND(long(full))
-            return F.struct(same.alias("same"), more.alias("more"), same.bitwiseAND(up).alias("less"))
+        def step(state: Column, j: Column) -> Column:
+            up, down = state["up"], state["down"]
 
-        def close(x: Column) -> Column:
-            moved, place = F.shiftright(x["same"], 1), height - j + threshold
-            edge = long(1) - F.shiftright(x["same"], 2 * threshold).bitwiseAND(long(1))
-            along = F.call_function("shiftright", x["more"], place).bitwiseAND(long(1)) - F.call_function("shiftright", x["less"], place).bitwiseAND(long(1))
-            return F.struct(
-                x["less"].bitwiseOR(F.bitwise_not(moved.bitwiseOR(x["more"]))).bitwiseAND(long(full)).alias("up"),
-                moved.bitwiseAND(x["more"]).alias("down"),
-                (state["distance"] + F.when(j + threshold <= height, edge).otherwise(along)).alias("distance"),
-            )
+            def diagonal(equal: Column) -> Column:
+                return (equal.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(equal).bitwiseOR(down).bitwiseAND(long(full))
 
-        return let(equal_rows(j, F.get(columns, j - 1)), lambda e: let(diagonal(e), lambda d: let(sides(d), close)))
+            def sides(same: Column) -> Column:
+                more = down.bitwiseOR(F.bitwise_not(same.bitwiseOR(up))).bitwiseAND(long(full))
+                return F.struct(same.alias("same"), more.alias("more"), same.bitwiseAND(up).alias("less"))
 
-    start = F.struct(long(full ^ ((1 << threshold) - 1)).alias("up"), long(0).alias("down"), F.least(height, F.lit(threshold)).cast("bigint").alias("distance"))
-    places = F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast("array<int>"))
-    found = F.aggregate(places, start, step)["distance"]
-    return F.when(F.abs(height - width) <= threshold, found <= threshold).otherwise(F.lit(False))
+            def close(x: Column) -> Column:
+                moved, place = F.shiftright(x["same"], 1), height - j + threshold
+                edge = long(1) - F.shiftright(x["same"], 2 * threshold).bitwiseAND(long(1))
+                along = F.call_function("shiftright", x["more"], place).bitwiseAND(long(1)) - F.call_function("shiftright", x["less"], place).bitwiseAND(long(1))
+                return F.struct(
+                    x["less"].bitwiseOR(F.bitwise_not(moved.bitwiseOR(x["more"]))).bitwiseAND(long(full)).alias("up"),
+                    moved.bitwiseAND(x["more"]).alias("down"),
+                    (state["distance"] + F.when(j + threshold <= height, edge).otherwise(along)).alias("distance"),
+                )
+
+            # diagonals never fall, and the band is 2 * threshold wide
+            return F.when(state["distance"] > 3 * threshold, state).otherwise(let(equal_rows(j), lambda e: let(diagonal(e), lambda d: let(sides(d), close))))
+
+        start = F.struct(long(full ^ ((1 << threshold) - 1)).alias("up"), long(0).alias("down"), F.least(height, F.lit(threshold)).cast("bigint").alias("distance"))
+        places = F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, start, step)["distance"]
+
+    def letters(x: Column) -> Column:
+        return F.when(F.length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>"))
+
+    found = let(letters(left), lambda rows: let(letters(right), lambda columns: distance(rows, columns)))
+    return F.when(F.abs(F.length(left) - F.length(right)) <= threshold, found <= threshold).otherwise(F.lit(False))
 
 
 def _lines(documents: DataFrame, least_chars: int) -> DataFrame:
@@ -136,56 +154,98 @@ def _name(k1: Column) -> Column:
     return k1.bitwiseAND(F.lit(-2))
 
 
-def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_chars: int, broadcast_rows: int) -> DataFrame:
+#: Letters whose parities make a line's signature; an edit changes two at most.
+_SIGNED = "abcdefghijklmnopqrstuvwxyz "
+
+
+def signature(line: Column) -> Column:
+    """Parities of the counts of some letters as bits of a long."""
+    total = F.lit(0).cast("bigint")
+    for place, letter in enumerate(_SIGNED):
+        odd = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).cast("bigint").bitwiseAND(F.lit(1))
+        total = total.bitwiseOR(F.shiftleft(odd, place))
+    return total
+
+
+def _against_chunks(rows: DataFrame, entry: list[str], met, chunk_lines: int) -> DataFrame:
+    """``rows`` (key, ...) for which ``met(row, other)`` holds for any other
+    row of their key, with columns ``entry`` of the others at hand.
+
+    A key's rows are dealt into chunks of about ``chunk_lines``; each row goes
+    through every chunk's list, so a list's size is bounded and a pair is
+    never a row of its own.
+    """
+    chunks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk_lines).cast("int").alias("chunks"))
+    dealt = rows.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
+    lists = dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct(*entry)).alias("others"))
+    asking = dealt.drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return asking.join(lists, ["key", "chunk"]).where(F.exists("others", met)).drop("others", "chunk", "chunks")
+
+
+def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_chars: int, broadcast_rows: int, chunk_lines: int) -> DataFrame:
     """k1 and k2 of the distinct lines that have an earlier line within the threshold."""
-    keys = classes.select(_name(F.col("k1")).alias("name"), F.posexplode("keys").alias("at", "key")).where("key is not null")
+    keys = classes.select(_name(F.col("k1")).alias("name"), F.posexplode("keys").alias("at", "key"))
     posts = keys.select("key", F.col("name").bitwiseOR((F.col("at") > threshold).cast("bigint")).alias("post")).repartition("key")
     shared = posts.groupBy("key").agg(F.min("post").alias("low"), F.max("post").alias("high"), F.min(F.col("post").bitwiseAND(F.lit(1))).alias("index"))
     shared = shared.where((_name(F.col("low")) != _name(F.col("high"))) & (F.col("index") == 0)).select("key")
-    posts = materialize(posts.join(shared.hint("shuffle_hash"), "key"), "line-posts")
+    posts = posts.join(shared.hint("shuffle_hash"), "key").groupBy("key", _name(F.col("post")).alias("name"))
+    posts = materialize(posts.agg((F.min(F.col("post").bitwiseAND(F.lit(1))) == 0).alias("indexed")), "line-posts")
 
-    indexed = posts.where(F.col("post").bitwiseAND(F.lit(1)) == 0).select("key", F.col("post").alias("a"))
-    asking = posts.select("key", _name(F.col("post")).alias("b"))
-    pairs = indexed.join(asking, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "line-pairs")
-
-    wanted = materialize(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct(), "line-names")
+    wanted = materialize(posts.select("name").distinct(), "line-names")
     texts = _lines(documents, least_chars).withColumn("name", _name(F.col("k1"))).join(small(wanted, broadcast_rows), "name", "left_semi")
-    texts = materialize(texts.select("name", "line", "k1", "k2").distinct(), "line-texts")
-    left, right = (texts.select(F.col("name").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("line", "k1", "k2"))) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    links = both.where(within_edits(F.col("line_a"), F.col("line_b"), threshold)).select("k1_a", "k2_a", "k1_b", "k2_b")
-    links = materialize(links, "line-links")
+    texts = texts.groupBy("name", "k1", "k2", "line").agg(F.min("place").alias("place"))
+    texts = materialize(texts.withColumn("signature", signature(F.col("line"))), "line-texts")
+
+    def alike(y: Column) -> Column:
+        apart = F.bit_count(F.col("signature").bitwiseXOR(y["signature"]))
+        return (F.col("indexed") | y["indexed"]) & (F.col("place") != y["place"]) & (apart <= 2 * threshold)
+
+    met = posts.join(texts.drop("line"), "name")
+    met = _against_chunks(met, ["place", "signature", "indexed"], alike, chunk_lines).select("key", "name", "k1", "k2", "indexed").distinct()
+    met = materialize(met, "line-meetings").join(texts, ["name", "k1", "k2"])
 
-    first = classes.select("k1", "k2", "first")
-    own = links.select(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2"), F.col("k1_b").alias("o1"), F.col("k2_b").alias("o2"))
-    own = own.union(own.select("o1", "o2", "k1", "k2"))
-    own = own.join(first, ["k1", "k2"]).join(first.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("first").alias("other")), ["o1", "o2"])
-    return own.where("other < first").select("k1", "k2").distinct()
+    def earlier(y: Column) -> Column:
+        return (y["place"] < F.col("place")) & alike(y) & within_edits(F.col("line"), y["line"], threshold)
 
+    found = _against_chunks(met, ["place", "signature", "indexed", "line"], earlier, chunk_lines)
+    return materialize(found.select("k1", "k2").distinct(), "line-near")
 
-def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+
+def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """doc, number and whether it is near (else equal) of every line to be removed."""
+    if least_chars < (threshold + 1) ** 2:
+        raise ValueError("lines must be longer than the square of threshold + 1")
     lines = _lines(documents, least_chars)
-    classes = lines.select("k1", "k2", "place", segment_keys(F.col("line"), threshold).alias("keys"))
-    classes = materialize(classes.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "line-classes")
-    near = near_lines(documents, classes, threshold, least_chars, broadcast_rows).withColumn("near", F.lit(True))
+    classes = with_segment_keys(lines, threshold).groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    classes = materialize(classes, "line-classes")
+    near = near_lines(documents, classes, threshold, least_chars, broadcast_rows, chunk_lines)
+    near = small(near, broadcast_rows).withColumn("near", F.lit(True))
     marked = classes.select("k1", "k2", "first", "n").join(near, ["k1", "k2"], "left").where("n > 1 or near")
     marked = materialize(marked.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-marks")
     found = lines.select("k1", "k2", "place").join(small(marked, broadcast_rows), ["k1", "k2"]).where("near or place <> first")
     return found.select("place.doc", "place.number", "near").distinct()
 
 
-def dedupe_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedupe_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS, chunk_lines: int = CHUNK_LINES, drop_emptied: bool = False) -> DataFrame:
     """The documents without their repeated lines, with n_lines, n_equal and
-    n_near (lines there were, and lines removed of either kind)."""
-    found = repeated_lines(documents, threshold, least_chars, broadcast_rows)
-    by_doc = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("number").alias("_gone"), F.sum((~F.col("near")).cast("bigint")).alias("_equal"), F.sum(F.col("near").cast("bigint")).alias("_near"))
+    n_near (lines there were, and lines removed of either kind), which take
+    the place of columns of these names.
+
+    With ``drop_emptied``, documents that lose all lines but blank ones go,
+    and the columns are the documents' own.
+    """
+    found = repeated_lines(documents, threshold, least_chars, broadcast_rows, chunk_lines)
+    doc, gone, equal, near = unused(documents, "doc", "gone", "equal", "near")
+    by_doc = found.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("number").alias(gone), F.sum((~F.col("near")).cast("bigint")).alias(equal), F.sum(F.col("near").cast("bigint")).alias(near))
     by_doc = materialize(by_doc, "line-gone")
-    few = by_doc.agg(F.coalesce(F.sum(F.size("_gone") + 4), F.lit(0))).first()[0] <= broadcast_rows
-    joined = documents.withColumn("_doc", F.coalesce("doc_id", F.lit(_LAST))).join(F.broadcast(by_doc) if few else by_doc, "_doc", "left")
+    # texts are shuffled whatever the size of what goes, so the cost follows the input
+    joined = documents.withColumn(doc, F.coalesce("doc_id", F.lit(_LAST))).join(by_doc.hint("shuffle_hash"), doc, "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    columns = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in documents.columns]
-    counts = [F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce("_equal", F.lit(0)).alias("n_equal"), F.coalesce("_near", F.lit(0)).alias("n_near")]
-    return joined.select(*columns, *counts)
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
+    if drop_emptied:
+        bare = F.trim(F.translate(kept, "\t\n\x0b\f\r", "     ")) == ""
+        joined = joined.where(F.col(gone).isNull() | ~F.coalesce(bare, F.lit(False)))
+        return joined.select(*[kept.alias(c) if c == "text" else F.col(c) for c in documents.columns])
+    counts = {"n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("bigint"), "n_equal": F.coalesce(equal, F.lit(0)), "n_near": F.coalesce(near, F.lit(0))}
+    return joined.select(*[kept.alias(c) if c == "text" else F.col(c) for c in documents.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
