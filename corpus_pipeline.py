@@ -68,7 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{number}")
-    return docs
+        made = stage(spark, docs, sf_dir)
+        if number == len(STAGES) - 1:
+            return made
+        docs = materialize(made, f"stage{number}", done=[docs])

@@ -17,6 +17,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from tidemark.llm.hashing import pieces
 from tidemark.llm.storage import map_batches
 
-#: Pre-tokens remembered by a worker; beyond it the memory starts afresh.
-MEMORY_WORDS = 800_000
+#: Pre-tokens remembered by a worker during a task, and after it.  Beyond them
+#: the later ones are forgotten: what comes first comes often.
+MEMORY_WORDS, REST_WORDS = 400_000, 150_000
 
 _NONE = np.int32(2**31 - 1)
 
@@ -56,7 +58,8 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 class _Memory(dict):
     """Pre-token -> index; unknown ones get the next index and are noted."""
 
-    def __init__(self) -> None:
+    def __init__(self, known=()) -> None:
+        super().__init__(known)
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -89,13 +92,18 @@ class ByteBPE:
             self.token_bytes[i] = bytes(of_letter[x] for x in token)
         for token, i in self.added.items():
             self.token_bytes[i] = token.encode()
-        self._forget()
-
-    def _forget(self) -> None:
         self.memory = _Memory()
         self.flat = np.zeros(0, np.int32)
         self.starts = self.lengths = np.zeros(0, np.int64)
 
+    def forget(self, left: int) -> None:
+        """Keep only the first words of the memory."""
+        if len(self.memory) <= left:
+            return
+        self.memory = _Memory(islice(self.memory.items(), left))
+        self.starts, self.lengths = self.starts[:left].copy(), self.lengths[:left].copy()
+        self.flat = self.flat[: int(self.lengths.sum())].copy()
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair of symbols, or a large number."""
         keys = left.astype(np.int64) << 32 | right
@@ -147,7 +155,7 @@ class ByteBPE:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, special tokens' strings included."""
         if len(self.memory) > MEMORY_WORDS:
-            self._forget()
+            self.forget(MEMORY_WORDS // 2)
         memory, find = self.memory, self.pattern.findall
         plans: list[list] = []
         for text in texts:
@@ -191,12 +199,18 @@ def encoded(column: pa.Array, path: str) -> Iterator[np.ndarray]:
         yield from own.encode([x or "" for x in column.slice(first, last - first).to_pylist()])
 
 
+def at_rest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The batches, after which the worker's memory shrinks."""
+    yield from batches
+    codec(path).forget(REST_WORDS)
+
+
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the text decoded from the ids, one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in at_rest(batches, path):
             texts = batch.column(1)
             for first, last in pieces(texts):
                 ids = own.encode([x or "" for x in texts.slice(first, last - first).to_pylist()])
@@ -216,7 +230,7 @@ def digest_documents(documents: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in at_rest(batches, path):
             counts, of_ids, of_text = [], [], []
             for ids in encoded(batch.column(1), path):
                 counts.append(len(ids))

@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = materialize(_hooked(_hooked(now, both=True), both=False), "edges")
+        now = materialize(_hooked(_hooked(now, both=True), both=False), "edges", done=[now])
         before, state = state, _state(now)
         if state == before:
             break

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1_000_000
+#: Bytes of text taken at once, and bytes hashed at once, which need some hundred times the room.
+PIECE_BYTES, HASHED_BYTES = 1_000_000, 250_000
 
 _BASE = 0x9E6C63D0876A9A47 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -86,6 +87,13 @@ def pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int
         first = last
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``PIECE_BYTES`` of one text column."""
+    for batch in batches:
+        for first, last in pieces(batch.column(column)):
+            yield batch.slice(first, last - first)
+
+
 def words(column: pa.Array) -> Words:
     """Hashes of every word of every text."""
     data, ends = text_buffers(column)
@@ -132,7 +140,7 @@ def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct_shingles(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in row order."""
-    for first, last in pieces(column):
+    for first, last in pieces(column, HASHED_BYTES):
         hashes, bounds = shingles(words(column.slice(first, last - first)), width)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             one = np.sort(hashes[a:b])

@@ -194,7 +194,7 @@ def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_c
     wanted = materialize(posts.select("name").distinct(), "line-names")
     texts = _lines(documents, least_chars).withColumn("name", _name(F.col("k1"))).join(small(wanted, broadcast_rows), "name", "left_semi")
     texts = texts.groupBy("name", "k1", "k2", "line").agg(F.min("place").alias("place"))
-    texts = materialize(texts.withColumn("signature", signature(F.col("line"))), "line-texts")
+    texts = materialize(texts.withColumn("signature", signature(F.col("line"))), "line-texts", done=[wanted])
 
     def alike(y: Column) -> Column:
         apart = F.bit_count(F.col("signature").bitwiseXOR(y["signature"]))
@@ -202,13 +202,14 @@ def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_c
 
     met = posts.join(texts.drop("line"), "name")
     met = _against_chunks(met, ["place", "signature", "indexed"], alike, chunk_lines).select("key", "name", "k1", "k2", "indexed").distinct()
-    met = materialize(met, "line-meetings").join(texts, ["name", "k1", "k2"])
+    meetings = materialize(met, "line-meetings", done=[posts])
+    met = meetings.join(texts, ["name", "k1", "k2"])
 
     def earlier(y: Column) -> Column:
         return (y["place"] < F.col("place")) & alike(y) & within_edits(F.col("line"), y["line"], threshold)
 
     found = _against_chunks(met, ["place", "signature", "indexed", "line"], earlier, chunk_lines)
-    return materialize(found.select("k1", "k2").distinct(), "line-near")
+    return materialize(found.select("k1", "k2").distinct(), "line-near", done=[texts, meetings])
 
 
 def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS, chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -218,10 +219,10 @@ def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars
     lines = _lines(documents, least_chars)
     classes = with_segment_keys(lines, threshold).groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     classes = materialize(classes, "line-classes")
-    near = near_lines(documents, classes, threshold, least_chars, broadcast_rows, chunk_lines)
-    near = small(near, broadcast_rows).withColumn("near", F.lit(True))
+    written = near_lines(documents, classes, threshold, least_chars, broadcast_rows, chunk_lines)
+    near = small(written, broadcast_rows).withColumn("near", F.lit(True))
     marked = classes.select("k1", "k2", "first", "n").join(near, ["k1", "k2"], "left").where("n > 1 or near")
-    marked = materialize(marked.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-marks")
+    marked = materialize(marked.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-marks", done=[classes, written])
     found = lines.select("k1", "k2", "place").join(small(marked, broadcast_rows), ["k1", "k2"]).where("near or place <> first")
     return found.select("place.doc", "place.number", "near").distinct()
 

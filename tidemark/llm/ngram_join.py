@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.hashing import distinct_shingles, mix
+from tidemark.llm.hashing import distinct_shingles, in_pieces, mix
 from tidemark.llm.storage import map_batches, materialize, small, unused
 
 CELL_BITS = 20
@@ -134,7 +134,7 @@ def _signatures(documents: DataFrame, width: int, percent: int, frequencies) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequencies.value
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             sizes, one, two, sketch, rare = [], [], [], [], []
             for hashes in distinct_shingles(batch.column(1), width):
                 n = len(hashes)
@@ -154,7 +154,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     """c1, c2 and the whole set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, 0):
             one, two, sets = [], [], []
             for hashes in distinct_shingles(batch.column(0), width):
                 a, b = class_of(hashes)
@@ -375,8 +375,9 @@ def _links(rows: DataFrame, frequencies, percent: int) -> DataFrame:
     return _by_task(rows.select("hub", "i", "j", "chunk", "c1", "c2", "shingles"), run, "u string, v string")
 
 
-def _linked(documents: DataFrame, width: int, percent: int, chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """doc_id, hash of the text, set size, component and its least doc_id of every document."""
+def _linked(documents: DataFrame, width: int, percent: int, chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, hash of the text, set size, component and its least doc_id of
+    every document, and the written tables behind them."""
     context = documents.sparkSession.sparkContext
     frequencies = context.broadcast(shingle_frequencies(documents, width))
     members = materialize(_signatures(documents, width, percent, frequencies), "signatures")
@@ -396,7 +397,7 @@ def _linked(documents: DataFrame, width: int, percent: int, chunk_sets: int = CH
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("c1", "c2"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    possible = materialize(_possible(dealt, percent), "possible")
+    possible = materialize(_possible(dealt, percent), "possible", done=[blocks])
 
     wanted = possible.select("c1", "c2").distinct().join(classes.select("c1", "c2", "least"), ["c1", "c2"])
     wanted = materialize(wanted.select(F.coalesce("least", F.lit(_NO_ID)).alias("id")).distinct(), "wanted")
@@ -407,15 +408,16 @@ def _linked(documents: DataFrame, width: int, percent: int, chunk_sets: int = CH
     roots = components(links)
     node = F.concat(F.lpad(F.lower(F.hex("c1")), 16, "0"), F.lpad(F.lower(F.hex("c2")), 16, "0"))
     named = classes.select("c1", "c2", "least", node.alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialize(named.select("c1", "c2", "least", "root"), "roots")
+    named = materialize(named.select("c1", "c2", "least", "root"), "roots", done=[classes, possible, wanted])
     found = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("c1", "c2", "root", "component_id")
     out = members.select("doc_id", "mark", "n", "c1", "c2").join(found, ["c1", "c2"], "left")
-    return out.select("doc_id", "mark", "n", "root", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = out.select("doc_id", "mark", "n", "root", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found, [members, named]
 
 
 def link_components(documents: DataFrame, width: int = 5, percent: int = 80, chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    found = _linked(documents, width, percent, chunk_sets, chunk_shingles)
+    found, _ = _linked(documents, width, percent, chunk_sets, chunk_shingles)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -427,11 +429,13 @@ def keep_one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) ->
     """
     at, mark = unused(documents, "at", "mark")
     marked = documents.withColumns({at: F.coalesce("doc_id", F.lit(_NO_ID)), mark: F.xxhash64("text")})
-    linked = materialize(_linked(documents, width, percent).where("n > 0"), "linked").withColumn("at", F.coalesce("doc_id", F.lit(_NO_ID)))
+    found, behind = _linked(documents, width, percent)
+    written = materialize(found.where("n > 0"), "linked", done=behind)
+    linked = written.withColumn("at", F.coalesce("doc_id", F.lit(_NO_ID)))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "at", "mark")
     first = linked.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("there")).where("there > 1")
     rows = linked.join(first, "root").select(F.col("at").alias(at), F.col("mark").alias(mark), (F.col("first") == place).alias("stays"))
-    stays = materialize(rows.groupBy(at, mark).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times")), "stays")
+    stays = materialize(rows.groupBy(at, mark).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times")), "stays", done=[written])
     gone, again = stays.where("not stays").select(at, mark), stays.where("stays and times > 1").select(at, mark)
     kept = marked.join(small(gone), [at, mark], "left_anti")
     if again.limit(1).count():  # equal rows of one doc_id

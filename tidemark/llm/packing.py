@@ -9,8 +9,8 @@ bitsets.  A found combination is repeated as long as its lengths last.
 
 Blocks are dealt by a hash of piece and document, hold about
 ``BLOCK_PIECES`` pieces whatever the key distribution, and are packed apart,
-so the only shuffle carries lengths and digests and no task grows with the
-data.  Each block leaves at most a few windows short.
+so the only shuffle carries lengths and digests (and ids where they are
+wanted) and no task grows with the data.  Each block leaves at most a few windows short.
 
 Null texts are empty and give one piece holding the end id alone.  Repeated
 rows give a piece each.  An empty table gives no pieces.  Extra columns are
@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import encoded
-from tidemark.llm.storage import map_batches, materialize, ship
+from tidemark.llm.bpe import at_rest, encoded
+from tidemark.llm.hashing import in_pieces
+from tidemark.llm.storage import map_batches, ship
 
 WINDOW = 2048
 END_ID = 1
@@ -99,7 +100,7 @@ def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id:
     """Pieces of at most ``window`` ids; with ``keep_ids`` also the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(at_rest(batches, path), 1):
             doc, start, length, crc, total, own = [], [], [], [], [], []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), path)):
                 ids = np.concatenate((ids, [end_id])).astype("<u4")
@@ -124,8 +125,10 @@ def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id:
 def pack_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, block_pieces: int = BLOCK_PIECES, keep_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset; padding follows each sequence's last piece."""
     ship(documents.sparkSession)
-    pieces = materialize(cut_documents(documents, path, window, end_id, keep_ids), "pieces")
-    blocks = max(1, math.ceil(pieces.count() / block_pieces))
+    pieces = cut_documents(documents, path, window, end_id, keep_ids)
+    # at least as many pieces as documents, and about one for every four windows' worth of bytes
+    documents_there, size = documents.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil((documents_there + size / (4 * window)) / block_pieces))
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
 
     def run(rows: pa.Table) -> pa.Table:

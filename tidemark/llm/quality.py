@@ -200,7 +200,7 @@ def fit_groups(stats: DataFrame, held: float = HELD, steps: int = STEPS, least_g
     for _ in range(steps):
         placed = rows.join(small(now), "group").select("group", *STATISTICS, distance(F.col("center"), F.col("precision")).alias("d"))
         cuts = materialize(placed.groupBy("group").agg(F.percentile_approx("d", F.lit(held), F.lit(2000)).alias("cut")), "cuts")
-        now = materialize(_estimates(placed.join(small(cuts), "group").where("d <= cut"), factor), "estimates")
+        now = materialize(_estimates(placed.join(small(cuts), "group").where("d <= cut"), factor), "estimates", done=[cuts, now])
     return now
 
 

@@ -14,7 +14,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,12 @@ from pyspark.sql import functions as F
 #: Rows of a few numbers each that may be broadcast: some tens of MB.
 BROADCAST_ROWS = 500_000
 
-_written: list[tuple[SparkSession, str]] = []
+#: Bytes of an Arrow batch; the JVM and the worker hold some of them at once.
+BATCH_BYTES = "8m"
+
+_BATCH, _USUAL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+_written: dict[str, SparkSession] = {}
 _shipped: set[str] = set()
 
 
@@ -49,8 +54,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this subpackage there for the workers."""
+    """``df.mapInArrow`` with this subpackage there for the workers, and with
+    Arrow batches of whole texts held small."""
     ship(df.sparkSession)
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _USUAL_BATCH) == _USUAL_BATCH:  # a session's own choice stays
+        conf.set(_BATCH, BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 
@@ -69,13 +78,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table."""
+def materialize(df: DataFrame, label: str = "table", done: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the written table.
+
+    ``done`` are written tables that nothing reads after this one; they go.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    for old in done:
+        discard(old)
+    return table
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -99,10 +115,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+def discard(table: DataFrame) -> None:
+    """Delete a written table that no later plan reads."""
+    path = getattr(table, "written_at", None)
+    if path in _written:
+        _delete(_written.pop(path), path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -113,7 +130,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _release_all() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         if getattr(spark.sparkContext, "_jsc", None) is None:
             continue
         try:
