@@ -29,7 +29,7 @@ from tidemark.llm.storage import map_batches
 
 #: Pre-tokens remembered by a worker during a task, and after it.  Beyond them
 #: the later ones are forgotten: what comes first comes often.
-MEMORY_WORDS, REST_WORDS = 400_000, 150_000
+MEMORY_WORDS, REST_WORDS = 180_000, 100_000
 
 _NONE = np.int32(2**31 - 1)
 

@@ -428,7 +428,7 @@ def reconcile(candidates: list[tuple[float, Span]]) -> list[Span]:
     return out[::-1]
 
 
-def learned_spans(texts: list[str], net: Network, batch: int = 1024) -> list[list[Span]]:
+def learned_spans(texts: list[str], net: Network, batch: int = 256) -> list[list[Span]]:
     """The network's spans in each text, reconciled over its windows."""
     places = [(row, start) for row, text in enumerate(texts) for start in _window_starts(text)]
     found: list[list[tuple[float, Span]]] = [[] for _ in texts]

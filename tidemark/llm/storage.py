@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 #: Bytes of an Arrow batch; the JVM and the worker hold some of them at once.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 _BATCH, _USUAL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
