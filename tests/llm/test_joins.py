@@ -203,6 +203,14 @@ def test_lines(spark, broadcast_rows, chunk_lines):
     assert linededup.dedupe_lines(none(spark)).count() == 0
 
 
+def test_short_lines(spark):
+    """Equal lines go at any length but blank ones; too short lines are not near."""
+    texts = ["yes\n\n \t\nno\n  chapter one", "YES\n\n \t\nnot\nchapter one\nchapter onX", "x\nyes", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: (r.text, r.n_equal, r.n_near) for r in linededup.dedupe_lines(docs).collect()}
+    assert found == {0: (texts[0], 0, 0), 1: ("\n \t\nnot", 2, 1), 2: ("x", 1, 0), 3: ("", 1, 0)}
+
+
 def test_lookups_lose_nothing(spark):
     """Lines within the threshold always share a lookup key."""
     rng, rows = random.Random(5), []

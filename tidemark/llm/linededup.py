@@ -1,9 +1,11 @@
 """Removal of repeated lines by a segment-partition edit join.
 
-Lines are compared trimmed and in lower case; those of fewer than
-``LEAST_CHARS`` code points are never removed.  Of equal lines the first by
-(doc_id, line number) stays.  A line within ``THRESHOLD`` edits of another
-one that comes first in that order goes as well, with all its repeats.
+Lines are compared trimmed and in lower case; blank ones, and those of fewer
+than ``LEAST_CHARS`` code points, are never removed.  Of equal lines the first
+by (doc_id, line number) stays.  A line within ``THRESHOLD`` edits of another
+one that comes first in that order goes as well, with all its repeats, if both
+have at least (threshold + 1) ** 2 code points, so that each lookup is a
+substring of the line.
 
 Near lines are found among the distinct ones.  A line of length l falls into
 threshold + 1 even segments, indexed by (l, segment number, segment).  One of
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.storage import BROADCAST_ROWS, materialize, small, unused
 
 THRESHOLD = 2
-LEAST_CHARS = 30
+LEAST_CHARS = 1
 CHUNK_LINES = 128
 
 _LAST = 2**63 - 1
@@ -142,10 +144,14 @@ def within_edits(left: Column, right: Column, threshold: int) -> Column:
     return F.when(F.abs(F.length(left) - F.length(right)) <= threshold, found <= threshold).otherwise(F.lit(False))
 
 
+def _blank(text: Column) -> Column:
+    return F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")) == ""
+
+
 def _lines(documents: DataFrame, least_chars: int) -> DataFrame:
     """place (doc_id and number), normal form and its two hashes of each line."""
     split = documents.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    normal = split.select(F.struct("doc", "number").alias("place"), F.lower(F.trim("line")).alias("line")).where(F.length("line") >= least_chars)
+    normal = split.select(F.struct("doc", "number").alias("place"), F.lower(F.trim("line")).alias("line")).where((F.length("line") >= least_chars) & ~_blank(F.col("line")))
     return normal.select("place", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
@@ -214,10 +220,9 @@ def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_c
 
 def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """doc, number and whether it is near (else equal) of every line to be removed."""
-    if least_chars < (threshold + 1) ** 2:
-        raise ValueError("lines must be longer than the square of threshold + 1")
     lines = _lines(documents, least_chars)
-    classes = with_segment_keys(lines, threshold).groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    keyed = with_segment_keys(lines, threshold).withColumn("keys", F.when(F.length("line") >= (threshold + 1) ** 2, F.col("keys")))
+    classes = keyed.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     classes = materialize(classes, "line-classes")
     written = near_lines(documents, classes, threshold, least_chars, broadcast_rows, chunk_lines)
     near = small(written, broadcast_rows).withColumn("near", F.lit(True))
@@ -245,8 +250,7 @@ def dedupe_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars:
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
     kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
     if drop_emptied:
-        bare = F.trim(F.translate(kept, "\t\n\x0b\f\r", "     ")) == ""
-        joined = joined.where(F.col(gone).isNull() | ~F.coalesce(bare, F.lit(False)))
+        joined = joined.where(F.col(gone).isNull() | ~F.coalesce(_blank(kept), F.lit(False)))
         return joined.select(*[kept.alias(c) if c == "text" else F.col(c) for c in documents.columns])
     counts = {"n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("bigint"), "n_equal": F.coalesce(equal, F.lit(0)), "n_near": F.coalesce(near, F.lit(0))}
     return joined.select(*[kept.alias(c) if c == "text" else F.col(c) for c in documents.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
