@@ -211,6 +211,21 @@ def test_short_lines(spark):
     assert found == {0: (texts[0], 0, 0), 1: ("\n \t\nnot", 2, 1), 2: ("x", 1, 0), 3: ("", 1, 0)}
 
 
+def test_word_edits(spark):
+    """A word of eight, or two of forty, may differ; more may not."""
+    base, long = [f"word{k}" for k in range(8)], [f"term{k}" for k in range(40)]
+
+    def swap(words, *at):
+        return " ".join("different" if k in at else w for k, w in enumerate(words))
+
+    texts = [swap(base), swap(base, 0), swap(base, 3), swap(base, 7), " ".join(base[:4] + ["more"] + base[4:]), swap(base, 1, 5), " ".join(base[1:])]
+    texts += [swap(long), swap(long, 0, 39), swap(long, 3, 4), swap(long, 1, 20, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for chunk_lines in (2, 128):
+        found = linededup.dedupe_lines(docs, chunk_lines=chunk_lines).where("n_near = 1 and text = ''").collect()
+        assert sorted(r.doc_id for r in found) == [1, 2, 3, 4, 8, 9]
+
+
 def test_lookups_lose_nothing(spark):
     """Lines within the threshold always share a lookup key."""
     rng, rows = random.Random(5), []

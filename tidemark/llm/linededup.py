@@ -5,7 +5,9 @@ than ``LEAST_CHARS`` code points, are never removed.  Of equal lines the first
 by (doc_id, line number) stays.  A line within ``THRESHOLD`` edits of another
 one that comes first in that order goes as well, with all its repeats, if both
 have at least (threshold + 1) ** 2 code points, so that each lookup is a
-substring of the line.
+substring of the line.  So does a line whose words (parted by white space) are
+within some word edits of an earlier one's, more of them for longer lines: both
+lines have the least words that ``WORD_EDITS`` states for these edits.
 
 Near lines are found among the distinct ones.  A line of length l falls into
 threshold + 1 even segments, indexed by (l, segment number, segment).  One of
@@ -13,13 +15,14 @@ them survives in every line within the threshold, so a line looks up its own
 substrings under each length from l - threshold to l, at the starts that
 multi-match-aware selection allows.  Candidates are verified by a banded
 bit-parallel edit distance: the 2 * threshold + 1 cells of each column around
-the diagonal lie in one integer of vertical differences.
+the diagonal lie in one integer of vertical differences.  Words are searched and
+verified alike, as letters of their own.
 
 Everything is DataFrame expressions.  Equal lines are merged before any line
 is compared, keys that one distinct line alone holds leave before the join,
 and texts of lines move only for candidates.  Lines that share a key are
 compared through lists of at most about ``CHUNK_LINES`` lines, first by the
-parities of their letters, then by distance, up to the first earlier line that
+parities of their letters or words, then by distance, up to the first earlier line that
 is near; pairs are never rows, so a key that many lines share makes rows in
 proportion to the lines and the lists.  Tables are broadcast when their
 counted rows, all of fixed width, stay under ``BROADCAST_ROWS``, and shuffled
@@ -32,6 +35,9 @@ stay or all go.  An empty table gives an empty result.  All columns stay.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +47,9 @@ THRESHOLD = 2
 LEAST_CHARS = 1
 CHUNK_LINES = 128
 
+#: Word edits, and the words that both lines have at least for so many.
+WORD_EDITS = ((1, 8), (2, 40))
+
 _LAST = 2**63 - 1
 
 
@@ -56,31 +65,52 @@ def lookups(threshold: int) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0] or abs(x[2]) > 0, x))
 
 
-def with_segment_keys(lines: DataFrame, threshold: int, name: str = "keys") -> DataFrame:
+def words_of(line: Column) -> Column:
+    return F.split(line, r"\s+")
+
+
+def with_segment_keys(lines: DataFrame, threshold: int, name: str = "keys", words: bool = False, mark: bool = False) -> DataFrame:
     """``lines`` (column line) with an array of lookup keys, the first
     threshold + 1 of which are the line's index keys.
 
     Lines must have at least ``(threshold + 1) ** 2`` code points, so that no
-    lookup leaves the line.
+    lookup leaves the line.  With ``words``, their words are the units instead
+    of code points.  With ``mark``, the lowest bit is 0 in index keys and 1 in
+    the others.
     """
     count = threshold + 1
-    own = lines.withColumn("_n", F.length("line"))
+    own = lines.withColumn("_w", words_of(F.col("line"))).withColumn("_n", F.size("_w")) if words else lines.withColumn("_n", F.length("line"))
     sizes = {}
     for less in range(count):
         size = F.call_function("div", F.col("_n") - less, F.lit(count)).cast("int")
         sizes |= {f"_s{less}": size, f"_l{less}": F.lit(count) - F.pmod(F.col("_n") - less, F.lit(count))}
     own = own.withColumns(sizes)
     keys = []
-    for less, number, shift in lookups(threshold):
+    for at, (less, number, shift) in enumerate(lookups(threshold)):
         size, larger = F.col(f"_s{less}"), F.col(f"_l{less}")
         start = size * number + F.greatest(F.lit(number) - larger, F.lit(0)) + (shift + 1)
         width = F.when(larger <= number, size + 1).otherwise(size)
-        keys.append(F.xxhash64(F.lit(number), F.col("_n") - less, F.col("line").substr(start, width)))
-    return own.withColumn(name, F.array(*keys)).drop("_n", *sizes)
+        part = F.slice("_w", F.greatest(start, F.lit(1)), F.greatest(width, F.lit(0))) if words else F.col("line").substr(start, width)
+        key = F.xxhash64(F.lit(number), F.col("_n") - less, part)
+        keys.append(_name(key).bitwiseOR(F.lit(int(at > threshold)).cast("bigint")) if mark else key)
+    return own.withColumn(name, F.array(*keys)).drop("_n", "_w", *sizes)
+
+
+def _with_all_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """``lines`` with the marked keys of every kind of edits that a line is
+    long enough for."""
+    none = F.array().cast("array<bigint>")
+    keyed = with_segment_keys(lines, threshold, "_keys", mark=True)
+    found = [F.when(F.length("line") >= (threshold + 1) ** 2, F.col("_keys")).otherwise(none)]
+    for edits, least in WORD_EDITS:
+        keyed = with_segment_keys(keyed, edits, f"_keys{edits}", words=True, mark=True)
+        found.append(F.when(F.size(words_of(F.col("line"))) >= least, F.col(f"_keys{edits}")).otherwise(none))
+    return keyed.select(*lines.columns, F.concat(*found).alias("keys"))
 
 
-def within_edits(left: Column, right: Column, threshold: int) -> Column:
-    """Whether two lines are within ``threshold`` edits (at most 30).
+def within_edits(left: Column, right: Column, threshold: int, words: bool = False) -> Column:
+    """Whether two lines are within ``threshold`` edits (at most 30) of code
+    points or words.
 
     Column j of the distance table is held for the rows j - threshold to
     j + threshold; bit k stands for row j - threshold + k.  ``up`` and ``down``
@@ -138,10 +168,11 @@ def within_edits(left: Column, right: Column, threshold: int) -> Column:
         return F.aggregate(places, start, step)["distance"]
 
     def letters(x: Column) -> Column:
-        return F.when(F.length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>"))
+        return words_of(x) if words else F.when(F.length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>"))
 
     found = let(letters(left), lambda rows: let(letters(right), lambda columns: distance(rows, columns)))
-    return F.when(F.abs(F.length(left) - F.length(right)) <= threshold, found <= threshold).otherwise(F.lit(False))
+    size = (lambda x: F.size(words_of(x))) if words else F.length
+    return F.when(F.abs(size(left) - size(right)) <= threshold, found <= threshold).otherwise(F.lit(False))
 
 
 def _blank(text: Column) -> Column:
@@ -173,6 +204,11 @@ def signature(line: Column) -> Column:
     return total
 
 
+def word_signature(line: Column) -> Column:
+    """Parities of the counts of words by hash; an edit changes two at most."""
+    return F.aggregate(words_of(line), F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+
+
 def _against_chunks(rows: DataFrame, entry: list[str], met, chunk_lines: int) -> DataFrame:
     """``rows`` (key, ...) for which ``met(row, other)`` holds for any other
     row of their key, with columns ``entry`` of the others at hand.
@@ -190,8 +226,8 @@ def _against_chunks(rows: DataFrame, entry: list[str], met, chunk_lines: int) ->
 
 def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_chars: int, broadcast_rows: int, chunk_lines: int) -> DataFrame:
     """k1 and k2 of the distinct lines that have an earlier line within the threshold."""
-    keys = classes.select(_name(F.col("k1")).alias("name"), F.posexplode("keys").alias("at", "key"))
-    posts = keys.select("key", F.col("name").bitwiseOR((F.col("at") > threshold).cast("bigint")).alias("post")).repartition("key")
+    keys = classes.select(_name(F.col("k1")).alias("name"), F.explode("keys").alias("key"))
+    posts = keys.select(_name(F.col("key")).alias("key"), F.col("name").bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("post")).repartition("key")
     shared = posts.groupBy("key").agg(F.min("post").alias("low"), F.max("post").alias("high"), F.min(F.col("post").bitwiseAND(F.lit(1))).alias("index"))
     shared = shared.where((_name(F.col("low")) != _name(F.col("high"))) & (F.col("index") == 0)).select("key")
     posts = posts.join(shared.hint("shuffle_hash"), "key").groupBy("key", _name(F.col("post")).alias("name"))
@@ -200,29 +236,40 @@ def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_c
     wanted = materialize(posts.select("name").distinct(), "line-names")
     texts = _lines(documents, least_chars).withColumn("name", _name(F.col("k1"))).join(small(wanted, broadcast_rows), "name", "left_semi")
     texts = texts.groupBy("name", "k1", "k2", "line").agg(F.min("place").alias("place"))
-    texts = materialize(texts.withColumn("signature", signature(F.col("line"))), "line-texts", done=[wanted])
+    signed = {"signature": signature(F.col("line")), "word_signature": word_signature(F.col("line")), "n_words": F.size(words_of(F.col("line"))), "n_chars": F.length("line")}
+    texts = materialize(texts.withColumns(signed), "line-texts", done=[wanted])
+    entry = ["place", *signed, "indexed"]
 
-    def alike(y: Column) -> Column:
+    def chars_alike(y: Column) -> Column:
         apart = F.bit_count(F.col("signature").bitwiseXOR(y["signature"]))
-        return (F.col("indexed") | y["indexed"]) & (F.col("place") != y["place"]) & (apart <= 2 * threshold)
+        return (F.least("n_chars", y["n_chars"]) >= (threshold + 1) ** 2) & (F.abs(F.col("n_chars") - y["n_chars"]) <= threshold) & (apart <= 2 * threshold)
+
+    def words_alike(y: Column, edits: int, least: int) -> Column:
+        apart = F.bit_count(F.col("word_signature").bitwiseXOR(y["word_signature"]))
+        return (F.least("n_words", y["n_words"]) >= least) & (F.abs(F.col("n_words") - y["n_words"]) <= edits) & (apart <= 2 * edits)
+
+    def alike(y: Column) -> Column:
+        kinds = [chars_alike(y), *[words_alike(y, *kind) for kind in WORD_EDITS]]
+        return (F.col("indexed") | y["indexed"]) & (F.col("place") != y["place"]) & reduce(or_, kinds)
 
     met = posts.join(texts.drop("line"), "name")
-    met = _against_chunks(met, ["place", "signature", "indexed"], alike, chunk_lines).select("key", "name", "k1", "k2", "indexed").distinct()
+    met = _against_chunks(met, entry, alike, chunk_lines).select("key", "name", "k1", "k2", "indexed").distinct()
     meetings = materialize(met, "line-meetings", done=[posts])
     met = meetings.join(texts, ["name", "k1", "k2"])
 
     def earlier(y: Column) -> Column:
-        return (y["place"] < F.col("place")) & alike(y) & within_edits(F.col("line"), y["line"], threshold)
+        kinds = [chars_alike(y) & within_edits(F.col("line"), y["line"], threshold)]
+        kinds += [words_alike(y, *kind) & within_edits(F.col("line"), y["line"], kind[0], words=True) for kind in WORD_EDITS]
+        return (F.col("indexed") | y["indexed"]) & (y["place"] < F.col("place")) & reduce(or_, kinds)
 
-    found = _against_chunks(met, ["place", "signature", "indexed", "line"], earlier, chunk_lines)
+    found = _against_chunks(met, [*entry, "line"], earlier, chunk_lines)
     return materialize(found.select("k1", "k2").distinct(), "line-near", done=[texts, meetings])
 
 
 def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """doc, number and whether it is near (else equal) of every line to be removed."""
     lines = _lines(documents, least_chars)
-    keyed = with_segment_keys(lines, threshold).withColumn("keys", F.when(F.length("line") >= (threshold + 1) ** 2, F.col("keys")))
-    classes = keyed.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    classes = _with_all_keys(lines, threshold).groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     classes = materialize(classes, "line-classes")
     written = near_lines(documents, classes, threshold, least_chars, broadcast_rows, chunk_lines)
     near = small(written, broadcast_rows).withColumn("near", F.lit(True))
