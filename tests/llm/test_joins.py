@@ -226,6 +226,16 @@ def test_word_edits(spark):
         assert sorted(r.doc_id for r in found) == [1, 2, 3, 4, 8, 9]
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_lines_of_shared_ids(spark, doc_id):
+    """Rows without doc_id, or of one, keep their own lines and lose repeats."""
+    rows = [(1, "a line that is repeated"), (doc_id, "a line that is repeated\nsame place"), (doc_id, "unique text of its own\nsame place"), (doc_id, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = linededup.dedupe_lines(docs, drop_emptied=True).where(F.col("doc_id").eqNullSafe(F.lit(doc_id))).collect()
+    texts = sorted(r.text or "" for r in found)
+    assert texts in (["", "same place", "unique text of its own"], ["", "unique text of its own\nsame place"])
+
+
 def test_lookups_lose_nothing(spark):
     """Lines within the threshold always share a lookup key."""
     rng, rows = random.Random(5), []

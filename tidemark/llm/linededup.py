@@ -2,7 +2,7 @@
 
 Lines are compared trimmed and in lower case; blank ones, and those of fewer
 than ``LEAST_CHARS`` code points, are never removed.  Of equal lines the first
-by (doc_id, line number) stays.  A line within ``THRESHOLD`` edits of another
+by (doc_id, hash of the document's text, line number) stays.  A line within ``THRESHOLD`` edits of another
 one that comes first in that order goes as well, with all its repeats, if both
 have at least (threshold + 1) ** 2 code points, so that each lookup is a
 substring of the line.  So does a line whose words (parted by white space) are
@@ -29,8 +29,8 @@ counted rows, all of fixed width, stay under ``BROADCAST_ROWS``, and shuffled
 else, to the same result.
 
 Null texts stay null.  Documents without doc_id come last in the order.
-Repeated rows are documents of their own: lines of equal (doc_id, number) all
-stay or all go.  An empty table gives an empty result.  All columns stay.
+Rows of equal doc_id, or without one, are told apart by the hash of their
+texts; of rows equal in both, lines of one number all stay or all go.  An empty table gives an empty result.  All columns stay.
 """
 
 from __future__ import annotations
@@ -180,9 +180,9 @@ def _blank(text: Column) -> Column:
 
 
 def _lines(documents: DataFrame, least_chars: int) -> DataFrame:
-    """place (doc_id and number), normal form and its two hashes of each line."""
-    split = documents.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    normal = split.select(F.struct("doc", "number").alias("place"), F.lower(F.trim("line")).alias("line")).where((F.length("line") >= least_chars) & ~_blank(F.col("line")))
+    """place (doc_id, row and number), normal form and its two hashes of each line."""
+    split = documents.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    normal = split.select(F.struct("doc", "row", "number").alias("place"), F.lower(F.trim("line")).alias("line")).where((F.length("line") >= least_chars) & ~_blank(F.col("line")))
     return normal.select("place", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
@@ -267,7 +267,8 @@ def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_c
 
 
 def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """doc, number and whether it is near (else equal) of every line to be removed."""
+    """doc, row (hash of the text), number and whether it is near (else equal) of
+    every line to be removed."""
     lines = _lines(documents, least_chars)
     classes = _with_all_keys(lines, threshold).groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     classes = materialize(classes, "line-classes")
@@ -276,7 +277,7 @@ def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars
     marked = classes.select("k1", "k2", "first", "n").join(near, ["k1", "k2"], "left").where("n > 1 or near")
     marked = materialize(marked.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-marks", done=[classes, written])
     found = lines.select("k1", "k2", "place").join(small(marked, broadcast_rows), ["k1", "k2"]).where("near or place <> first")
-    return found.select("place.doc", "place.number", "near").distinct()
+    return found.select("place.doc", "place.row", "place.number", "near").distinct()
 
 
 def dedupe_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS, chunk_lines: int = CHUNK_LINES, drop_emptied: bool = False) -> DataFrame:
@@ -288,11 +289,12 @@ def dedupe_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars:
     and the columns are the documents' own.
     """
     found = repeated_lines(documents, threshold, least_chars, broadcast_rows, chunk_lines)
-    doc, gone, equal, near = unused(documents, "doc", "gone", "equal", "near")
-    by_doc = found.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("number").alias(gone), F.sum((~F.col("near")).cast("bigint")).alias(equal), F.sum(F.col("near").cast("bigint")).alias(near))
+    doc, row, gone, equal, near = unused(documents, "doc", "row", "gone", "equal", "near")
+    by_doc = found.groupBy(F.col("doc").alias(doc), F.col("row").alias(row)).agg(F.collect_set("number").alias(gone), F.sum((~F.col("near")).cast("bigint")).alias(equal), F.sum(F.col("near").cast("bigint")).alias(near))
     by_doc = materialize(by_doc, "line-gone")
     # texts are shuffled whatever the size of what goes, so the cost follows the input
-    joined = documents.withColumn(doc, F.coalesce("doc_id", F.lit(_LAST))).join(by_doc.hint("shuffle_hash"), doc, "left")
+    placed = documents.withColumns({doc: F.coalesce("doc_id", F.lit(_LAST)), row: F.xxhash64("text")})
+    joined = placed.join(by_doc.hint("shuffle_hash"), [doc, row], "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
     kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
