@@ -69,17 +69,16 @@ def words_of(line: Column) -> Column:
     return F.split(line, r"\s+")
 
 
-def with_segment_keys(lines: DataFrame, threshold: int, name: str = "keys", words: bool = False, mark: bool = False) -> DataFrame:
+def with_segment_keys(lines: DataFrame, threshold: int, name: str = "keys", mark: bool = False) -> DataFrame:
     """``lines`` (column line) with an array of lookup keys, the first
     threshold + 1 of which are the line's index keys.
 
     Lines must have at least ``(threshold + 1) ** 2`` code points, so that no
-    lookup leaves the line.  With ``words``, their words are the units instead
-    of code points.  With ``mark``, the lowest bit is 0 in index keys and 1 in
-    the others.
+    lookup leaves the line.  With ``mark``, the lowest bit is 0 in index keys
+    and 1 in the others.
     """
     count = threshold + 1
-    own = lines.withColumn("_w", words_of(F.col("line"))).withColumn("_n", F.size("_w")) if words else lines.withColumn("_n", F.length("line"))
+    own = lines.withColumn("_n", F.length("line"))
     sizes = {}
     for less in range(count):
         size = F.call_function("div", F.col("_n") - less, F.lit(count)).cast("int")
@@ -90,10 +89,21 @@ def with_segment_keys(lines: DataFrame, threshold: int, name: str = "keys", word
         size, larger = F.col(f"_s{less}"), F.col(f"_l{less}")
         start = size * number + F.greatest(F.lit(number) - larger, F.lit(0)) + (shift + 1)
         width = F.when(larger <= number, size + 1).otherwise(size)
-        part = F.slice("_w", F.greatest(start, F.lit(1)), F.greatest(width, F.lit(0))) if words else F.col("line").substr(start, width)
-        key = F.xxhash64(F.lit(number), F.col("_n") - less, part)
+        key = F.xxhash64(F.lit(number), F.col("_n") - less, F.col("line").substr(start, width))
         keys.append(_name(key).bitwiseOR(F.lit(int(at > threshold)).cast("bigint")) if mark else key)
-    return own.withColumn(name, F.array(*keys)).drop("_n", "_w", *sizes)
+    return own.withColumn(name, F.array(*keys)).drop("_n", *sizes)
+
+
+def _word_keys(words: Column, edits: int) -> Column:
+    """Marked keys of a line by its words, made like those of its code points."""
+    count, n, keys = edits + 1, F.size(words), []
+    for at, (less, number, shift) in enumerate(lookups(edits)):
+        size = F.call_function("div", n - less, F.lit(count)).cast("int")
+        larger = F.lit(count) - F.pmod(n - less, F.lit(count))
+        start = size * number + F.greatest(F.lit(number) - larger, F.lit(0)) + (shift + 1)
+        width = F.when(larger <= number, size + 1).otherwise(size)
+        keys.append(_name(F.xxhash64(F.lit(number), n - less, F.slice(words, start, width))).bitwiseOR(F.lit(int(at > edits)).cast("bigint")))
+    return F.array(*keys)
 
 
 def _with_all_keys(lines: DataFrame, threshold: int) -> DataFrame:
@@ -101,11 +111,14 @@ def _with_all_keys(lines: DataFrame, threshold: int) -> DataFrame:
     long enough for."""
     none = F.array().cast("array<bigint>")
     keyed = with_segment_keys(lines, threshold, "_keys", mark=True)
-    found = [F.when(F.length("line") >= (threshold + 1) ** 2, F.col("_keys")).otherwise(none)]
-    for edits, least in WORD_EDITS:
-        keyed = with_segment_keys(keyed, edits, f"_keys{edits}", words=True, mark=True)
-        found.append(F.when(F.size(words_of(F.col("line"))) >= least, F.col(f"_keys{edits}")).otherwise(none))
-    return keyed.select(*lines.columns, F.concat(*found).alias("keys"))
+    own = F.when(F.length("line") >= (threshold + 1) ** 2, F.col("_keys")).otherwise(none)
+
+    def by_words(words: Column) -> Column:
+        return F.concat(*[F.when(F.size(words) >= least, _word_keys(words, edits)).otherwise(none) for edits, least in WORD_EDITS])
+
+    # inside transform, a line's words are split once
+    more = F.get(F.transform(F.array(words_of(F.col("line"))), by_words), F.lit(0))
+    return keyed.select(*lines.columns, F.concat(own, more).alias("keys"))
 
 
 def within_edits(left: Column, right: Column, threshold: int, words: bool = False) -> Column:
