@@ -247,7 +247,7 @@ def test_lookups_lose_nothing(spark):
             b[at : at + rng.randrange(2)] = rng.choice(["", "x"])
         rows.append((max(a, "".join(b), key=len), min(a, "".join(b), key=len)))
     lines = spark.createDataFrame([(k, x) for k, r in enumerate(rows) for x in r], "k int, line string")
-    made = {(r.k, r.line): r["keys"] for r in linededup.with_segment_keys(lines, 2).collect()}
+    made = {(r.k, r.line): r["keys"] for r in lines.select("k", "line", linededup.segment_keys(F.col("line"), 2).alias("keys")).collect()}
     near = 0
     for k, (a, b) in enumerate(rows):
         if edits(a, b) <= 2:

@@ -2,12 +2,17 @@
 
 Lines are compared trimmed and in lower case; blank ones, and those of fewer
 than ``LEAST_CHARS`` code points, are never removed.  Of equal lines the first
-by (doc_id, hash of the document's text, line number) stays.  A line within ``THRESHOLD`` edits of another
-one that comes first in that order goes as well, with all its repeats, if both
-have at least (threshold + 1) ** 2 code points, so that each lookup is a
-substring of the line.  So does a line whose words (parted by white space) are
-within some word edits of an earlier one's, more of them for longer lines: both
-lines have the least words that ``WORD_EDITS`` states for these edits.
+by (doc_id, hash of the document's text, line number) stays.  A line that is
+near another one that comes first in that order goes as well, with all its
+repeats.  Two lines are near
+
+* within ``THRESHOLD`` edits of code points, if both have at least
+  (threshold + 1) ** 2 of them, so that each lookup is a substring of the line,
+  and at most ``SHORT_WORDS`` words;
+* within so many edits of words (parted by white space) as ``WORD_EDITS``
+  states for the least number of words that both have.
+
+The two overlap: an edit of a code point that makes no new word edits one word.
 
 Near lines are found among the distinct ones.  A line of length l falls into
 threshold + 1 even segments, indexed by (l, segment number, segment).  One of
@@ -16,21 +21,25 @@ substrings under each length from l - threshold to l, at the starts that
 multi-match-aware selection allows.  Candidates are verified by a banded
 bit-parallel edit distance: the 2 * threshold + 1 cells of each column around
 the diagonal lie in one integer of vertical differences.  Words are searched and
-verified alike, as letters of their own.
+verified alike, as letters of their own; keys are made of the words' hashes,
+the verification compares the words.
 
 Everything is DataFrame expressions.  Equal lines are merged before any line
-is compared, keys that one distinct line alone holds leave before the join,
-and texts of lines move only for candidates.  Lines that share a key are
-compared through lists of at most about ``CHUNK_LINES`` lines, first by the
-parities of their letters or words, then by distance, up to the first earlier line that
-is near; pairs are never rows, so a key that many lines share makes rows in
-proportion to the lines and the lists.  Tables are broadcast when their
-counted rows, all of fixed width, stay under ``BROADCAST_ROWS``, and shuffled
-else, to the same result.
+is compared, keys are made once for a distinct line, counted in part before
+they move, and leave before the join if one distinct line alone holds them;
+texts of lines move only for candidates.  Lines that share a key are compared
+through lists of at most about ``CHUNK_LINES`` lines, first by the parities of
+their letters or words, then by distance, up to the first earlier line that is
+near; pairs are never rows, so a key that many lines share makes rows in
+proportion to the lines and the lists, dealt by (key, list).  Tables are
+broadcast when their counted rows, all of fixed width, stay under
+``BROADCAST_ROWS``, and shuffled else, to the same result.
 
 Null texts stay null.  Documents without doc_id come last in the order.
 Rows of equal doc_id, or without one, are told apart by the hash of their
-texts; of rows equal in both, lines of one number all stay or all go.  An empty table gives an empty result.  All columns stay.
+texts; of rows equal in both, lines of one number all stay or all go.  Texts
+of any length are taken whole, at a cost in proportion to it.  An empty table
+gives an empty result.  All columns stay.
 """
 
 from __future__ import annotations
@@ -48,7 +57,12 @@ LEAST_CHARS = 1
 CHUNK_LINES = 128
 
 #: Word edits, and the words that both lines have at least for so many.
-WORD_EDITS = ((1, 8), (2, 40))
+WORD_EDITS = ((1, 8), (2, 16))
+
+#: Words of a line that is compared by its code points, at most.
+SHORT_WORDS = 18
+
+_WHITE = r"[ \t\n\x0B\f\r]+"
 
 _LAST = 2**63 - 1
 
@@ -66,59 +80,46 @@ def lookups(threshold: int) -> list[tuple[int, int, int]]:
 
 
 def words_of(line: Column) -> Column:
-    return F.split(line, r"\s+")
-
+    return F.split(line, _WHITE)
 
-def with_segment_keys(lines: DataFrame, threshold: int, name: str = "keys", mark: bool = False) -> DataFrame:
-    """``lines`` (column line) with an array of lookup keys, the first
-    threshold + 1 of which are the line's index keys.
 
-    Lines must have at least ``(threshold + 1) ** 2`` code points, so that no
-    lookup leaves the line.  With ``mark``, the lowest bit is 0 in index keys
-    and 1 in the others.
-    """
-    count = threshold + 1
-    own = lines.withColumn("_n", F.length("line"))
-    sizes = {}
-    for less in range(count):
-        size = F.call_function("div", F.col("_n") - less, F.lit(count)).cast("int")
-        sizes |= {f"_s{less}": size, f"_l{less}": F.lit(count) - F.pmod(F.col("_n") - less, F.lit(count))}
-    own = own.withColumns(sizes)
-    keys = []
+def _segment_keys(n: Column, threshold: int, piece, mark: bool) -> list[Column]:
+    """Lookup keys of something of length ``n``, the index keys first;
+    ``piece(start, width)`` is a part of it."""
+    count, keys = threshold + 1, []
     for at, (less, number, shift) in enumerate(lookups(threshold)):
-        size, larger = F.col(f"_s{less}"), F.col(f"_l{less}")
+        size = F.call_function("div", n - less, F.lit(count)).cast("int")
+        larger = F.lit(count) - F.pmod(n - less, F.lit(count))
         start = size * number + F.greatest(F.lit(number) - larger, F.lit(0)) + (shift + 1)
-        width = F.when(larger <= number, size + 1).otherwise(size)
-        key = F.xxhash64(F.lit(number), F.col("_n") - less, F.col("line").substr(start, width))
+        key = F.xxhash64(F.lit(number), n - less, piece(start, F.when(larger <= number, size + 1).otherwise(size)))
         keys.append(_name(key).bitwiseOR(F.lit(int(at > threshold)).cast("bigint")) if mark else key)
-    return own.withColumn(name, F.array(*keys)).drop("_n", *sizes)
+    return keys
 
 
-def _word_keys(words: Column, edits: int) -> Column:
-    """Marked keys of a line by its words, made like those of its code points."""
-    count, n, keys = edits + 1, F.size(words), []
-    for at, (less, number, shift) in enumerate(lookups(edits)):
-        size = F.call_function("div", n - less, F.lit(count)).cast("int")
-        larger = F.lit(count) - F.pmod(n - less, F.lit(count))
-        start = size * number + F.greatest(F.lit(number) - larger, F.lit(0)) + (shift + 1)
-        width = F.when(larger <= number, size + 1).otherwise(size)
-        keys.append(_name(F.xxhash64(F.lit(number), n - less, F.slice(words, start, width))).bitwiseOR(F.lit(int(at > edits)).cast("bigint")))
-    return F.array(*keys)
+def segment_keys(line: Column, threshold: int, mark: bool = False) -> Column:
+    """Array of a line's lookup keys, the first threshold + 1 of which are its
+    index keys.
+
+    Lines must have at least ``(threshold + 1) ** 2`` code points, so that no
+    lookup leaves the line.  With ``mark``, the lowest bit is 0 in index keys
+    and 1 in the others.
+    """
+    return F.array(*_segment_keys(F.length(line), threshold, lambda start, width: line.substr(start, width), mark))
 
 
-def _with_all_keys(lines: DataFrame, threshold: int) -> DataFrame:
-    """``lines`` with the marked keys of every kind of edits that a line is
-    long enough for."""
+def _all_keys(line: Column, threshold: int) -> Column:
+    """The marked keys of every kind of edits that a line is long enough for."""
     none = F.array().cast("array<bigint>")
-    keyed = with_segment_keys(lines, threshold, "_keys", mark=True)
-    own = F.when(F.length("line") >= (threshold + 1) ** 2, F.col("_keys")).otherwise(none)
 
-    def by_words(words: Column) -> Column:
-        return F.concat(*[F.when(F.size(words) >= least, _word_keys(words, edits)).otherwise(none) for edits, least in WORD_EDITS])
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        kinds = [F.when((n <= SHORT_WORDS) & (F.length(line) >= (threshold + 1) ** 2), segment_keys(line, threshold, mark=True)).otherwise(none)]
+        for edits, least in WORD_EDITS:
+            kinds.append(F.when(n >= least, F.array(*_segment_keys(n, edits, lambda start, width: F.slice(words, start, width), mark=True))).otherwise(none))
+        return F.array_distinct(F.concat(*kinds))
 
-    # inside transform, a line's words are split once
-    more = F.get(F.transform(F.array(words_of(F.col("line"))), by_words), F.lit(0))
-    return keyed.select(*lines.columns, F.concat(own, more).alias("keys"))
+    # inside transform, a line's words are split and hashed once
+    return F.get(F.transform(F.array(F.transform(words_of(line), lambda w: F.xxhash64(w))), of), F.lit(0))
 
 
 def within_edits(left: Column, right: Column, threshold: int, words: bool = False) -> Column:
@@ -222,7 +223,7 @@ def word_signature(line: Column) -> Column:
     return F.aggregate(words_of(line), F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
 
 
-def _against_chunks(rows: DataFrame, entry: list[str], met, chunk_lines: int) -> DataFrame:
+def _against_chunks(rows: DataFrame, entry: list[str], met, chunk_lines: int, broadcast_rows: int) -> DataFrame:
     """``rows`` (key, ...) for which ``met(row, other)`` holds for any other
     row of their key, with columns ``entry`` of the others at hand.
 
@@ -230,32 +231,35 @@ def _against_chunks(rows: DataFrame, entry: list[str], met, chunk_lines: int) ->
     through every chunk's list, so a list's size is bounded and a pair is
     never a row of its own.
     """
-    chunks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk_lines).cast("int").alias("chunks"))
-    dealt = rows.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
+    large = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk_lines).cast("int").alias("chunks")).where("chunks > 1")
+    dealt = rows.join(small(large, broadcast_rows), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
     lists = dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct(*entry)).alias("others"))
     asking = dealt.drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return asking.join(lists, ["key", "chunk"]).where(F.exists("others", met)).drop("others", "chunk", "chunks")
 
 
-def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_chars: int, broadcast_rows: int, chunk_lines: int) -> DataFrame:
-    """k1 and k2 of the distinct lines that have an earlier line within the threshold."""
-    keys = classes.select(_name(F.col("k1")).alias("name"), F.explode("keys").alias("key"))
-    posts = keys.select(_name(F.col("key")).alias("key"), F.col("name").bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("post")).repartition("key")
+def near_lines(classes: DataFrame, threshold: int, broadcast_rows: int, chunk_lines: int) -> DataFrame:
+    """k1 and k2 of the distinct lines that have an earlier near line."""
+    posts = classes.select(_name(F.col("k1")).alias("name"), F.explode(_all_keys(F.col("line"), threshold)).alias("key"))
+    posts = posts.select(_name(F.col("key")).alias("key"), F.col("name").bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("post"))
+    posts = materialize(posts, "line-keys")
     shared = posts.groupBy("key").agg(F.min("post").alias("low"), F.max("post").alias("high"), F.min(F.col("post").bitwiseAND(F.lit(1))).alias("index"))
-    shared = shared.where((_name(F.col("low")) != _name(F.col("high"))) & (F.col("index") == 0)).select("key")
-    posts = posts.join(shared.hint("shuffle_hash"), "key").groupBy("key", _name(F.col("post")).alias("name"))
-    posts = materialize(posts.agg((F.min(F.col("post").bitwiseAND(F.lit(1))) == 0).alias("indexed")), "line-posts")
+    shared = materialize(shared.where((_name(F.col("low")) != _name(F.col("high"))) & (F.col("index") == 0)).select("key"), "line-shared")
+    met = posts.join(small(shared, broadcast_rows), "key")
+    posts = materialize(met.select("key", _name(F.col("post")).alias("name"), (F.col("post").bitwiseAND(F.lit(1)) == 0).alias("indexed")), "line-posts", done=[posts, shared])
 
     wanted = materialize(posts.select("name").distinct(), "line-names")
-    texts = _lines(documents, least_chars).withColumn("name", _name(F.col("k1"))).join(small(wanted, broadcast_rows), "name", "left_semi")
-    texts = texts.groupBy("name", "k1", "k2", "line").agg(F.min("place").alias("place"))
-    signed = {"signature": signature(F.col("line")), "word_signature": word_signature(F.col("line")), "n_words": F.size(words_of(F.col("line"))), "n_chars": F.length("line")}
-    texts = materialize(texts.withColumns(signed), "line-texts", done=[wanted])
-    entry = ["place", *signed, "indexed"]
+    texts = classes.select(_name(F.col("k1")).alias("name"), "k1", "k2", "line", F.col("first").alias("place")).join(small(wanted, broadcast_rows), "name", "left_semi")
+    texts = texts.withColumns({"n_words": F.size(words_of(F.col("line"))), "word_signature": word_signature(F.col("line")), "n_chars": F.length("line")})
+    texts = texts.withColumn("signature", F.when(F.col("n_words") <= SHORT_WORDS, signature(F.col("line"))))
+    texts = materialize(texts, "line-texts", done=[wanted])
+    entry = ["place", "signature", "word_signature", "n_words", "n_chars", "indexed"]
 
     def chars_alike(y: Column) -> Column:
         apart = F.bit_count(F.col("signature").bitwiseXOR(y["signature"]))
-        return (F.least("n_chars", y["n_chars"]) >= (threshold + 1) ** 2) & (F.abs(F.col("n_chars") - y["n_chars"]) <= threshold) & (apart <= 2 * threshold)
+        short = F.greatest("n_words", y["n_words"]) <= SHORT_WORDS
+        return short & (F.least("n_chars", y["n_chars"]) >= (threshold + 1) ** 2) & (F.abs(F.col("n_chars") - y["n_chars"]) <= threshold) & F.coalesce(apart <= 2 * threshold, F.lit(False))
 
     def words_alike(y: Column, edits: int, least: int) -> Column:
         apart = F.bit_count(F.col("word_signature").bitwiseXOR(y["word_signature"]))
@@ -266,7 +270,7 @@ def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_c
         return (F.col("indexed") | y["indexed"]) & (F.col("place") != y["place"]) & reduce(or_, kinds)
 
     met = posts.join(texts.drop("line"), "name")
-    met = _against_chunks(met, entry, alike, chunk_lines).select("key", "name", "k1", "k2", "indexed").distinct()
+    met = _against_chunks(met, entry, alike, chunk_lines, broadcast_rows).select("key", "name", "k1", "k2", "indexed").distinct()
     meetings = materialize(met, "line-meetings", done=[posts])
     met = meetings.join(texts, ["name", "k1", "k2"])
 
@@ -275,7 +279,7 @@ def near_lines(documents: DataFrame, classes: DataFrame, threshold: int, least_c
         kinds += [words_alike(y, *kind) & within_edits(F.col("line"), y["line"], kind[0], words=True) for kind in WORD_EDITS]
         return (F.col("indexed") | y["indexed"]) & (y["place"] < F.col("place")) & reduce(or_, kinds)
 
-    found = _against_chunks(met, [*entry, "line"], earlier, chunk_lines)
+    found = _against_chunks(met, [*entry, "line"], earlier, chunk_lines, broadcast_rows)
     return materialize(found.select("k1", "k2").distinct(), "line-near", done=[texts, meetings])
 
 
@@ -283,9 +287,9 @@ def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars
     """doc, row (hash of the text), number and whether it is near (else equal) of
     every line to be removed."""
     lines = _lines(documents, least_chars)
-    classes = _with_all_keys(lines, threshold).groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    classes = lines.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     classes = materialize(classes, "line-classes")
-    written = near_lines(documents, classes, threshold, least_chars, broadcast_rows, chunk_lines)
+    written = near_lines(classes, threshold, broadcast_rows, chunk_lines)
     near = small(written, broadcast_rows).withColumn("near", F.lit(True))
     marked = classes.select("k1", "k2", "first", "n").join(near, ["k1", "k2"], "left").where("n > 1 or near")
     marked = materialize(marked.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-marks", done=[classes, written])
@@ -309,7 +313,9 @@ def dedupe_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars:
     placed = documents.withColumns({doc: F.coalesce("doc_id", F.lit(_LAST)), row: F.xxhash64("text")})
     joined = placed.join(by_doc.hint("shuffle_hash"), [doc, row], "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    # what stays is found by a hash of what goes, so a long text's lines cost no more each
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.get(F.transform(F.array(lines), lambda own: F.array_join(F.transform(stays, lambda i: F.get(own, i)), "\n")), F.lit(0))
     kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
     if drop_emptied:
         joined = joined.where(F.col(gone).isNull() | ~F.coalesce(_blank(kept), F.lit(False)))

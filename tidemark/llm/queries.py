@@ -128,13 +128,33 @@ reach AS (SELECT doc_id, doc_id AS root FROM sets UNION SELECT e.y, r.root FROM
 SELECT doc_id, any_value(len(s)) AS n_shingles, min(root) AS component_id FROM sets JOIN reach USING (doc_id) GROUP BY doc_id
 """
 
-_LINES_SQL = r"""
+def _prefix(x: str, y: str) -> str:
+    """SQL: how many first elements of two lists agree."""
+    same = f"list_transform(generate_series(1, least(len({x}), len({y}))), lambda i: {x}[i] = {y}[i])"
+    return f"coalesce(nullif(list_position({same}, false), 0) - 1, least(len({x}), len({y})))"
+
+
+def _one_edit(x: str, y: str) -> str:
+    """SQL: whether two lists are within one edit."""
+    return f"(abs(len({x}) - len({y})) <= 1 AND {_prefix(x, y)} + {_prefix(f'list_reverse({x})', f'list_reverse({y})')} >= greatest(len({x}), len({y})) - 1)"
+
+
+#: Lines near an earlier one: of two lists without their common beginning, the
+#: first edit changes, removes or adds the first element, one more may follow.
+_LINES_SQL = rf"""
 WITH lines AS (SELECT doc_id, n, list_extract(string_split(text, chr(10)), n) AS line
   FROM documents, LATERAL (SELECT unnest(generate_series(1, len(string_split(text, chr(10))))) AS n)),
 normal AS (SELECT *, lower(trim(line)) AS body FROM lines),
-firsts AS (SELECT body, min((doc_id, n)) AS place FROM normal WHERE length(body) >= 30 GROUP BY body),
-near AS (SELECT DISTINCT a.body FROM firsts a JOIN firsts b ON length(b.body) BETWEEN length(a.body) - 2 AND length(a.body) + 2 AND b.place < a.place
-  WHERE levenshtein(a.body, b.body) <= 2),
+firsts AS (SELECT body, min((doc_id, n)) AS place, string_split_regex(body, '[ \t\n\x0B\f\r]+') AS w, length(body) AS size
+  FROM normal WHERE regexp_matches(body, '[^ \t\n\x0B\f\r]') GROUP BY body),
+pairs AS (SELECT a.body, CASE WHEN least(len(a.w), len(b.w)) >= 16 THEN 2 ELSE 1 END AS edits, a.w AS x, b.w AS y
+  FROM firsts a JOIN firsts b ON len(b.w) BETWEEN len(a.w) - 2 AND len(a.w) + 2 AND b.place < a.place WHERE least(len(a.w), len(b.w)) >= 8
+  UNION ALL SELECT a.body, 2, list_transform(generate_series(1, a.size), lambda i: substr(a.body, i, 1)), list_transform(generate_series(1, b.size), lambda i: substr(b.body, i, 1))
+  FROM firsts a JOIN firsts b ON b.size BETWEEN a.size - 2 AND a.size + 2 AND b.place < a.place WHERE greatest(len(a.w), len(b.w)) <= 18 AND least(a.size, b.size) >= 9),
+likely AS (SELECT * FROM pairs WHERE abs(len(x) - len(y)) <= edits AND len(list_intersect(x, y)) >= greatest(len(list_distinct(x)), len(list_distinct(y))) - edits),
+cut AS (SELECT body, edits, x[p + 1:] AS x, y[p + 1:] AS y FROM (SELECT *, {_prefix("x", "y")} AS p FROM likely)),
+near AS (SELECT DISTINCT body FROM cut WHERE CASE WHEN edits = 1 THEN {_one_edit("x", "y")} ELSE {_one_edit("x", "y")}
+  OR {_one_edit("x[2:]", "y[2:]")} OR {_one_edit("x[2:]", "y")} OR {_one_edit("x", "y[2:]")} END),
 judged AS (SELECT l.*, r.body IS NOT NULL AS near, f.body IS NOT NULL AND r.body IS NULL AND f.place <> (l.doc_id, l.n) AS equal
   FROM normal l LEFT JOIN firsts f ON l.body = f.body LEFT JOIN near r ON l.body = r.body),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (equal) AS n_equal, count(*) FILTER (near) AS n_near,
