@@ -9,8 +9,9 @@ repeats.  Two lines are near
 * within ``THRESHOLD`` edits of code points, if both have at least
   (threshold + 1) ** 2 of them, so that each lookup is a substring of the line,
   and at most ``SHORT_WORDS`` words;
-* within so many edits of words (parted by white space) as ``WORD_EDITS``
-  states for the least number of words that both have.
+* within so many edits of words (parted by single spaces; two spaces in a row
+  have an empty word between them) as ``WORD_EDITS`` states for the least
+  number of words that both have.
 
 The two overlap: an edit of a code point that makes no new word edits one word.
 
@@ -21,19 +22,18 @@ substrings under each length from l - threshold to l, at the starts that
 multi-match-aware selection allows.  Candidates are verified by a banded
 bit-parallel edit distance: the 2 * threshold + 1 cells of each column around
 the diagonal lie in one integer of vertical differences.  Words are searched and
-verified alike, as letters of their own; keys are made of the words' hashes,
-the verification compares the words.
-
-Everything is DataFrame expressions.  Equal lines are merged before any line
-is compared, keys are made once for a distinct line, counted in part before
-they move, and leave before the join if one distinct line alone holds them;
-texts of lines move only for candidates.  Lines that share a key are compared
-through lists of at most about ``CHUNK_LINES`` lines, first by the parities of
-their letters or words, then by distance, up to the first earlier line that is
-near; pairs are never rows, so a key that many lines share makes rows in
-proportion to the lines and the lists, dealt by (key, list).  Tables are
-broadcast when their counted rows, all of fixed width, stay under
-``BROADCAST_ROWS``, and shuffled else, to the same result.
+verified alike, as letters of their own, compared by their 64-bit hashes.
+
+Everything is DataFrame expressions.  Texts are split into a written table of
+lines once.  Keys are made where a line is read, so lines never move for them;
+they are counted in part before they move, and leave before the join if one
+distinct line alone holds them; of lines, only candidates move.  Lines that
+share a key are compared through lists of at most about ``CHUNK_LINES`` lines,
+first by the parities of their letters or words, then by distance, up to the
+first earlier line that is near; pairs are never rows, so a key that many lines
+share makes rows in proportion to the lines and the lists, dealt by (key,
+list).  Tables are broadcast when their rows, counted and of fixed width, take
+at most ``BROADCAST_BYTES``, and shuffled else, to the same result.
 
 Null texts stay null.  Documents without doc_id come last in the order.
 Rows of equal doc_id, or without one, are told apart by the hash of their
@@ -50,7 +50,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import BROADCAST_ROWS, materialize, small, unused
+from tidemark.llm.storage import BROADCAST_BYTES, materialize, small, unused
 
 THRESHOLD = 2
 LEAST_CHARS = 1
@@ -62,7 +62,7 @@ WORD_EDITS = ((1, 8), (2, 16))
 #: Words of a line that is compared by its code points, at most.
 SHORT_WORDS = 18
 
-_WHITE = r"[ \t\n\x0B\f\r]+"
+_WHITE = " \t\n\x0b\f\r"
 
 _LAST = 2**63 - 1
 
@@ -79,52 +79,69 @@ def lookups(threshold: int) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0] or abs(x[2]) > 0, x))
 
 
-def words_of(line: Column) -> Column:
-    return F.split(line, _WHITE)
+def _part(n: Column, edits, less, number, shift) -> tuple[Column, Column]:
+    """Start (from 1) and width of the part that a lookup takes of something
+    of length ``n``: segment ``number`` of a length that is ``less`` shorter."""
+    count = edits + 1
+    size = F.call_function("div", n - less, count).cast("int")
+    larger = count - F.pmod(n - less, count)
+    return size * number + F.greatest(number - larger, F.lit(0)) + (shift + 1), F.when(larger <= number, size + 1).otherwise(size)
 
 
-def _segment_keys(n: Column, threshold: int, piece, mark: bool) -> list[Column]:
-    """Lookup keys of something of length ``n``, the index keys first;
-    ``piece(start, width)`` is a part of it."""
-    count, keys = threshold + 1, []
-    for at, (less, number, shift) in enumerate(lookups(threshold)):
-        size = F.call_function("div", n - less, F.lit(count)).cast("int")
-        larger = F.lit(count) - F.pmod(n - less, F.lit(count))
-        start = size * number + F.greatest(F.lit(number) - larger, F.lit(0)) + (shift + 1)
-        key = F.xxhash64(F.lit(number), n - less, piece(start, F.when(larger <= number, size + 1).otherwise(size)))
-        keys.append(_name(key).bitwiseOR(F.lit(int(at > threshold)).cast("bigint")) if mark else key)
-    return keys
-
-
-def segment_keys(line: Column, threshold: int, mark: bool = False) -> Column:
-    """Array of a line's lookup keys, the first threshold + 1 of which are its
-    index keys.
+def segment_keys(line: Column, threshold: int) -> Column:
+    """Array of the keys of a line's code points, the first threshold + 1 of
+    which are its index keys.
 
     Lines must have at least ``(threshold + 1) ** 2`` code points, so that no
-    lookup leaves the line.  With ``mark``, the lowest bit is 0 in index keys
-    and 1 in the others.
+    lookup leaves the line.
     """
-    return F.array(*_segment_keys(F.length(line), threshold, lambda start, width: line.substr(start, width), mark))
+    n, keys = F.length(line), []
+    for less, number, shift in lookups(threshold):
+        start, width = _part(n, F.lit(threshold), *map(F.lit, (less, number, shift)))
+        keys.append(F.xxhash64(F.lit(number), n - less, line.substr(start, width)))
+    return F.array(*keys)
+
+
+def _name(k1: Column) -> Column:
+    """A hash without its lowest bit, which marks lookups."""
+    return k1.bitwiseAND(F.lit(-2))
+
 
+def _bands() -> list[tuple[int, int, int]]:
+    """Word edits with the least and the most words of lines that look up keys
+    for them: lines that are long enough for more edits need no keys of fewer,
+    but for partners that are not."""
+    ends = [least + edits - 1 for (edits, _), (_, least) in zip(WORD_EDITS, WORD_EDITS[1:])]
+    return [(edits, least, most) for (edits, least), most in zip(WORD_EDITS, [*ends, 2**31 - 1])]
 
-def _all_keys(line: Column, threshold: int) -> Column:
-    """The marked keys of every kind of edits that a line is long enough for."""
-    none = F.array().cast("array<bigint>")
 
-    def of(words: Column) -> Column:
-        n = F.size(words)
-        kinds = [F.when((n <= SHORT_WORDS) & (F.length(line) >= (threshold + 1) ** 2), segment_keys(line, threshold, mark=True)).otherwise(none)]
-        for edits, least in WORD_EDITS:
-            kinds.append(F.when(n >= least, F.array(*_segment_keys(n, edits, lambda start, width: F.slice(words, start, width), mark=True))).otherwise(none))
-        return F.array_distinct(F.concat(*kinds))
+def line_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """key and post of every line's lookups, for every kind of edits that it is
+    long enough for; a post is the line's name, its lowest bit 0 for index keys."""
 
-    # inside transform, a line's words are split and hashed once
-    return F.get(F.transform(F.array(F.transform(words_of(line), lambda w: F.xxhash64(w))), of), F.lit(0))
+    def specs(words: int) -> list[Column]:
+        """Lookups of a line of so many words."""
+        kinds = [(True, threshold)] if words <= SHORT_WORDS else []
+        kinds += [(False, edits) for edits, least, most in _bands() if least <= words <= most]
+        found = [(letters, edits, *x, int(at > edits)) for letters, edits in kinds for at, x in enumerate(lookups(edits))]
+        return [F.struct(*[F.lit(v).alias(k) for k, v in zip(("letters", "edits", "less", "number", "shift", "bit"), x)]) for x in found]
 
+    cuts = sorted({SHORT_WORDS + 1, *(x for _, least, most in _bands() for x in (least, most + 1) if x < 2**31)})
+    asked = F.array(*specs(cuts[-1]))  # literals, chosen by the number of words
+    for cut in reversed(cuts):
+        asked = F.when(F.col("n_words") < cut, F.array(*specs(cut - 1))).otherwise(asked)
+    posed = lines.select("k1", "line", "n_words", F.explode(asked).alias("s")).select("k1", "line", "n_words", "s.*")
+    posed = posed.withColumn("size", F.when(F.col("letters"), F.length("line")).otherwise(F.col("n_words"))).where(~F.col("letters") | (F.col("size") >= (threshold + 1) ** 2))
+    start, width = _part(F.col("size"), *map(F.col, ("edits", "less", "number", "shift")))
+    posed = posed.withColumns({"start": start, "width": width})
+    before = F.call_function("substring_index", F.col("line"), F.lit(" "), F.col("start") + F.col("width") - 1)
+    part = F.when(F.col("letters"), F.col("line").substr(F.col("start"), F.col("width"))).otherwise(F.call_function("substring_index", before, F.lit(" "), -F.col("width")))
+    key = F.xxhash64("edits", "number", F.col("size") - F.col("less"), part)
+    return posed.select(_name(key).alias("key"), _name(F.col("k1")).bitwiseOR(F.col("bit").cast("bigint")).alias("post"))
 
-def within_edits(left: Column, right: Column, threshold: int, words: bool = False) -> Column:
-    """Whether two lines are within ``threshold`` edits (at most 30) of code
-    points or words.
+
+def within_edits(left: Column, right: Column, threshold: int) -> Column:
+    """Whether two arrays are within ``threshold`` edits (at most 30).
 
     Column j of the distance table is held for the rows j - threshold to
     j + threshold; bit k stands for row j - threshold + k.  ``up`` and ``down``
@@ -181,28 +198,25 @@ def within_edits(left: Column, right: Column, threshold: int, words: bool = Fals
         places = F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(places, start, step)["distance"]
 
-    def letters(x: Column) -> Column:
-        return words_of(x) if words else F.when(F.length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>"))
+    found = let(left, lambda rows: let(right, lambda columns: distance(rows, columns)))
+    return F.when(F.abs(F.size(left) - F.size(right)) <= threshold, found <= threshold).otherwise(F.lit(False))
+
 
-    found = let(letters(left), lambda rows: let(letters(right), lambda columns: distance(rows, columns)))
-    size = (lambda x: F.size(words_of(x))) if words else F.length
-    return F.when(F.abs(size(left) - size(right)) <= threshold, found <= threshold).otherwise(F.lit(False))
+def letters_of(text: Column) -> Column:
+    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
 def _blank(text: Column) -> Column:
-    return F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")) == ""
+    return F.btrim(text, F.lit(_WHITE)) == ""
 
 
-def _lines(documents: DataFrame, least_chars: int) -> DataFrame:
-    """place (doc_id, row and number), normal form and its two hashes of each line."""
+def split_lines(documents: DataFrame, least_chars: int) -> DataFrame:
+    """place (doc_id, row and number), normal form, its number of words and its
+    two hashes of each line."""
     split = documents.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
     normal = split.select(F.struct("doc", "row", "number").alias("place"), F.lower(F.trim("line")).alias("line")).where((F.length("line") >= least_chars) & ~_blank(F.col("line")))
-    return normal.select("place", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
-
-
-def _name(k1: Column) -> Column:
-    """Half of a line's hash without its lowest bit, which marks lookups."""
-    return k1.bitwiseAND(F.lit(-2))
+    spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    return normal.select("place", "line", (spaces + 1).alias("n_words"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 #: Letters whose parities make a line's signature; an edit changes two at most.
@@ -218,12 +232,12 @@ def signature(line: Column) -> Column:
     return total
 
 
-def word_signature(line: Column) -> Column:
-    """Parities of the counts of words by hash; an edit changes two at most."""
-    return F.aggregate(words_of(line), F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+def word_signature(words: Column) -> Column:
+    """Parities of the counts of words' hashes; an edit changes two at most."""
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(w, F.lit(64)).cast("int"))))
 
 
-def _against_chunks(rows: DataFrame, entry: list[str], met, chunk_lines: int, broadcast_rows: int) -> DataFrame:
+def _against_chunks(rows: DataFrame, entry: list[str], met, chunk_lines: int, broadcast_bytes: int) -> DataFrame:
     """``rows`` (key, ...) for which ``met(row, other)`` holds for any other
     row of their key, with columns ``entry`` of the others at hand.
 
@@ -232,28 +246,28 @@ def _against_chunks(rows: DataFrame, entry: list[str], met, chunk_lines: int, br
     never a row of its own.
     """
     large = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk_lines).cast("int").alias("chunks")).where("chunks > 1")
-    dealt = rows.join(small(large, broadcast_rows), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = rows.join(small(large, broadcast_bytes), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
     lists = dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct(*entry)).alias("others"))
     asking = dealt.drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return asking.join(lists, ["key", "chunk"]).where(F.exists("others", met)).drop("others", "chunk", "chunks")
 
 
-def near_lines(classes: DataFrame, threshold: int, broadcast_rows: int, chunk_lines: int) -> DataFrame:
+def near_lines(lines: DataFrame, classes: DataFrame, threshold: int, broadcast_bytes: int, chunk_lines: int) -> DataFrame:
     """k1 and k2 of the distinct lines that have an earlier near line."""
-    posts = classes.select(_name(F.col("k1")).alias("name"), F.explode(_all_keys(F.col("line"), threshold)).alias("key"))
-    posts = posts.select(_name(F.col("key")).alias("key"), F.col("name").bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("post"))
-    posts = materialize(posts, "line-keys")
+    posts = materialize(line_keys(lines, threshold), "line-keys")
     shared = posts.groupBy("key").agg(F.min("post").alias("low"), F.max("post").alias("high"), F.min(F.col("post").bitwiseAND(F.lit(1))).alias("index"))
     shared = materialize(shared.where((_name(F.col("low")) != _name(F.col("high"))) & (F.col("index") == 0)).select("key"), "line-shared")
-    met = posts.join(small(shared, broadcast_rows), "key")
-    posts = materialize(met.select("key", _name(F.col("post")).alias("name"), (F.col("post").bitwiseAND(F.lit(1)) == 0).alias("indexed")), "line-posts", done=[posts, shared])
-
-    wanted = materialize(posts.select("name").distinct(), "line-names")
-    texts = classes.select(_name(F.col("k1")).alias("name"), "k1", "k2", "line", F.col("first").alias("place")).join(small(wanted, broadcast_rows), "name", "left_semi")
-    texts = texts.withColumns({"n_words": F.size(words_of(F.col("line"))), "word_signature": word_signature(F.col("line")), "n_chars": F.length("line")})
-    texts = texts.withColumn("signature", F.when(F.col("n_words") <= SHORT_WORDS, signature(F.col("line"))))
-    texts = materialize(texts, "line-texts", done=[wanted])
+    met = posts.join(small(shared, broadcast_bytes), "key").groupBy("key", _name(F.col("post")).alias("name"))
+    posts = materialize(met.agg((F.min(F.col("post").bitwiseAND(F.lit(1))) == 0).alias("indexed")), "line-posts", done=[posts, shared])
+
+    wanted = posts.select("name").distinct()
+    wanted = materialize(classes.withColumn("name", _name(F.col("k1"))).join(wanted, "name", "left_semi").select("name", "k1", "k2", F.col("first").alias("place")), "line-names")
+    texts = lines.join(small(wanted, broadcast_bytes), ["k1", "k2", "place"])
+    texts = texts.dropDuplicates(["k1", "k2"])  # equal rows of a document have equal places
+    texts = texts.withColumn("words", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
+    texts = texts.withColumns({"word_signature": word_signature(F.col("words")), "n_chars": F.length("line"), "line": F.when(F.col("n_words") <= SHORT_WORDS, F.col("line"))})
+    texts = materialize(texts.withColumn("signature", signature(F.col("line"))), "line-texts", done=[wanted])
     entry = ["place", "signature", "word_signature", "n_words", "n_chars", "indexed"]
 
     def chars_alike(y: Column) -> Column:
@@ -269,35 +283,35 @@ def near_lines(classes: DataFrame, threshold: int, broadcast_rows: int, chunk_li
         kinds = [chars_alike(y), *[words_alike(y, *kind) for kind in WORD_EDITS]]
         return (F.col("indexed") | y["indexed"]) & (F.col("place") != y["place"]) & reduce(or_, kinds)
 
-    met = posts.join(texts.drop("line"), "name")
-    met = _against_chunks(met, entry, alike, chunk_lines, broadcast_rows).select("key", "name", "k1", "k2", "indexed").distinct()
+    met = posts.join(texts.drop("line", "words"), "name")
+    met = _against_chunks(met, entry, alike, chunk_lines, broadcast_bytes).select("key", "name", "k1", "k2", "indexed").distinct()
     meetings = materialize(met, "line-meetings", done=[posts])
     met = meetings.join(texts, ["name", "k1", "k2"])
 
     def earlier(y: Column) -> Column:
-        kinds = [chars_alike(y) & within_edits(F.col("line"), y["line"], threshold)]
-        kinds += [words_alike(y, *kind) & within_edits(F.col("line"), y["line"], kind[0], words=True) for kind in WORD_EDITS]
+        kinds = [chars_alike(y) & within_edits(letters_of(F.col("line")), letters_of(y["line"]), threshold)]
+        # of a pair that is long enough for more edits, more edits decide
+        kinds += [words_alike(y, *kind) & within_edits(F.col("words"), y["words"], kind[0]) for kind in reversed(WORD_EDITS)]
         return (F.col("indexed") | y["indexed"]) & (y["place"] < F.col("place")) & reduce(or_, kinds)
 
-    found = _against_chunks(met, [*entry, "line"], earlier, chunk_lines, broadcast_rows)
+    found = _against_chunks(met, [*entry, "line", "words"], earlier, chunk_lines, broadcast_bytes)
     return materialize(found.select("k1", "k2").distinct(), "line-near", done=[texts, meetings])
 
 
-def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_bytes: int = BROADCAST_BYTES, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """doc, row (hash of the text), number and whether it is near (else equal) of
     every line to be removed."""
-    lines = _lines(documents, least_chars)
-    classes = lines.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
-    classes = materialize(classes, "line-classes")
-    written = near_lines(classes, threshold, broadcast_rows, chunk_lines)
-    near = small(written, broadcast_rows).withColumn("near", F.lit(True))
-    marked = classes.select("k1", "k2", "first", "n").join(near, ["k1", "k2"], "left").where("n > 1 or near")
+    lines = materialize(split_lines(documents, least_chars), "lines")
+    classes = materialize(lines.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
+    written = near_lines(lines, classes, threshold, broadcast_bytes, chunk_lines)
+    near = small(written, broadcast_bytes).withColumn("near", F.lit(True))
+    marked = classes.join(near, ["k1", "k2"], "left").where("n > 1 or near")
     marked = materialize(marked.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-marks", done=[classes, written])
-    found = lines.select("k1", "k2", "place").join(small(marked, broadcast_rows), ["k1", "k2"]).where("near or place <> first")
-    return found.select("place.doc", "place.row", "place.number", "near").distinct()
+    found = lines.select("k1", "k2", "place").join(small(marked, broadcast_bytes), ["k1", "k2"]).where("near or place <> first")
+    return materialize(found.select("place.doc", "place.row", "place.number", "near").distinct(), "line-found", done=[lines, marked])
 
 
-def dedupe_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_rows: int = BROADCAST_ROWS, chunk_lines: int = CHUNK_LINES, drop_emptied: bool = False) -> DataFrame:
+def dedupe_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, broadcast_bytes: int = BROADCAST_BYTES, chunk_lines: int = CHUNK_LINES, drop_emptied: bool = False) -> DataFrame:
     """The documents without their repeated lines, with n_lines, n_equal and
     n_near (lines there were, and lines removed of either kind), which take
     the place of columns of these names.
@@ -305,7 +319,7 @@ def dedupe_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars:
     With ``drop_emptied``, documents that lose all lines but blank ones go,
     and the columns are the documents' own.
     """
-    found = repeated_lines(documents, threshold, least_chars, broadcast_rows, chunk_lines)
+    found = repeated_lines(documents, threshold, least_chars, broadcast_bytes, chunk_lines)
     doc, row, gone, equal, near = unused(documents, "doc", "row", "gone", "equal", "near")
     by_doc = found.groupBy(F.col("doc").alias(doc), F.col("row").alias(row)).agg(F.collect_set("number").alias(gone), F.sum((~F.col("near")).cast("bigint")).alias(equal), F.sum(F.col("near").cast("bigint")).alias(near))
     by_doc = materialize(by_doc, "line-gone")

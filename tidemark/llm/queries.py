@@ -145,7 +145,7 @@ _LINES_SQL = rf"""
 WITH lines AS (SELECT doc_id, n, list_extract(string_split(text, chr(10)), n) AS line
   FROM documents, LATERAL (SELECT unnest(generate_series(1, len(string_split(text, chr(10))))) AS n)),
 normal AS (SELECT *, lower(trim(line)) AS body FROM lines),
-firsts AS (SELECT body, min((doc_id, n)) AS place, string_split_regex(body, '[ \t\n\x0B\f\r]+') AS w, length(body) AS size
+firsts AS (SELECT body, min((doc_id, n)) AS place, string_split(body, ' ') AS w, length(body) AS size
   FROM normal WHERE regexp_matches(body, '[^ \t\n\x0B\f\r]') GROUP BY body),
 pairs AS (SELECT a.body, CASE WHEN least(len(a.w), len(b.w)) >= 16 THEN 2 ELSE 1 END AS edits, a.w AS x, b.w AS y
   FROM firsts a JOIN firsts b ON len(b.w) BETWEEN len(a.w) - 2 AND len(a.w) + 2 AND b.place < a.place WHERE least(len(a.w), len(b.w)) >= 8

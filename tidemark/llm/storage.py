@@ -18,9 +18,13 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a few numbers each that may be broadcast: some tens of MB.
-BROADCAST_ROWS = 500_000
+#: Bytes of a table, by its rows and their fixed width, that may be broadcast.
+BROADCAST_BYTES = 24_000_000
+
+#: Copies of a row that meets a hot key's rows where it cannot be broadcast.
+SALTS = 16
 
 #: Bytes of an Arrow batch; the JVM and the worker hold some of them at once.
 BATCH_BYTES = "2m"
@@ -94,13 +98,41 @@ def materialize(df: DataFrame, label: str = "table", done: Iterable[DataFrame] =
     return table
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, to be broadcast if it has at most so many rows.
+def row_bytes(kind: T.DataType, items: int = 0) -> int:
+    """Bytes of a value of fixed width; arrays count as ``items`` values."""
+    if isinstance(kind, T.StructType):
+        return 8 + sum(8 + row_bytes(f.dataType, items) for f in kind.fields)
+    if isinstance(kind, T.ArrayType) and items:
+        return 24 + items * 8
+    if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+        raise ValueError(f"{kind.simpleString()} has no fixed width")
+    return 8
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES, items: int = 0) -> bool:
+    """Whether the table's counted rows stay under so many bytes."""
+    width = row_bytes(df.schema, items)
+    return df.limit(limit // width + 1).count() * width <= limit
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, to be broadcast if its rows take at most so many bytes.
 
-    For tables of a few fixed-width columns; beyond that size the join
-    shuffles, to the same result.
+    For tables of fixed-width columns; beyond that size the join shuffles, to
+    the same result.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if fits(df, limit) else df
+
+
+def met(rows: DataFrame, table: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the ``table`` of one row a key: by broadcast if it
+    is ``few``, else with the rows of each key dealt over ``SALTS`` tasks."""
+    if few:
+        return rows.join(F.broadcast(table), keys, how)
+    salt, = unused(rows, "salt")
+    dealt = rows.withColumn(salt, F.floor(F.rand(7) * SALTS).cast("int"))
+    copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
