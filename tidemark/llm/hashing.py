@@ -2,8 +2,10 @@
 
 Works on the UTF-8 bytes of an Arrow string column without making Python
 strings.  Words are maximal runs of bytes other than space, tab, LF, VT, FF
-and CR; A-Z are lower-cased.  A word's hash is a polynomial in an odd base
-modulo 2**64, taken from one running sum over the batch, then mixed.
+and CR; A-Z are lower-cased.  A word's bytes are taken eight at a time; each
+block is scrambled together with its place in the word, and the scrambled
+blocks and the word's length are added up and scrambled again.  No step is
+linear in the bytes, so words of a regular build do not collide by it.
 """
 
 from __future__ import annotations
@@ -17,32 +19,12 @@ import pyarrow as pa
 #: Bytes of text taken at once, and bytes hashed at once, which need some hundred times the room.
 PIECE_BYTES, HASHED_BYTES = 1_000_000, 250_000
 
-_BASE = 0x9E6C63D0876A9A47 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _powers(base: int, count: int) -> np.ndarray:
-    steps = np.full(count, base, dtype=np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-class _PowerTable:
-    """Powers of the base and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def reach(self, count: int) -> None:
-        if count > len(self.up):
-            self.up, self.down = _powers(_BASE, count), _powers(_BASE_INVERSE, count)
-
-
-_table = _PowerTable()
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,12 +91,28 @@ def words(column: pa.Array) -> Words:
     opens[inner] = solid[inner]
     closes[inner - 1] = solid[inner - 1]
     starts, stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    _table.reach(len(data) + 1)
-    running = np.empty(len(data) + 1, np.uint64)
-    running[0] = 0
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _table.up[: len(data)], out=running[1:])
-    hashes = mix((running[stops] - running[starts]) * _table.down[starts] + (stops - starts).astype(np.uint64))
-    return Words(hashes, np.searchsorted(starts, ends))
+    return Words(_word_hashes(_LOWER[data], starts, stops - starts), np.searchsorted(starts, ends))
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the words ``data[starts[i]:starts[i] + lengths[i]]``."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    first = eights[starts]
+    short = np.minimum(lengths, 8).astype(np.uint64)
+    total = mix(first & _KEPT[short]) + lengths.astype(np.uint64) * _STEP
+    long = np.flatnonzero(lengths > 8)
+    if len(long):  # the blocks after the first of longer words
+        blocks = (lengths[long] - 1) // 8
+        ends = np.cumsum(blocks)
+        place = np.arange(ends[-1]) - np.repeat(ends - blocks, blocks) + 1
+        left = np.minimum(np.repeat(lengths[long], blocks) - place * 8, 8).astype(np.uint64)
+        more = mix(eights[np.repeat(starts[long], blocks) + place * 8] & _KEPT[left])
+        more = mix(more + place.astype(np.uint64) * _STEP)
+        total[long] += np.add.reduceat(more, ends - blocks)
+    return mix(total)
 
 
 def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,3 +143,18 @@ def distinct_shingles(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             one = np.sort(hashes[a:b])
             yield one[np.concatenate(([True], one[1:] != one[:-1]))] if b > a else one
+
+
+def weighed_shingles(column: pa.Array, width: int, weigh) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same, each with the sum of its words' weights (``weigh(hashes)``)."""
+    for first, last in pieces(column, HASHED_BYTES):
+        found = words(column.slice(first, last - first))
+        hashes, bounds = shingles(found, width)
+        before = np.concatenate(([0], np.cumsum(weigh(found.hashes))))
+        counts = np.diff(bounds)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        start = np.arange(bounds[-1]) - bounds[owner] + found.bounds[owner]
+        weights = before[np.minimum(start + width, found.bounds[owner + 1])] - before[start]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            one, at = np.unique(hashes[a:b], return_index=True)
+            yield one, weights[a:b][at]

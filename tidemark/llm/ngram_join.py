@@ -6,9 +6,11 @@ A document's set holds the distinct hashes of its ``width``-word shingles
 component of the link graph.
 
 1.  Equal sets form a class; only one of each class goes on.
-2.  All shingles have one global order by corpus frequency.  Frequencies are
+2.  All shingles have one global order, that of their words' corpus
+    frequencies: the sum of the words' logarithms, then the hash.  Words are
     counted over every document in ``2**CELL_BITS`` hash cells, a table of
-    fixed size.  Sets that link share a shingle among the rarest
+    fixed size; frequent words stand out from any number of rare ones that
+    share a cell.  Sets that link share a shingle among the rarest
     ``n - ceil(percent * n / 100) + 1`` of each, so classes meet under these.
 3.  Classes that meet under a shingle belong to the block named by the least
     class there; linking classes share a block.  A block too large for a task
@@ -18,8 +20,8 @@ component of the link graph.
     about one bit for each of its shingles.  Differing bits bound the
     symmetric difference from below, so most chance meetings end here and
     only classes with a possible partner in the task send their sets there.
-5.  In a task the sets, most frequent shingle first, lie in a prefix tree
-    with shared stretches joined into one node.  A set walks down the tree,
+5.  In a task the sets, most frequent shingle of the task first, lie in a
+    prefix tree with shared stretches joined into one node.  A set walks down the tree,
     carrying its overlap with the path; a subtree is left when the lengths
     that remain cannot reach the threshold any more, and classes connected
     already are not compared again.
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.hashing import distinct_shingles, in_pieces, mix
+from tidemark.llm.hashing import HASHED_BYTES, distinct_shingles, in_pieces, mix, pieces, weighed_shingles, words
 from tidemark.llm.storage import map_batches, materialize, small, unused
 
 CELL_BITS = 20
@@ -53,10 +55,6 @@ _NO_ID = -(2**63)
 _ROW_CELLS = 64
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
 def class_of(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that equal sets share."""
     one = mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
@@ -104,46 +102,48 @@ def possible_links(sizes: np.ndarray, sketches: list[np.ndarray], sides: np.ndar
     return out
 
 
-def shingle_frequencies(documents: DataFrame, width: int) -> np.ndarray:
-    """Documents per hash cell, over all documents."""
+def word_weights(documents: DataFrame) -> np.ndarray:
+    """A whole number for each hash cell that rises with the logarithm of how
+    often words of the cell occur in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            held: list[np.ndarray] = []
-            for one in distinct_shingles(batch.column(0), width):
-                held.append(_cells(one))
-                if len(held) == 256:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held = []
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
+            for first, last in pieces(batch.column(0), HASHED_BYTES):
+                total += np.bincount(_cells(words(batch.column(0).slice(first, last - first)).hashes), minlength=len(total))
         table = total.reshape(-1, _ROW_CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table), dtype=np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], ["row", *names])
+        used = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in table[used].T)], ["row", *names])
 
     names = [f"n{k}" for k in range(_ROW_CELLS)]
     counts = map_batches(documents.select("text"), count, "row int, " + ", ".join(f"{n} bigint" for n in names))
     found = counts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     out = np.zeros((1 << CELL_BITS) // _ROW_CELLS * _ROW_CELLS, np.int64).reshape(-1, _ROW_CELLS)
     out[found["row"].to_numpy()] = np.stack([found[n].to_numpy() for n in names], axis=1)
-    return out.ravel()
+    return np.round(256 * np.log2(out.ravel() + 1)).astype(np.int32)
 
 
-def _signatures(documents: DataFrame, width: int, percent: int, frequencies) -> DataFrame:
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _signatures(documents: DataFrame, width: int, percent: int, weights) -> DataFrame:
     """doc_id, a hash of the text, n, c1, c2 (the class), sketch and the rarest shingles of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequencies.value
+        def weigh(hashes: np.ndarray) -> np.ndarray:
+            return weights.value[_cells(hashes)].astype(np.int64)
+
         for batch in in_pieces(batches, 1):
             sizes, one, two, sketch, rare = [], [], [], [], []
-            for hashes in distinct_shingles(batch.column(1), width):
+            for hashes, often in weighed_shingles(batch.column(1), width, weigh):
                 n = len(hashes)
                 sizes.append(n)
                 a, b = class_of(hashes) if n else (None, None)
                 one.append(a)
                 two.append(b)
                 sketch.append(parity_sketch(hashes).tobytes() if n else None)
-                order = np.argsort(often[_cells(hashes)], kind="stable")[: n + percent * n // -100 + 1 if n else 0]
+                order = np.argsort(often, kind="stable")[: n + percent * n // -100 + 1 if n else 0]
                 rare.append(hashes[order].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketch, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "mark", "n", "c1", "c2", "sketch", "rare"])
 
@@ -281,15 +281,15 @@ class _Groups:
             self.count -= 1
 
 
-def spanning_links(sets: list[np.ndarray], sides: np.ndarray, frequencies: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect what the qualifying pairs connect.
 
     Pairs within a side count when there is one side, else only pairs across
     the two sides (0 and 1) of a pair of chunks.
     """
     flat = np.concatenate(sets)
-    known, inverse = np.unique(flat, return_inverse=True)
-    order = np.lexsort((known, -frequencies[_cells(known)]))
+    known, inverse, often = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
     rank = np.empty(len(known), np.int64)
     rank[order] = np.arange(len(known))
     ranked = [np.sort(x) for x in np.split(rank[inverse], np.cumsum([len(x) for x in sets])[:-1])]
@@ -362,12 +362,12 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
     return _by_task(rows.select("hub", "i", "j", "chunk", "c1", "c2", "n", "sketch"), run, "hub bigint, i int, j int, chunk int, c1 bigint, c2 bigint")
 
 
-def _links(rows: DataFrame, frequencies, percent: int) -> DataFrame:
+def _links(rows: DataFrame, percent: int) -> DataFrame:
     """Links that span each task's components."""
 
     def run(table: pa.Table, sides: np.ndarray) -> Iterator[pa.RecordBatch]:
         sets = [x.values.to_numpy().view(np.uint64) for x in table["shingles"]]
-        found = spanning_links(sets, sides, frequencies.value, percent)
+        found = spanning_links(sets, sides, percent)
         if found:
             names = [f"{a & 2**64 - 1:016x}{b & 2**64 - 1:016x}" for a, b in zip(table["c1"].to_pylist(), table["c2"].to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in found]), pa.array([names[b] for _, b in found])], ["u", "v"])
@@ -379,21 +379,20 @@ def _linked(documents: DataFrame, width: int, percent: int, chunk_sets: int = CH
     """doc_id, hash of the text, set size, component and its least doc_id of
     every document, and the written tables behind them."""
     context = documents.sparkSession.sparkContext
-    frequencies = context.broadcast(shingle_frequencies(documents, width))
-    members = materialize(_signatures(documents, width, percent, frequencies), "signatures")
-    filled = members.where("n > 0")
-    classes = materialize(filled.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("least")), "classes")
-
-    # c1 alone stands for a class until the blocks are known: two classes that share it only widen a block
-    rare = filled.groupBy("c1", "c2").agg(F.first("rare").alias("rare"))
-    posts = rare.select("c1", F.explode("rare").alias("shingle")).repartition("shingle")
-    hubs = posts.groupBy("shingle").agg(F.min("c1").alias("hub"), F.max("c1").alias("last")).where("hub <> last").select("shingle", "hub")
+    weights = context.broadcast(word_weights(documents))
+    members = materialize(_signatures(documents, width, percent, weights), "signatures")
+    # copies lose their arrays before anything is exploded or joined
+    alike = members.where("n > 0").groupBy("c1", "c2", "n")
+    classes = materialize(alike.agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("rare").alias("rare")), "classes")
+
+    # c1 alone names a class until the blocks are known; two classes that share it widen a block
+    posts = classes.select("c1", F.explode("rare").alias("shingle"))
+    hubs = posts.groupBy("shingle").agg(F.min("c1").alias("hub"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("shingle", "hub")
     blocks = materialize(posts.join(hubs, "shingle").select("hub", "c1").distinct(), "blocks")
 
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / chunk_shingles)).cast("int")
     sizes = blocks.join(classes.select("c1", "n"), "c1").groupBy("hub").agg(chunks.alias("chunks"))
-    sketches = filled.groupBy("c1", "c2", "n").agg(F.first("sketch").alias("sketch"))
-    dealt = blocks.join(sizes, "hub").join(sketches, "c1")
+    dealt = blocks.join(sizes, "hub").join(classes.select("c1", "c2", "n", "sketch"), "c1")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("c1", "c2"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
@@ -403,7 +402,7 @@ def _linked(documents: DataFrame, width: int, percent: int, chunk_sets: int = CH
     wanted = materialize(wanted.select(F.coalesce("least", F.lit(_NO_ID)).alias("id")).distinct(), "wanted")
     texts = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(small(wanted), "id", "left_semi")
     sets = _sets(texts, width).dropDuplicates(["c1", "c2"])
-    links = _links(possible.join(sets, ["c1", "c2"]), frequencies, percent)
+    links = _links(possible.join(sets, ["c1", "c2"]), percent)
 
     roots = components(links)
     node = F.concat(F.lpad(F.lower(F.hex("c1")), 16, "0"), F.lpad(F.lower(F.hex("c2")), 16, "0"))
