@@ -7,21 +7,26 @@ phone number without +, an address with spaces about its @).  Its tags obey
 the CRF's transitions, and every span must hold a digit or an @, so windows
 without either decode to no span and are not computed.
 
-Texts are covered by overlapping windows on a fixed grid.  A window's spans
-that touch an end of it inside the text are left to its neighbours; the rest
-are reconciled over the whole text by weighted interval scheduling on their
-tag scores.  Spans that touch a pattern's span are dropped: the patterns'
-spans always stay.
+Texts are covered by overlapping windows on a fixed grid.  A span shorter than
+the stride lies inside of some window; a window's spans that touch an end of
+it inside the text are left to that one.  Longer spans run through several
+windows: what one window leaves open at its end is joined with what the next
+one has of that kind at its start, so no length is lost.  All are reconciled
+over the whole text by weighted interval scheduling on their tag scores.
+Spans that touch a pattern's span are dropped: the patterns' spans always stay.
 
 The network is trained on the driver from a bounded number of windows
-(``TRAIN_WINDOWS``): stretches of ``CONTEXT_CHARS`` code points from at most
-``CONTEXT_TEXTS`` documents, both chosen by hash, with labelled values of each
-kind and look-alikes set in.
-The seed is fixed, so a table always gives the same network.
+(``TRAIN_WINDOWS`` of ``TRAIN_CHARS`` code points): stretches of
+``CONTEXT_CHARS`` code points from at most ``CONTEXT_TEXTS`` documents, both
+chosen by hash, with labelled values of each kind and look-alikes set in.
+The seed is fixed, so a table always gives the same network; a process that
+has trained on the same stretches uses that network again.
 
 Null and empty texts have no spans.  Positions count code points, ends are
-exclusive.  Rows are independent, so ties and repeats need no care.  With an
-empty table the network learns from made-up words alone.
+exclusive.  Rows are independent, so ties and repeats need no care.  Texts of
+any length are taken whole: a batch of windows is held at a time.  ``redact``
+keeps all columns, whatever their names; ``find_personal_data`` ignores extra
+ones.  With an empty table the network learns from made-up words alone.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ from tidemark.llm.hashing import pieces
 from tidemark.llm.storage import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 80, 40
+WINDOW, STRIDE, TRAIN_CHARS = 160, 80, 80
 HIDDEN, EMBED = 24, 12
 TRAIN_WINDOWS, CONTEXT_TEXTS, CONTEXT_CHARS = 6000, 400, 1000
 BATCH, STEPS, SEED = 64, 420, 20
@@ -311,13 +316,13 @@ def look_alike(rng: np.random.Generator) -> str:
 
 def training_windows(contexts: list[str], count: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and tags of windows with labelled values and look-alikes set in."""
-    plain = [x for x in (_TRIGGER.sub("", t) for t in contexts) if len(x) >= 2 * WINDOW]
-    chars, tags = np.zeros((count, WINDOW), np.int64), np.zeros((count, WINDOW), np.int64)
+    plain = [x for x in (_TRIGGER.sub("", t) for t in contexts) if len(x) >= 2 * TRAIN_CHARS]
+    chars, tags = np.zeros((count, TRAIN_CHARS), np.int64), np.zeros((count, TRAIN_CHARS), np.int64)
     for row in range(count):
         if plain and rng.random() < 0.9:
             own = plain[rng.integers(0, len(plain))]
-            at = rng.integers(0, len(own) - WINDOW)
-            around = own[at : at + WINDOW]
+            at = rng.integers(0, len(own) - TRAIN_CHARS)
+            around = own[at : at + TRAIN_CHARS]
         else:
             around = " ".join(_word(rng) for _ in range(20))
         text, marks, used = "", [], 0
@@ -340,12 +345,12 @@ def training_windows(contexts: list[str], count: int, rng: np.random.Generator)
             marks += [0] * len(tail)
         text += around[used:]
         marks += [0] * (len(text) - len(marks))
-        start = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
-        own = marks[start : start + WINDOW]
+        start = int(rng.integers(0, max(1, len(text) - TRAIN_CHARS + 1)))
+        own = marks[start : start + TRAIN_CHARS]
         for place, tag in enumerate(own):  # a span that the window cuts is learned from its first tag here on
             if place == 0 and tag and tag % 2 == 0:
                 own[0] = tag - 1
-        part = symbols(text[start : start + WINDOW])
+        part = symbols(text[start : start + TRAIN_CHARS])
         chars[row, : len(part)], tags[row, : len(own)] = part, own
     return chars, tags
 
@@ -370,12 +375,33 @@ def train(contexts: list[str], windows: int = TRAIN_WINDOWS, steps: int = STEPS,
     return net
 
 
-def train_on(documents: DataFrame) -> Network:
-    """A tagger whose contexts are stretches of ``CONTEXT_TEXTS`` documents."""
+#: Networks by the digest of the stretches they learned from.
+_trained: dict[str, Network] = {}
+
+
+def training_contexts(documents: DataFrame) -> list[str]:
+    """Stretches of at most ``CONTEXT_TEXTS`` documents, by hash.
+
+    A rate that follows from the number of rows leaves some four times as many
+    before they are sorted, whatever the partitions; equal rows count once.
+    """
+    rate = max(1, documents.count() // (4 * CONTEXT_TEXTS))
     room = F.greatest(F.length("text") - CONTEXT_CHARS, F.lit(1)).cast("bigint")
     stretch = F.col("text").substr((F.pmod(F.xxhash64("text"), room) + 1).cast("int"), F.lit(CONTEXT_CHARS))
-    few = documents.where("text is not null").select(F.xxhash64("doc_id").alias("place"), stretch.alias("text"))
-    return train([r["text"] for r in few.orderBy("place", "text").limit(CONTEXT_TEXTS).collect()])
+    few = documents.where("text is not null").select(F.xxhash64("doc_id", "text").alias("place"), stretch.alias("text"))
+    few = few.where(F.pmod("place", F.lit(rate)) == 0).groupBy("place").agg(F.min("text").alias("text"))
+    return [r["text"] for r in few.orderBy(F.xxhash64("place"), "place").limit(CONTEXT_TEXTS).collect()]
+
+
+def train_on(documents: DataFrame) -> Network:
+    """A tagger whose contexts are stretches of ``CONTEXT_TEXTS`` documents."""
+    contexts = training_contexts(documents)
+    digest = hashlib.sha256("\0".join(contexts).encode("utf-8", "replace")).hexdigest()
+    if digest not in _trained:
+        while len(_trained) >= 4:
+            _trained.pop(next(iter(_trained)))
+        _trained[digest] = train(contexts)
+    return _trained[digest]
 
 
 # ------------------------------------------------------------------ decoding
@@ -428,11 +454,29 @@ def reconcile(candidates: list[tuple[float, Span]]) -> list[Span]:
     return out[::-1]
 
 
+@dataclass
+class _Open:
+    """A span that has run to the end of the window at ``at``."""
+
+    at: int
+    start: int
+    end: int
+    kind: int
+    score: float
+
+
 def learned_spans(texts: list[str], net: Network, batch: int = 256) -> list[list[Span]]:
     """The network's spans in each text, reconciled over its windows."""
     places = [(row, start) for row, text in enumerate(texts) for start in _window_starts(text)]
     found: list[list[tuple[float, Span]]] = [[] for _ in texts]
+    running: list[list[_Open]] = [[] for _ in texts]
     move = net.weights["move"] + ALLOWED
+
+    def closed(row: int, span: Span, score: float) -> None:
+        value = texts[row][span[0] : span[1]]
+        if score > 0 and _TRIGGER.search(value) and _valid(value, span[2]):
+            found[row].append((score, span))
+
     for a in range(0, len(places), batch):
         part = places[a : a + batch]
         chars = np.zeros((len(part), WINDOW), np.int64)
@@ -443,19 +487,27 @@ def learned_spans(texts: list[str], net: Network, batch: int = 256) -> list[list
         tags = viterbi(scores, move)
         for k in np.flatnonzero(tags.any(axis=1)).tolist():
             row, start = part[k]
-            text, own = texts[row], tags[k]
+            own, size = tags[k], len(texts[row])
+            before = [x for x in running[row] if x.at == start - STRIDE]
+            running[row] = []
             for s in np.flatnonzero(own % 2 == 1).tolist():
                 kind, e = (int(own[s]) - 1) // 2, s + 1
                 while e < WINDOW and own[e] == own[s] + 1:
                     e += 1
-                if (s == 0 and start > 0) or start + e > len(text) or (e == WINDOW and start + e < len(text)):
+                if start + e > size:
                     continue
-                value = text[start + s : start + e]
-                if _TRIGGER.search(value) and _valid(value, kind):
-                    steps = np.arange(s, e)
-                    score = float((scores[steps, k, own[steps]] - scores[steps, k, 0]).sum())
-                    if score > 0:
-                        found[row].append((score, (start + s, start + e, kind)))
+                steps = np.arange(s, e)
+                gains = scores[steps, k, own[steps]] - scores[steps, k, 0]
+                first, score = start + s, float(gains.sum())
+                if s == 0 and start > 0:  # goes on from the window before, or belongs to it
+                    cut = next((x for x in before if x.kind == kind and start <= x.end <= start + e), None)
+                    if cut is None:
+                        continue
+                    first, score = cut.start, cut.score + float(gains[cut.end - start :].sum())
+                if e == WINDOW and start + e < size:
+                    running[row].append(_Open(start, first, start + e, kind, score))
+                else:
+                    closed(row, (first, start + e, kind), score)
     return [reconcile(x) for x in found]
 
 
