@@ -6,38 +6,54 @@ texts of few words or much repetition.
 
 Texts that pass are judged by their statistics: logarithms and shares that
 form a vector.  Its location and scatter are minimum-covariance-determinant
-estimates of each (language, source): from a start at the medians,
-concentration steps refit mean and covariance on the ``HELD`` share of
-vectors nearest by Mahalanobis distance.  A vector whose distance to its
-estimate is beyond the chi-square quantile for ``1 - REJECT`` is rejected.
-Groups of fewer than ``LEAST_GROUP`` vectors use their language's estimate,
-or the whole table's.
+estimates of each (language, source).  From each of three deterministic starts
+(scatters about the medians: of the median absolute deviations, of squashed
+values, and of directions), concentration steps refit mean and covariance on
+the ``HELD`` share of vectors nearest by Mahalanobis distance, until no group's
+determinant falls any more; the start that ends at the least determinant is
+taken, and mean and covariance are fitted once more on the vectors that it
+does not hold for outlying (``REWEIGHT``).  A vector whose squared distance is
+beyond the chi-square quantile for ``1 - REJECT`` is rejected.
+
+Every document belongs to one group.  Those of fewer than ``LEAST_GROUP``
+passing vectors are pooled by language, and pools still too small with one
+another; if even that pool is too small, its documents are not judged by
+distance.
 
 Everything is DataFrame expressions.  Texts are read once; the rest works on
 a written table of numbers.  Groups are only ever aggregated with partial
-sums and sketches, so a hot source costs no single task more than others.
+sums, so a hot source costs no single task more than others.  Shares of a
+group are found from exact counts of fine steps of the value (``STEPS_A_UNIT``
+to a unit, or to a unit of the logarithm of a distance), so results do not
+depend on how rows are partitioned.  Estimates are broadcast if their rows
+take few bytes; else the rows of a group are dealt over several tasks.
 
 Null and empty texts have no words and fail.  Null language or source form
-groups of their own.  Repeated rows are documents of their own.  Empty tables
+groups of their own.  Repeated rows are documents of their own, and ties in
+distance stay together.  Texts of any length are taken whole.  Empty tables
 give empty results.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.llm.storage import materialize, small
+from tidemark.llm.storage import fits, materialize, met
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 HELD = 0.75
-STEPS = 3
-REJECT = 1e-9
+REWEIGHT = 0.975
+REJECT = 1e-3
 LEAST_GROUP = 100
+MOST_STEPS = 30
+STEPS_A_UNIT = 256
 
 #: Least standard deviation of each statistic, in the statistics' own units;
 #: keeps shares that are nearly always 0 from making every other value odd.
@@ -128,9 +144,11 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def inverse(matrix: Column, size: int) -> Column:
-    """Inverse of a positive definite matrix in row order, by Gauss-Jordan sweeps."""
+    """Inverse of a positive definite matrix in row order, by Gauss-Jordan
+    sweeps, and the logarithm of its determinant (fields cells, log_det)."""
 
-    def sweep(a: Column, k: Column) -> Column:
+    def sweep(state: Column, k: Column) -> Column:
+        a = state["cells"]
         pivot = F.get(a, k * (size + 1))
 
         def cell(m: Column) -> Column:
@@ -138,9 +156,9 @@ def inverse(matrix: Column, size: int) -> Column:
             row, column = F.get(a, k * size + j), F.get(a, i * size + k)
             return F.when((i == k) & (j == k), 1 / pivot).when(i == k, row / pivot).when(j == k, -column / pivot).otherwise(F.get(a, m) - column * row / pivot)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), cell)
+        return F.struct(F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), cell).alias("cells"), (state["log_det"] + F.log(pivot)).alias("log_det"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), matrix, sweep)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.struct(matrix.alias("cells"), F.lit(0.0).alias("log_det")), sweep)
 
 
 def distance(center: Column, precision: Column) -> Column:
@@ -165,58 +183,147 @@ def concentration(share: float, degrees: int) -> float:
     return share / low
 
 
-def _estimates(rows: DataFrame, factor: float) -> DataFrame:
-    """center and precision of each group's rows."""
-    p = len(STATISTICS)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in STATISTICS]).alias("s"), F.array(*[F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])) for i, j in pairs]).alias("q"))
-    mean = [F.get("s", F.lit(i)) / F.col("n") for i in range(p)]
-    floors = list(FLOORS.values())
+_P = len(STATISTICS)
+_PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
+
+
+def _vector(columns: list[Column]) -> list[Column]:
+    """Sums of the columns and of their products, for an aggregation."""
+    return [F.array(*[F.sum(c) for c in columns]).alias("s"), F.array(*[F.sum(columns[i] * columns[j]) for i, j in _PAIRS]).alias("q")]
+
+
+def _covariance(n: Column, s: Column, q: Column, factor: float = 1.0) -> list[Column]:
+    """Covariance cells from sums, none of its variances under the floor."""
+    mean = [F.get(s, F.lit(i)) / n for i in range(_P)]
     cells = []
-    for i in range(p):
-        for j in range(p):
-            q = F.get("q", F.lit(pairs.index((min(i, j), max(i, j))))) / F.col("n") - mean[i] * mean[j]
-            cells.append(F.lit(factor) * q + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0)))
-    moments = sums.select("group", F.array(*mean).alias("center"), F.array(*cells).alias("scatter"))
-    return moments.select("group", "center", inverse(F.col("scatter"), p).alias("precision"))
-
-
-def fit_groups(stats: DataFrame, held: float = HELD, steps: int = STEPS, least_group: int = LEAST_GROUP) -> DataFrame:
-    """group, center and precision of every group that is large enough.
-
-    Groups are named for language and source, for the language, and ''.
-    """
-    keys = F.array(_group("lang", "source"), _group("lang"), F.lit(""))
-    rows = stats.where(~F.col("base_failed")).select(F.explode(keys).alias("group"), *STATISTICS)
-    medians = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.percentile_approx(c, F.lit(0.5), F.lit(2000)) for c in STATISTICS]).alias("center"))
-    medians = materialize(medians.where((F.col("n") >= least_group) | (F.col("group") == "")).select("group", "center"), "medians")
-    p = len(STATISTICS)
-    spread = [F.percentile_approx(F.abs(F.col(c) - F.get("center", F.lit(i))), F.lit(0.5), F.lit(2000)) for i, c in enumerate(STATISTICS)]
-    scaled = rows.join(small(medians), "group").groupBy("group").agg(F.first("center").alias("center"), F.array(*spread).alias("mad"))
-    own = [1 / (F.pow(1.4826 * F.get("mad", F.lit(i)), 2) + floor**2) for i, floor in enumerate(FLOORS.values())]
-    diagonal = F.array(*[own[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
-    now = materialize(scaled.select("group", "center", diagonal.alias("precision")), "estimates")
-    factor = concentration(held, p)
-    for _ in range(steps):
-        placed = rows.join(small(now), "group").select("group", *STATISTICS, distance(F.col("center"), F.col("precision")).alias("d"))
-        cuts = materialize(placed.groupBy("group").agg(F.percentile_approx("d", F.lit(held), F.lit(2000)).alias("cut")), "cuts")
-        now = materialize(_estimates(placed.join(small(cuts), "group").where("d <= cut"), factor), "estimates", done=[cuts, now])
-    return now
+    for i in range(_P):
+        for j in range(_P):
+            cell = (F.get(q, F.lit(_PAIRS.index((min(i, j), max(i, j))))) / n - mean[i] * mean[j]) * factor
+            cells.append(F.greatest(cell, F.lit(FLOORS[STATISTICS[i]] ** 2)) if i == j else cell)
+    return cells
+
+
+def _fitted(sums: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """center, precision and log_det from the sums of each group."""
+    moments = sums.select(*keys, F.array(*[F.get("s", F.lit(i)) / F.col("n") for i in range(_P)]).alias("center"), inverse(F.array(*_covariance(F.col("n"), F.col("s"), F.col("q"), factor)), _P).alias("i"))
+    return moments.select(*keys, "center", F.col("i.cells").alias("precision"), F.col("i.log_det").alias("log_det"))
+
+
+def _share_step(counted: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """The least step of each group under or at which its share of rows lies."""
+    order = Window.partitionBy(*keys).orderBy("step")
+    so_far = counted.withColumns({"below": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy(*keys))})
+    return so_far.where(F.col("below") >= F.ceil(share * F.col("all"))).groupBy(*keys).agg(F.min("step").alias("step"))
+
+
+def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """group and the medians of the values, to a fine step, as an array."""
+    steps = rows.select("group", F.posexplode(F.array(*[F.floor(v * (16 * STEPS_A_UNIT)) for v in values])).alias("place", "step"))
+    found = _share_step(steps.groupBy("group", "place", "step").agg(F.count(F.lit(1)).alias("n")), ["group", "place"], 0.5)
+    at = F.sort_array(F.collect_list(F.struct("place", "step")))
+    return found.groupBy("group").agg(F.transform(at, lambda x: (x["step"] + 0.5) / (16 * STEPS_A_UNIT)).alias("medians"))
+
+
+def with_groups(stats: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+    """``stats`` with the group that each document is judged in; null where
+    that is too small."""
+    by_source, by_language = _group("lang", "source"), _group("lang")
+    named = stats.withColumn("by_source", by_source)
+    sizes = named.where(~F.col("base_failed")).groupBy("by_source", by_language.alias("by_language")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(sizes, "group-sizes")
+    few = sizes.where(F.col("n") < least_group).groupBy("by_language").agg(F.sum("n").alias("pool"))
+    rest = few.where(F.col("pool") < least_group).agg(F.sum("pool")).first()[0] or 0
+    last = F.lit(0 if rest >= least_group else None).cast("bigint")
+    placed = sizes.join(few, "by_language", "left").select("by_source", F.when(F.col("n") >= least_group, F.col("by_source")).when(F.col("pool") >= least_group, F.col("by_language")).otherwise(last).alias("group"))
+    return met(named, placed, ["by_source"], fits(placed), "left").drop("by_source")
+
+
+def _distances(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """Each vector under each estimate of its group, with the step of its distance."""
+    placed = met(rows, now.select("group", "start", "center", "precision"), ["group"], few)
+    away = distance(F.col("center"), F.col("precision"))
+    return placed.select("group", "start", *STATISTICS, F.floor(F.log(away + 1e-9) * STEPS_A_UNIT).alias("step"))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """group, start, center, precision and log_det of the three starts."""
+    columns = [F.col(c) for c in STATISTICS]
+    centers = materialize(_medians(rows, columns), "medians")
+    few = fits(centers, items=_P)
+    about = met(rows, centers, ["group"], few)
+    spread = _medians(about.select("group", *[F.abs(c - F.get("medians", F.lit(i))).alias(n) for i, (c, n) in enumerate(zip(columns, STATISTICS))]), columns)
+    scales = [F.greatest(1.4826 * F.get("spread", F.lit(i)), F.lit(floor)) for i, floor in enumerate(FLOORS.values())]
+    scaled = centers.join(spread.withColumnRenamed("medians", "spread"), "group").select("group", F.col("medians").alias("center"), F.array(*scales).alias("scale"))
+    scaled = materialize(scaled, "scales", done=[centers])
+    z = met(rows, scaled, ["group"], few).select("group", *[((c - F.get("center", F.lit(i))) / F.get("scale", F.lit(i))).alias(n) for i, (c, n) in enumerate(zip(columns, STATISTICS))])
+    length = F.greatest(F.sqrt(_sum([c * c for c in columns])), F.lit(1e-12))
+    z = z.select("group", *STATISTICS, *[F.tanh(c).alias(f"t{i}") for i, c in enumerate(columns)], *[(c / length).alias(f"u{i}") for i, c in enumerate(columns)])
+    squashed, directions = _vector([F.col(f"t{i}") for i in range(_P)]), _vector([F.col(f"u{i}") for i in range(_P)])
+    sums = z.groupBy("group").agg(F.count(F.lit(1)).alias("n"), squashed[0], squashed[1], directions[1].alias("u"))
+    sums = sums.join(scaled, "group")
+
+    def scatter(cell) -> Column:
+        own = []
+        for i in range(_P):
+            for j in range(_P):
+                value = cell(i, j) * F.get("scale", F.lit(i)) * F.get("scale", F.lit(j))
+                own.append(F.greatest(value, F.lit(FLOORS[STATISTICS[i]] ** 2)) if i == j else value)
+        return F.array(*own)
+
+    def pair(column: str, i: int, j: int) -> Column:
+        return F.get(column, F.lit(_PAIRS.index((min(i, j), max(i, j))))) / F.col("n")
+
+    # 0.394 is the variance of a squashed standard normal value, 1 / _P that of a direction's part
+    kinds = [
+        scatter(lambda i, j: F.lit(1.0 if i == j else 0.0)),
+        scatter(lambda i, j: (pair("q", i, j) - F.get("s", F.lit(i)) * F.get("s", F.lit(j)) / (F.col("n") * F.col("n"))) / 0.394),
+        scatter(lambda i, j: pair("u", i, j) * _P),
+    ]
+    each = sums.select("group", "center", F.posexplode(F.array(*kinds)).alias("start", "scatter"))
+    each = each.select("group", "start", "center", inverse(F.col("scatter"), _P).alias("i"))
+    return materialize(each.select("group", "start", "center", F.col("i.cells").alias("precision"), F.col("i.log_det").alias("log_det")), "estimates", done=[scaled])
+
+
+def fit_groups(rows: DataFrame, held: float = HELD, most_steps: int = MOST_STEPS) -> DataFrame:
+    """group, center and precision of every group of the vectors."""
+    columns = [F.col(c) for c in STATISTICS]
+    now = starts(rows)
+    few = fits(now, items=_P * _P)
+    keys = ["group", "start"]
+    for _ in range(most_steps):
+        placed = _distances(rows, now, few)
+        cuts = _share_step(placed.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("n")), keys, held).withColumnRenamed("step", "cut")
+        sums = met(placed, cuts, keys, few).where("step <= cut").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *_vector(columns))
+        old = now.select(*keys, F.col("log_det").alias("old"))
+        fitted = _fitted(sums, keys, 1.0).join(old, keys).withColumn("fall", F.col("old") - F.col("log_det")).drop("old")
+        now = materialize(fitted, "estimates", done=[now])
+        fall = now.agg(F.max("fall")).first()[0]
+        if fall is None or fall < 1e-6:
+            break
+    best = now.groupBy("group").agg(F.min(F.struct(F.round("log_det", 9).alias("log_det"), "start")).alias("best")).select("group", "best.start")
+    # the covariance of the nearest share, made consistent and inverted again
+    chosen = now.join(best, keys).select("group", F.lit(0).alias("start"), "center", inverse(F.col("precision"), _P)["cells"].alias("scatter"))
+    factor = concentration(held, _P)
+    cells = [F.get("scatter", F.lit(m)) * factor for m in range(_P * _P)]
+    cells = [F.greatest(c, F.lit(FLOORS[STATISTICS[m // _P]] ** 2)) if m % (_P + 1) == 0 else c for m, c in enumerate(cells)]
+    raw = materialize(chosen.select("group", "start", "center", inverse(F.array(*cells), _P)["cells"].alias("precision")), "estimates", done=[now])
+    kept = _distances(rows, raw, few).where(F.col("step") <= math.floor(math.log(chi_square(REWEIGHT, _P)) * STEPS_A_UNIT))
+    sums = kept.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *_vector(columns))
+    return materialize(_fitted(sums, ["group"], concentration(REWEIGHT, _P)).select("group", "center", "precision"), "estimates", done=[raw])
 
 
 def _group(*names: str) -> Column:
-    return F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), n), F.lit("")) for n in names]))
+    """A number for a group: the hash of its names, null ones told apart."""
+    return F.xxhash64(F.lit(len(names)), *[F.coalesce(F.concat(F.lit("="), n), F.lit("")) for n in names])
 
 
-def judge(documents: DataFrame, reject: float = REJECT) -> DataFrame:
+def judge(documents: DataFrame, reject: float = REJECT, least_group: int = LEAST_GROUP) -> DataFrame:
     """doc_id, counts, base_failed, distance and kept of every document."""
     stats = materialize(vector(base_statistics(documents)), "statistics")
-    fitted = fit_groups(stats)
-    cut = chi_square(1 - reject, len(STATISTICS))
-    out = stats.withColumns({"g0": _group("lang", "source"), "g1": _group("lang"), "g2": F.lit("")})
-    for k in range(3):
-        out = out.join(small(fitted.select(F.col("group").alias(f"g{k}"), F.col("center").alias(f"c{k}"), F.col("precision").alias(f"p{k}"))), f"g{k}", "left")
-    away = distance(F.coalesce("c0", "c1", "c2"), F.coalesce("p0", "p1", "p2"))
-    out = out.withColumn("distance", away)
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
+    grouped = materialize(with_groups(stats, least_group).drop("lang", "source"), "statistics", done=[stats])
+    rows = grouped.where(~F.col("base_failed") & F.col("group").isNotNull()).select("group", *STATISTICS)
+    fitted = fit_groups(rows)
+    out = met(grouped, fitted, ["group"], fits(fitted, items=_P * _P), "left")
+    out = out.withColumn("distance", distance(F.col("center"), F.col("precision")))
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi_square(1 - reject, _P))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
