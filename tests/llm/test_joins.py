@@ -87,7 +87,6 @@ def test_prefix_tree():
     rng = np.random.default_rng(3)
     from tidemark.llm.hashing import mix
 
-    often = np.ones(1 << ngram_join.CELL_BITS, np.int64)
     for _ in range(60):
         bases = [mix(rng.integers(0, 2**62, rng.integers(1, 60)).astype(np.uint64)) for _ in range(4)]
         made = {}
@@ -107,7 +106,7 @@ def test_prefix_tree():
                     both = len(np.intersect1d(sets[i], sets[j]))
                     if (not across or sides[i] != sides[j]) and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
                         true.append((i, j))
-            found = ngram_join.spanning_links(sets, sides, often, 90)
+            found = ngram_join.spanning_links(sets, sides, 90)
             assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in true}
             groups = [ngram_join._Groups(len(sets)) for _ in range(2)]
             for own, links in zip(groups, (found, true)):
@@ -153,7 +152,7 @@ def test_edit_distance(spark):
         rows.append((a, "".join(b)))
     pairs = spark.createDataFrame(rows, "a string, b string")
     for threshold in (1, 2, 4):
-        found = pairs.select("a", "b", linededup.within_edits(F.col("a"), F.col("b"), threshold).alias("near")).collect()
+        found = pairs.select("a", "b", linededup.within_edits(linededup.letters_of(F.col("a")), linededup.letters_of(F.col("b")), threshold).alias("near")).collect()
         assert [r.near for r in found] == [edits(r.a, r.b) <= threshold for r in found]
 
 
@@ -181,8 +180,8 @@ def plain_dedupe(rows, threshold, least):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize(("broadcast_rows", "chunk_lines"), [(0, 2), (500_000, 128)])
-def test_lines(spark, broadcast_rows, chunk_lines):
+@pytest.mark.parametrize(("broadcast_bytes", "chunk_lines"), [(0, 2), (24_000_000, 128)])
+def test_lines(spark, broadcast_bytes, chunk_lines):
     rng, extra = random.Random(9), []
     pool = [prose(k, 6).replace("\n", "") for k in range(12)]
     for k in range(40):
@@ -196,7 +195,7 @@ def test_lines(spark, broadcast_rows, chunk_lines):
         extra.append((300 + k, "\n".join(lines)))
     rows = [(i, t, "en", None, None, 0, "", "", 0, "z") for i, t in [*extra, (1, None), (2, ""), (None, pool[0]), (None, pool[0] + "\nshort"), (3, "short\nshort"), (4, prose(77, 9000)), (4, prose(77, 9000))]]
     docs = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
-    found = linededup.dedupe_lines(docs, 2, 12, broadcast_rows, chunk_lines)
+    found = linededup.dedupe_lines(docs, 2, 12, broadcast_bytes, chunk_lines)
     expected = plain_dedupe([r for r in rows if r[0] != 4], 2, 12)
     assert sorted((tuple(r) for r in found.where("doc_id is null or doc_id <> 4").select("doc_id", "text").collect()), key=key) == expected
     assert found.columns == [*docs.columns, "n_lines", "n_equal", "n_near"]

@@ -136,6 +136,52 @@ def test_windows_agree(net):
         assert [(text[a:b], k) for a, b, k in every] == [("743-555-3824", 3)]
 
 
+class Plain:
+    """A network that sees a character and the one before it: stretches of
+    digits are phone numbers."""
+
+    weights = {"move": np.zeros((pii.TAGS, pii.TAGS), np.float32)}
+
+    def scores(self, chars):
+        inside = np.isin(chars, pii.symbols("0123456789")).T
+        out = np.zeros((*inside.shape, pii.TAGS), np.float32)
+        begins = inside & ~np.concatenate((np.zeros_like(inside[:1]), inside[:-1]))
+        out[..., 8] = np.where(inside, 1, -1)
+        out[..., 7] = np.where(begins, 3, -3)
+        return out
+
+
+def test_seams_lose_nothing(monkeypatch):
+    """At every offset, spans shorter and longer than windows are found as in
+    one window that holds the whole text."""
+    monkeypatch.setattr(pii, "_valid", lambda value, kind: True)
+    texts = ["x" * offset + " " + "1" * length + " tail" * 40 for offset in range(0, 2 * pii.STRIDE) for length in (10, 38, 41, 57, 79, 80, 81, 120, 159, 160, 161, 250, 700)]
+    found = pii.learned_spans(texts, Plain())
+    monkeypatch.setattr(pii, "WINDOW", max(map(len, texts)))
+    assert found == pii.learned_spans(texts, Plain(), 64)
+    assert all(len(x) == 1 for x in found)
+
+
+def test_long_addresses(net):
+    """Loose addresses are found alike at all offsets, whatever their length."""
+    for value in ("kim.lee @ mail.example.com", "kimberley.alexandra @ mail.department . example.com"):
+        there = sum(any(text[a:b] == value for a, b, _ in every) for shift in range(0, 80, 4) for text in ["word " * (shift // 4 + 20) + value + " and more words that follow it" * 4] for _, every in pii.all_spans([text], net))
+        assert there in (0, 20) or there >= 18
+
+
+def test_viterbi_is_best():
+    """Against every sequence of tags of a short window."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        scores, move = rng.standard_normal((4, 1, pii.TAGS)).astype(np.float32) * 2, (rng.standard_normal((pii.TAGS, pii.TAGS)) + pii.ALLOWED).astype(np.float32)
+        found = pii.viterbi(scores, move)[0]
+        starts = [t for t in range(pii.TAGS) if t == 0 or t % 2 == 1]
+        best = max((t for t in itertools.product(range(pii.TAGS), repeat=4) if t[0] in starts), key=lambda t: sum(scores[i, 0, x] for i, x in enumerate(t)) + sum(move[a, b] for a, b in zip(t, t[1:])))
+        assert tuple(found) == best
+
+
 def test_reconcile():
     assert pii.reconcile([(1.0, (0, 5, 0)), (3.0, (4, 8, 1)), (1.5, (8, 9, 2)), (0.5, (8, 9, 2))]) == [(4, 8, 1), (8, 9, 2)]
     assert pii.reconcile([]) == []
@@ -242,7 +288,8 @@ def test_inverse(spark):
     half = rng.standard_normal((6, 9))
     matrix = half @ half.T
     row = spark.createDataFrame([([float(x) for x in matrix.ravel()],)], "m array<double>").select(quality.inverse(F.col("m"), 6)).first()[0]
-    assert np.allclose(np.array(row).reshape(6, 6), np.linalg.inv(matrix))
+    assert np.allclose(np.array(row.cells).reshape(6, 6), np.linalg.inv(matrix))
+    assert row.log_det == pytest.approx(np.linalg.slogdet(matrix)[1])
 
 
 def test_outliers(spark):
@@ -257,20 +304,75 @@ def test_outliers(spark):
     assert abs(quality.chi_square(0.95, 6) - 12.592) < 0.05
 
 
-def test_estimates_match_plain_concentration(spark):
-    """The fitted location is that of numpy's concentration steps."""
-    from tests.llm.common import DOCUMENTS
+def test_outliers_without_symbols(spark):
+    """Texts all in capitals, and of one-letter words, go as well."""
+    rows = [(k, prose(k, 60 + k % 90), "en", "s") for k in range(300)]
+    rows += [(1000, prose(7, 80).upper(), "en", "s"), (1001, " ".join(x[0] for x in prose(8, 200).split()), "en", "s")]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(found[k].kept for k in range(300))
+    assert not found[1000].kept and not found[1001].kept and found[1000].n_symbols == 0
+
+
+def plain_mcd(x):
+    """Centre and precision by numpy, from the same three starts."""
+    floors, p = np.array(list(quality.FLOORS.values())), x.shape[1]
+
+    def floored(c):
+        return c + np.diag(np.maximum(floors**2 - np.diag(c), 0))
+
+    def median(values):
+        steps = np.sort(np.floor(values * 16 * quality.STEPS_A_UNIT), axis=0)
+        return (steps[int(np.ceil(len(values) / 2)) - 1] + 0.5) / (16 * quality.STEPS_A_UNIT)
 
-    rows = [(k, prose(k, 60 + k % 90), "en", "s", None, 0, "", "", 0, "") for k in range(200)]
-    stats = quality.vector(quality.base_statistics(spark.createDataFrame(rows, DOCUMENTS)))
-    fitted = {r["group"]: r for r in quality.fit_groups(stats).collect()}
-    x = np.array([[r[c] for c in quality.STATISTICS] for r in stats.where("not base_failed").collect()])
-    floors = np.array(list(quality.FLOORS.values()))
-    center = np.median(x, axis=0)
-    precision = np.diag(1 / ((1.4826 * np.median(np.abs(x - center), axis=0)) ** 2 + floors**2))
-    for _ in range(quality.STEPS):
+    def steps(center, precision):
         d = np.einsum("ni,ij,nj->n", x - center, precision, x - center)
-        own = x[d <= np.quantile(d, quality.HELD)]
-        center = own.mean(axis=0)
-        precision = np.linalg.inv(np.cov(own.T, bias=True) * quality.concentration(quality.HELD, 6) + np.diag(floors**2))
-    assert np.allclose(fitted[""]["center"], center, atol=0.02)
+        return np.floor(np.log(d + 1e-9) * quality.STEPS_A_UNIT)
+
+    middle = median(x)
+    scale = np.maximum(1.4826 * median(np.abs(x - middle)), floors)
+    z = (x - middle) / scale
+    t, u = np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    ends = []
+    for scatter in (np.eye(p), np.cov(t.T, bias=True) / 0.394, u.T @ u / len(u) * p):
+        center, cov, last = middle, floored(scatter * np.outer(scale, scale)), np.inf
+        for _ in range(quality.MOST_STEPS):
+            at = steps(center, np.linalg.inv(cov))
+            own = x[at <= np.sort(at)[int(np.ceil(quality.HELD * len(x))) - 1]]
+            center, cov = own.mean(axis=0), floored(np.cov(own.T, bias=True))
+            now = np.linalg.slogdet(cov)[1]
+            if last - now < 1e-6:
+                break
+            last = now
+        ends.append((round(now, 6), len(ends), center, cov))
+    _, _, center, cov = min(ends, key=lambda e: e[:2])
+    raw = floored(cov * quality.concentration(quality.HELD, p))
+    own = x[steps(center, np.linalg.inv(raw)) <= np.floor(np.log(quality.chi_square(quality.REWEIGHT, p)) * quality.STEPS_A_UNIT)]
+    return own.mean(axis=0), np.linalg.inv(floored(np.cov(own.T, bias=True) * quality.concentration(quality.REWEIGHT, p)))
+
+
+@pytest.mark.parametrize("limit", [24_000_000, 0])
+def test_estimates_match_numpy(spark, monkeypatch, limit):
+    """Groups, centres, precisions and verdicts are those of numpy."""
+    from tidemark.llm import storage
+
+    monkeypatch.setattr(quality, "fits", lambda df, items=0: storage.fits(df, limit, items) if limit else False)
+    rng = random.Random(3)
+    rows = []
+    for k in range(900):
+        words = prose(k, rng.randrange(55, 200)).split()
+        if k % 5 == 0:
+            words = [w + " |" if rng.random() < 0.2 else w.upper() if rng.random() < 0.3 else w for w in words]
+        rows.append((k, " ".join(words), ["en", "fr", None][k % 7 % 3], ["a", "b", "c", None][k % 11 % 4] if k % 3 else f"rare{k % 40}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    stats = quality.with_groups(quality.vector(quality.base_statistics(docs)), 60).toPandas()
+    assert stats["group"].nunique() > 4
+    judged = {r.doc_id: r for r in quality.judge(docs, least_group=60).collect()}
+    cut = quality.chi_square(1 - quality.REJECT, 6)
+    for _, own in stats[~stats.base_failed].groupby("group"):
+        x = own[list(quality.STATISTICS)].to_numpy()
+        center, precision = plain_mcd(x)
+        away = np.einsum("ni,ij,nj->n", x - center, precision, x - center)
+        assert np.allclose([judged[i].distance for i in own.doc_id], away, rtol=1e-4)
+        assert [judged[i].kept for i in own.doc_id] == list(away <= cut)
+    small = stats.groupby(["lang", "source"], dropna=False).doc_id.transform("size") < 60
+    assert stats[small].group.nunique() < 4 and not set(stats[small].group.dropna()) & set(stats[~small].group)
