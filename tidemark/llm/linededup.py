@@ -50,7 +50,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import BROADCAST_BYTES, materialize, small, unused
+from tidemark.llm.storage import BROADCAST_BYTES, fits, materialize, small, unused
 
 THRESHOLD = 2
 LEAST_CHARS = 1
@@ -213,7 +213,8 @@ def _blank(text: Column) -> Column:
 def split_lines(documents: DataFrame, least_chars: int) -> DataFrame:
     """place (doc_id, row and number), normal form, its number of words and its
     two hashes of each line."""
-    split = documents.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    named = documents.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("row"), F.split("text", "\n").alias("lines"))
+    split = named.select("doc", "row", F.posexplode("lines").alias("number", "line"))
     normal = split.select(F.struct("doc", "row", "number").alias("place"), F.lower(F.trim("line")).alias("line")).where((F.length("line") >= least_chars) & ~_blank(F.col("line")))
     spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
     return normal.select("place", "line", (spaces + 1).alias("n_words"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
@@ -253,9 +254,18 @@ def _against_chunks(rows: DataFrame, entry: list[str], met, chunk_lines: int, br
     return asking.join(lists, ["key", "chunk"]).where(F.exists("others", met)).drop("others", "chunk", "chunks")
 
 
+def _once(lines: DataFrame, classes: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``lines`` without repeats, as far as the classes of more than one line
+    can be broadcast; repeats that stay make keys that count once all the same."""
+    often = classes.where("n > 1").select("k1", "k2", "first")
+    if not fits(often, broadcast_bytes):
+        return lines
+    return lines.join(F.broadcast(often), ["k1", "k2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("place"))).drop("first")
+
+
 def near_lines(lines: DataFrame, classes: DataFrame, threshold: int, broadcast_bytes: int, chunk_lines: int) -> DataFrame:
     """k1 and k2 of the distinct lines that have an earlier near line."""
-    posts = materialize(line_keys(lines, threshold), "line-keys")
+    posts = materialize(line_keys(_once(lines, classes, broadcast_bytes), threshold), "line-keys")
     shared = posts.groupBy("key").agg(F.min("post").alias("low"), F.max("post").alias("high"), F.min(F.col("post").bitwiseAND(F.lit(1))).alias("index"))
     shared = materialize(shared.where((_name(F.col("low")) != _name(F.col("high"))) & (F.col("index") == 0)).select("key"), "line-shared")
     met = posts.join(small(shared, broadcast_bytes), "key").groupBy("key", _name(F.col("post")).alias("name"))
