@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, fingerprint, langid, linededup, ngram_join, packing, pii, quality, quotes, urlfilter
@@ -22,7 +22,8 @@ def vocabulary() -> str:
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.thread_conversations(_table(spark, sf_dir, "conversations"))
+    """The table's messages quote nothing; two of three are made to."""
+    return quotes.thread_conversations(quotes.quoting(_table(spark, sf_dir, "conversations")))
 
 
 def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,15 +64,21 @@ URL_RULES = [
 ]
 
 
-#: Words in the hosts of URLs that count as labelled block; other
-#: URLs count as labelled allow.  The model itself sees no words.
-URL_SEEDS = ("casino", "bets", "pills", "ads", "loans", "replica")
+#: Share of symbols in a page's visible text from which on it counts as junk.
+JUNK_SYMBOLS = 0.02
+
+
+def junk_page(html: Column) -> Column:
+    """Whether the visible text of a page is full of symbols; null without one."""
+    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
+    return F.regexp_count(text, F.lit("[#*$%&|<>]")) > JUNK_SYMBOLS * F.length(text)
 
 
 def op8_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs that led to junk pages are labelled block, others allow; the model
+    sees the URL alone."""
     pages = _table(spark, sf_dir, "pages")
-    host = urlfilter.host_and_path(F.col("url"))[0]
-    labelled = pages.select("url", F.rlike(host, F.lit(rf"(^|[.-])({'|'.join(URL_SEEDS)})([.-]|$)")).alias("blocked"))
+    labelled = pages.select("url", junk_page(F.col("html")).alias("blocked"))
     return urlfilter.judge(pages, URL_RULES, urlfilter.fit(labelled))
 
 
@@ -88,7 +95,12 @@ def queries() -> dict[str, Query]:
 
 
 _THREADS_SQL = r"""
-WITH m AS (SELECT row_number() OVER () AS id, CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
+WITH told AS (SELECT row_number() OVER () AS id, CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
+said AS (SELECT conv_id, turn, min(text) AS said FROM told GROUP BY ALL),
+m AS (SELECT t.id, t.conv_id, t.turn, t.role, CASE WHEN ((t.conv_id + t.turn) % 3 + 3) % 3 > 0 AND a.said IS NOT NULL AND t.text IS NOT NULL THEN
+  CASE WHEN ((t.conv_id + t.turn) % 3 + 3) % 3 = 2 AND b.said IS NOT NULL THEN '> > ' || replace(b.said, chr(10), chr(10) || '> > ') || chr(10) ELSE '' END ||
+  '> ' || replace(a.said, chr(10), chr(10) || '> ') || chr(10) || chr(10) || t.text ELSE t.text END AS text
+  FROM told t LEFT JOIN said a ON t.conv_id = a.conv_id AND t.turn = a.turn + 1 LEFT JOIN said b ON t.conv_id = b.conv_id AND t.turn = b.turn + 2),
 lines AS (SELECT id, conv_id, turn, n, list_extract(string_split(text, chr(10)), n) AS line
   FROM m, LATERAL (SELECT unnest(generate_series(1, len(string_split(text, chr(10))))) AS n)),
 parsed AS (SELECT *, regexp_extract(line, '^(?:[ \t]*>)+') AS marks FROM lines),
@@ -98,10 +110,11 @@ breaks AS (SELECT *, CASE WHEN body <> '' AND level = lag(level) OVER w AND lag(
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS island FROM breaks),
 passages AS (SELECT id, conv_id, turn, level, string_agg(body, ' ' ORDER BY n) AS passage FROM islands WHERE body <> '' GROUP BY id, conv_id, turn, level, island),
 own AS (SELECT conv_id, passage, min(turn) AS turn FROM passages WHERE level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-anywhere AS (SELECT passage, min((conv_id, turn)) AS first FROM own GROUP BY passage),
+firsts AS (SELECT passage, min((conv_id, turn)) AS first FROM own GROUP BY passage),
+anywhere AS (SELECT f.passage, f.first, min((o.conv_id, o.turn)) FILTER (o.conv_id <> f.first[1]) AS second FROM firsts f JOIN own o ON f.passage = o.passage GROUP BY f.passage, f.first),
 quotes AS (SELECT DISTINCT id, conv_id, turn, level, passage FROM passages WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
-links AS (SELECT q.id, q.level, CASE WHEN o.turn < q.turn THEN q.conv_id WHEN a.first[1] <> q.conv_id THEN a.first[1] END AS origin_conv,
-  CASE WHEN o.turn < q.turn THEN o.turn WHEN a.first[1] <> q.conv_id THEN a.first[2] END AS origin_turn, q.conv_id AS asked
+links AS (SELECT q.id, q.level, CASE WHEN o.turn < q.turn THEN q.conv_id WHEN a.first[1] <> q.conv_id THEN a.first[1] ELSE a.second[1] END AS origin_conv,
+  CASE WHEN o.turn < q.turn THEN o.turn WHEN a.first[1] <> q.conv_id THEN a.first[2] ELSE a.second[2] END AS origin_turn, q.conv_id AS asked
   FROM quotes q LEFT JOIN own o ON q.conv_id = o.conv_id AND q.passage = o.passage LEFT JOIN anywhere a ON q.passage = a.passage),
 found AS (SELECT id, count(*) AS n_quotes, count(origin_turn) AS n_linked,
   min(CASE WHEN origin_conv = asked THEN (level, -origin_turn) END) AS here, min(CASE WHEN origin_conv <> asked THEN (level, origin_conv, origin_turn) END) AS there FROM links GROUP BY id),
@@ -113,7 +126,7 @@ joined AS (SELECT m.id, m.conv_id, m.turn, m.role, c.text, CASE WHEN m.conv_id I
   coalesce(f.n_quotes, 0) AS n_quotes, coalesce(f.n_linked, 0) AS n_linked
   FROM m LEFT JOIN found f ON m.id = f.id LEFT JOIN turns t ON m.conv_id = t.conv_id AND m.turn = t.turn LEFT JOIN clean c ON m.id = c.id)
 SELECT conv_id, turn, role, text, parent_turn, origin_conv, origin_turn, n_quotes, n_linked,
-  CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN rank() OVER (PARTITION BY conv_id ORDER BY parent_turn NULLS FIRST, turn, role) END AS position FROM joined
+  CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN rank() OVER (PARTITION BY conv_id ORDER BY parent_turn NULLS FIRST, turn, role NULLS FIRST, text NULLS FIRST) END AS position FROM joined
 """
 
 

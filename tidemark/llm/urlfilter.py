@@ -8,14 +8,20 @@ sums over sorted feature values.  Features are lexical: lengths, depth,
 digit, hyphen and vowel shares, entropy of the host's letters, parameter
 counts, and the smoothed share of blocked URLs under the host's suffix.
 
-Fitting takes a bounded sample: about ``SAMPLE_URLS`` labelled URLs chosen by
-a hash of the URL, counted by equal features, and at most ``MOST_SUFFIXES``
-suffixes of the sample.  The trees then are one arithmetic expression, so
-every URL is judged where it is read, without a shuffle or Python.
+Fitting takes a bounded sample of labelled URLs, a parameter of the caller:
+about ``SAMPLE_URLS`` chosen by a hash of the URL.  The shares of blocked URLs
+come from one half of the sample, the trees from the other, so that no URL's
+label is among its features.  All suffixes of the sample are kept, in a table
+of a hash and a share, at most one row a sampled URL, that is broadcast.  The
+trees are one arithmetic expression, so every URL is judged where it is read,
+without a shuffle or Python.
 
 Null URLs and URLs without :// have an empty host and path, fit no rule and
 are judged by their features all the same.  Without labelled URLs everything
-is allowed.  Repeated rows are judged alike.  Extra columns are ignored.
+is allowed.  Repeated rows are judged alike; of features that split a node
+equally well the first by name order of ``features`` and the least value is
+taken, and a score of exactly 0 allows.  URLs of any length are taken whole.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +29,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TREES, DEPTH, RATE, LEAST_CHILD, RIDGE = 24, 3, 0.3, 5.0, 1.0
-SAMPLE_URLS, MOST_SUFFIXES = 20_000, 500
+SAMPLE_URLS = 20_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,8 +91,8 @@ def _matches(text: Column, pattern: str) -> Column:
 
 
 def suffix(host: Column) -> Column:
-    """Last two labels of the host."""
-    return F.substring_index(host, ".", -2)
+    """Hash of the last two labels of the host."""
+    return F.xxhash64(F.substring_index(host, ".", -2))
 
 
 def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
@@ -137,16 +144,18 @@ class UrlModel:
 
     bias: float = -1.0
     trees: list[Tree] = field(default_factory=list)
-    suffixes: dict[str, float] = field(default_factory=dict)
+    suffixes: dict[int, float] = field(default_factory=dict)
     usual: float = 0.5
 
-    def suffix_share(self, host: Column) -> Column:
+    def with_shares(self, urls: DataFrame) -> DataFrame:
+        """``urls`` (column host, own names free of _suffix) with suffix_share."""
         if not self.suffixes:
-            return F.lit(self.usual)
-        shares = F.create_map(*[F.lit(x) for item in self.suffixes.items() for x in item])
-        return F.coalesce(F.try_element_at(shares, suffix(host)), F.lit(self.usual))
+            return urls.withColumn("suffix_share", F.lit(self.usual))
+        table = pa.table({"_suffix": pa.array(list(self.suffixes), pa.int64()), "_share": pa.array(list(self.suffixes.values()), pa.float64())})
+        found = urls.withColumn("_suffix", suffix(F.col("host"))).join(F.broadcast(_local(urls.sparkSession, table)), "_suffix", "left")
+        return found.withColumn("suffix_share", F.coalesce("_share", F.lit(self.usual))).drop("_suffix", "_share")
 
-    def score(self, url: Column, host: Column, path: Column) -> Column:
+    def score(self, url: Column, host: Column, path: Column, suffix_share: Column) -> Column:
         def total(x: Column) -> Column:
             inputs = {k: x[k] for k in [*features(url, host, path), "suffix_share"]}
             out = F.lit(self.bias)
@@ -154,10 +163,14 @@ class UrlModel:
                 out = out + tree.column(inputs)
             return out
 
-        values = {**features(url, host, path), "suffix_share": self.suffix_share(host)}
+        values = {**features(url, host, path), "suffix_share": suffix_share}
         return _let(F.struct(*[v.alias(k) for k, v in values.items()]), total)
 
 
+def _local(spark: SparkSession, table: pa.Table) -> DataFrame:
+    return spark.createDataFrame(table)
+
+
 def _grow(inputs: dict[str, np.ndarray], gradient: np.ndarray, curvature: np.ndarray, rows: np.ndarray, depth: int) -> Tree:
     g, h = gradient[rows].sum(), curvature[rows].sum()
     leaf = Tree(score=float(-RATE * g / (h + RIDGE)))
@@ -197,29 +210,32 @@ def boost(inputs: dict[str, np.ndarray], blocked: np.ndarray, weights: np.ndarra
 
 def fit(labelled: DataFrame, sample: int = SAMPLE_URLS) -> UrlModel:
     """A model from URLs (column url) with a boolean label (column blocked)."""
-    labelled = labelled.where("url is not null and blocked is not null")
+    labelled = labelled.where("url is not null")
     rate = max(1, -(-labelled.count() // sample))
-    chosen = labelled.where(F.pmod(F.xxhash64("url"), F.lit(rate)) == 0)
+    place = F.pmod(F.xxhash64("url"), F.lit(2 * rate))
     host, path = host_and_path(F.col("url"))
-    own = chosen.select("url", "blocked", host.alias("host"), path.alias("path"))
-    sums = own.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("int")).alias("k"))
-    found = sums.orderBy(F.desc("n"), "suffix").limit(MOST_SUFFIXES).collect()
-    if not found:
-        return UrlModel()
-    usual = sum(r["k"] for r in found) / sum(r["n"] for r in found)
+    chosen = labelled.where(place % rate == 0).where("blocked is not null")
+    own = chosen.select("url", "blocked", (place == 0).alias("counted"), host.alias("host"), path.alias("path"))
+    sums = own.where("counted").groupBy(suffix(F.col("host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("int")).alias("k"))
+    found = sums.orderBy("suffix").collect()  # at most one row a sampled URL, as below
+    usual = (sum(r["k"] for r in found) + 0.5) / (sum(r["n"] for r in found) + 1)
     model = UrlModel(suffixes={r["suffix"]: (r["k"] + 5 * usual) / (r["n"] + 5) for r in found}, usual=usual)
-    columns = {**features(F.col("url"), F.col("host"), F.col("path")), "suffix_share": model.suffix_share(F.col("host"))}
-    rows = own.select("blocked", *[v.alias(k) for k, v in columns.items()]).groupBy("blocked", *columns).count().orderBy("blocked", *columns).collect()
-    inputs = {k: np.array([r[k] for r in rows], float) for k in columns}
+    columns = features(F.col("url"), F.col("host"), F.col("path"))
+    names = [*columns, "suffix_share"]
+    shared = model.with_shares(own.where("not counted"))
+    rows = shared.select("blocked", "suffix_share", *[v.alias(k) for k, v in columns.items()]).groupBy("blocked", *names).count().orderBy("blocked", *names).collect()
+    if not rows:
+        return UrlModel()
+    inputs = {k: np.array([r[k] for r in rows], float) for k in names}
     model.bias, model.trees = boost(inputs, np.array([float(r["blocked"]) for r in rows]), np.array([float(r["count"]) for r in rows]))
     return model
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: UrlModel) -> DataFrame:
-    """page_id, host, path, rule and verdict of every page's URL."""
+    """page_id, host, path, rule, verdict and the trees' score of every page's URL."""
     host, path = host_and_path(F.col("url"))
-    own = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    own = model.with_shares(pages.select("page_id", "url", host.alias("host"), path.alias("path")))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    learned = F.when(model.score(F.col("url"), F.col("host"), F.col("path")) > 0, "block").otherwise("allow")
-    return own.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"))
-
+    scored = own.withColumns({"rule": rule, "decided": verdict, "score": model.score(F.col("url"), F.col("host"), F.col("path"), F.col("suffix_share"))})
+    learned = F.when(F.col("score") > 0, "block").otherwise("allow")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("decided", learned).alias("verdict"), "score")
