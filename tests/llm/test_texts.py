@@ -236,8 +236,12 @@ def test_densification():
 @pytest.mark.parametrize("bucket_rows", [2, 1024])
 def test_neighbours(spark, bucket_rows):
     extra = [(100 + k, prose(k // 2, 120) + prose(k, 40)) for k in range(20)]
+    extra += [(one_id, prose(k, 50)) for k in range(30) for one_id in (None, 50)] + [(51, prose(3, 60))] * 25
     docs, rows = awkward(spark, extra)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1] or ""), reverse=True)
+    from pyspark.sql import functions as F
+
+    marks = {r.text: r.mark for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, marks[r[1]]), reverse=True)
     found = fingerprint.compare_neighbours(docs, bucket_rows).collect()
     assert len(found) == len(rows)
     expected = Counter()
@@ -256,6 +260,14 @@ def test_neighbours(spark, bucket_rows):
     assert fingerprint.compare_neighbours(none(spark)).count() == 0
 
 
+def test_one_id_spreads(spark):
+    """One doc_id on every row, or none, still is dealt to many buckets."""
+    for doc_id in (None, 7):
+        docs = spark.createDataFrame([(doc_id, prose(k, 20)) for k in range(400)], "doc_id bigint, text string")
+        found = {r.bucket: r["count"] for r in fingerprint._following(docs, 16).where("extra = 0").groupBy("bucket").count().collect()}
+        assert len(found) > 12 and max(found.values()) < 100 and sum(found.values()) == 400
+
+
 def test_only_document(spark):
     docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id bigint, text string")
     row = fingerprint.compare_neighbours(docs).first()

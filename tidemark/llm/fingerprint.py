@@ -12,9 +12,11 @@ different values agree, and held within 0 and 1.
 
 A text without words has the empty fingerprint; two of these are alike (1),
 one and another text are not (0).  Null texts count as empty.  Documents
-follow one another by descending doc_id, equal ones by text, those without
-doc_id last; the first follows the last.  A table's only document is its own
-next.  Extra columns are ignored.
+follow one another by descending doc_id, equal ones by the hash of the text,
+those without doc_id last; the first follows the last.  A table's only
+document is its own next; repeated rows follow one another.  Texts of any
+length are taken whole.  An empty table gives an empty result.  Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.hashing import distinct_shingles, mix
+from tidemark.llm.hashing import PIECE_BYTES, distinct_shingles, mix, pieces
 from tidemark.llm.storage import map_batches
 
 BINS = 256
 BITS = 4
 SHINGLE_WORDS = 5
 BUCKET_ROWS = 1024
-MOST_BUCKETS = 8192
+
+#: Buckets of neighbours, and sampled keys of 16 bytes for each: what the driver
+#: holds and sends is bounded, a bucket is sorted on disk and streamed.
+MOST_BUCKETS, SAMPLED = 65_536, 16
+
+_NO_ID = -(2**63)
 
 
 @lru_cache(maxsize=2)
@@ -102,53 +109,83 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def _following(documents: DataFrame, bucket_rows: int) -> DataFrame:
-    """Documents dealt to buckets of neighbouring doc_ids, each bucket with the
-    row that follows its last one (``extra`` is 1).
+class Cuts:
+    """Keys (place, mark) of rows of the table, ascending, the greatest last;
+    a bucket holds what lies above one cut up to the next."""
 
-    The driver holds one doc_id for each of at most ``MOST_BUCKETS`` buckets;
-    a bucket is sorted on disk and streamed, so its size is free.
-    """
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    count = docs.count()
+    def __init__(self, places: np.ndarray, marks: np.ndarray) -> None:
+        order = np.lexsort((marks, places))
+        self.places, self.marks = places[order], marks[order]
+
+    def least_above(self, places: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Index of the least cut at or above each key."""
+        low, high = (np.searchsorted(self.places, places, side) for side in ("left", "right"))
+        shared = np.flatnonzero(high > low)
+        if len(shared):
+            order = shared[np.argsort(low[shared], kind="stable")]
+            for rows in np.split(order, np.flatnonzero(np.diff(low[order])) + 1):
+                a, b = low[rows[0]], high[rows[0]]
+                low[rows] = a + np.searchsorted(self.marks[a:b], marks[rows], "left")
+        return low
+
+
+def _cuts(keys: DataFrame, count: int, bucket_rows: int) -> Cuts:
+    """Cuts that deal the keys evenly, from a sample by hash of the distinct ones."""
     wanted = min(max(1, math.ceil(count / bucket_rows)), MOST_BUCKETS)
-    cuts = np.zeros(0, np.int64)
+    top = keys.agg(F.max(F.struct("place", "mark")).alias("top")).first()["top"]
+    if top is None:
+        return Cuts(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    places, marks = np.array([top["place"]], np.int64), np.array([top["mark"]], np.int64)
     if wanted > 1:
-        shares = [i / wanted for i in range(1, wanted)]
-        cuts = np.unique(np.array(docs.where("doc_id is not null").approxQuantile("doc_id", shares, 0.1 / wanted), np.float64).astype(np.int64))
+        rate = max(1, count // (SAMPLED * wanted))
+        few = keys.where(F.pmod(F.xxhash64("place", "mark"), F.lit(rate)) == 0).groupBy("place", "mark").agg(F.count(F.lit(1)).alias("n")).toArrow()
+        place, mark, n = (few[c].to_numpy().astype(np.int64) for c in ("place", "mark", "n"))
+        order = np.lexsort((mark, place))
+        passed = np.cumsum(n[order])
+        at = np.flatnonzero(np.diff(passed * wanted // max(1, n.sum()), prepend=0)) if len(order) else order
+        keep = order[at]
+        keep = keep[(place[keep] != top["place"]) | (mark[keep] != top["mark"])]
+        places, marks = np.concatenate((place[keep], places)), np.concatenate((mark[keep], marks))
+    return Cuts(places, marks)
 
-    def bucket_of(ids: pa.Array) -> np.ndarray:
-        """0 has the greatest doc_ids, the last bucket those without one."""
-        found = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, found)
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.table({"bucket": bucket_of(batch.column(0)), "head": batch.column(0)}).group_by("bucket").aggregate([("head", "max")])
-            yield from table.select(["bucket", "head_max"]).rename_columns(["bucket", "head"]).combine_chunks().to_batches()
+def _following(documents: DataFrame, bucket_rows: int) -> DataFrame:
+    """Documents dealt to buckets of neighbouring keys, each bucket with the
+    row that follows its last one (``extra`` is 1).
 
-    found = map_batches(docs.select("doc_id"), summarise, "bucket bigint, head bigint").groupBy("bucket").agg(F.max("head").alias("head")).collect()
-    heads = {r["bucket"]: r["head"] for r in found}
-    there = sorted(heads)
-    before = {b: there[i - 1] for i, b in enumerate(there)}  # the first follows the last
+    Cuts are keys of rows, so every bucket's first row is known beforehand.
+    Rows of a batch that are equal in doc_id and text move as one (``times``).
+    """
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("place"), F.xxhash64("text").alias("mark"), "text")
+    cuts = _cuts(docs.select("place", "mark"), documents.count(), bucket_rows)
+    buckets = len(cuts.places)
+    names = ["bucket", "extra", "place", "mark", "times", "doc_id", "text"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = bucket_of(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), np.int32)), batch.column(0), batch.column(1)], ["bucket", "extra", "doc_id", "text"])
-            rows = [i for i, (b, d) in enumerate(zip(own.tolist(), batch.column(0).to_pylist())) if heads[b] == d]
-            if rows:
-                part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array([before[int(own[i])] for i in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()), part.column(0), part.column(1)], ["bucket", "extra", "doc_id", "text"])
-
-    return map_batches(docs, deal, "bucket bigint, extra int, doc_id bigint, text string")
+            place, mark, none = batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.asarray(batch.column(0).is_null())
+            order = np.lexsort((none, mark, place))
+            keys = np.stack((place, mark, none))[:, order]
+            first = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if len(order) else order)
+            rows, times = order[first], np.diff(np.concatenate((first, [len(order)])))
+            place, mark = place[rows], mark[rows]
+            cut = cuts.least_above(place, mark)
+            head = np.flatnonzero((cuts.places[cut] == place) & (cuts.marks[cut] == mark))
+            own = buckets - 1 - cut
+            for at, bucket, extra in ((np.arange(len(rows)), own, 0), (head, (own[head] - 1) % buckets, 1)):
+                if len(at):
+                    part = batch.take(pa.array(rows[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(np.full(len(at), extra, np.int32)), part.column(1), part.column(2), pa.array(times[at].astype(np.int64)), part.column(0), part.column(3)], names)
+
+    return map_batches(docs, deal, "bucket bigint, extra int, place bigint, mark bigint, times bigint, doc_id bigint, text string")
 
 
 def compare_neighbours(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Fingerprints of each document and its edited text, and their likeness.
 
     The edited text's last third comes from the next document by descending
-    doc_id.  Texts move once, to buckets of neighbouring doc_ids.
+    doc_id.  Texts move once, to buckets of neighbouring keys.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -156,18 +193,27 @@ def compare_neighbours(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) ->
         now, bucket, over = None, None, False
         own, after = [], []
         for batch in batches:
-            prints = fingerprints(batch.column(3))
-            for b, extra, doc_id, text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), prints):
-                if b != bucket:
-                    bucket, now, over = b, None, False
-                if now is not None and not over:
-                    own.append(now)
-                    after.append((doc_id, text, mark))
-                over = over or extra == 1
-                now = (doc_id, text, mark)
-                if len(own) >= 512:
-                    yield own, after
-                    own, after = [], []
+            for first, last in pieces(batch.column(6)):
+                part = batch.slice(first, last - first)
+                prints = fingerprints(part.column(6))
+                for b, extra, times, doc_id, text, mark in zip(*(part.column(i).to_pylist() for i in (0, 1, 4, 5, 6)), prints):
+                    if b != bucket:
+                        bucket, now, over = b, None, False
+                    document = (doc_id, text, mark)
+                    if now is not None and not over:
+                        own.append(now)
+                        after.append(document)
+                    over = over or extra == 1
+                    now = document
+                    for _ in range(times - 1 if not over else 0):  # equal rows follow one another
+                        own.append(document)
+                        after.append(document)
+                        if len(own) >= 512:
+                            yield own, after
+                            own, after = [], []
+                    if len(own) >= 512 or sum(len(x[1]) for x in own[-1:]) > PIECE_BYTES:
+                        yield own, after
+                        own, after = [], []
         if own:
             yield own, after
 
@@ -188,5 +234,5 @@ def compare_neighbours(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) ->
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    placed = _following(documents, bucket_rows).repartition("bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    placed = _following(documents, bucket_rows).repartition("bucket").sortWithinPartitions("bucket", "extra", F.col("place").desc(), F.col("mark").desc())
     return map_batches(placed, run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

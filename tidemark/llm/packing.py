@@ -7,20 +7,26 @@ subset-sum over the multiset of the other remaining lengths finds the total
 closest to the room that is left; the counts are read back from the kept
 bitsets.  A found combination is repeated as long as its lengths last.
 
-Blocks are dealt by a hash of piece and document, hold about
-``BLOCK_PIECES`` pieces whatever the key distribution, and are packed apart,
-so the only shuffle carries lengths and digests (and ids where they are
-wanted) and no task grows with the data.  Each block leaves at most a few windows short.
-
-Null texts are empty and give one piece holding the end id alone.  Repeated
-rows give a piece each.  An empty table gives no pieces.  Extra columns are
-ignored.
+Blocks are dealt by a hash of the piece, its document and how often the task
+has met an equal one, so equal rows spread as others do.  A document leaves one
+remainder, so the number of documents, which the files' footers tell, gives
+blocks of about ``BLOCK_PIECES`` remainders; whole windows pass through a
+block without being held.  Blocks are packed apart, so the only shuffle carries
+lengths and digests (and ids where they are wanted) and no task grows with the
+data.  Each block leaves at most a few windows short.
+
+Null texts are empty and give one piece holding the end id alone; so do empty
+ones.  Repeated rows give a piece each, and pieces of equal length are packed
+in the order of doc_id, start and digest.  Texts of any length are taken whole,
+a text's ids being held at a time.  An empty table gives no pieces.  Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +36,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import at_rest, encoded
 from tidemark.llm.hashing import in_pieces
-from tidemark.llm.storage import map_batches, ship
+from tidemark.llm.storage import map_batches
 
 WINDOW = 2048
 END_ID = 1
 BLOCK_PIECES = 4096
 
+#: Pieces that a task remembers to tell equal ones apart.
+REMEMBERED = 200_000
+
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -96,10 +105,12 @@ def pack_lengths(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
     return sequence, offset, used
 
 
-def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``window`` ids; with ``keep_ids`` also the ids."""
+def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False, blocks: int = 0) -> DataFrame:
+    """Pieces of at most ``window`` ids; with ``keep_ids`` also the ids, with
+    ``blocks`` also the block that each piece is dealt to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
         for batch in in_pieces(at_rest(batches, path), 1):
             doc, start, length, crc, total, own = [], [], [], [], [], []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), path)):
@@ -117,25 +128,57 @@ def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id:
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if keep_ids:
                 columns, names = [*columns, pa.array(own, pa.list_(pa.int32()))], [*names, "ids"]
+            if blocks:
+                block = []
+                for key in zip(doc, start, crc):
+                    block.append(zlib.crc32(b"%r %d" % (key, met[key])) % blocks)
+                    met[key] += 1
+                if len(met) > REMEMBERED:
+                    met.clear()
+                columns, names = [*columns, pa.array(block, pa.int64())], [*names, "block"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(documents.select("doc_id", "text"), run, PIECE_SCHEMA + (", ids array<int>" if keep_ids else ""))
+    return map_batches(documents.select("doc_id", "text"), run, PIECE_SCHEMA + (", ids array<int>" if keep_ids else "") + (", block bigint" if blocks else ""))
 
 
 def pack_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, block_pieces: int = BLOCK_PIECES, keep_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset; padding follows each sequence's last piece."""
-    ship(documents.sparkSession)
-    pieces = cut_documents(documents, path, window, end_id, keep_ids)
-    # at least as many pieces as documents, and about one for every four windows' worth of bytes
-    documents_there, size = documents.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, math.ceil((documents_there + size / (4 * window)) / block_pieces))
-    schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        sequence, offset, _ = pack_lengths(rows["length"].to_numpy(), window)
-        base = np.int64(rows["block"][0].as_py()) << 32
-        return rows.drop_columns(["block"]).append_column("sequence_id", pa.array(base + sequence)).append_column("offset", pa.array(offset))
-
-    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).alias("block")
-    return pieces.select("*", block).groupBy("block").applyInArrow(run, schema + ", sequence_id bigint, offset bigint")
+    pieces = cut_documents(documents, path, window, end_id, keep_ids, blocks=max(1, math.ceil(documents.count() / block_pieces)))
+    names = [c for c in pieces.columns if c != "block"]
+    schema = pieces.select(*names).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        block, used = None, 0
+
+        def placed(rows: pa.Table, sequence: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
+            out = rows.drop_columns(["block"]).append_column("sequence_id", pa.array(np.int64(block << 32) + sequence)).append_column("offset", pa.array(offset))
+            yield from out.combine_chunks().to_batches()
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            """The block's remainders, which come after its whole windows."""
+            if held:
+                rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+                sequence, offset, _ = pack_lengths(rows["length"].to_numpy(), window)
+                yield from placed(rows, sequence + used, offset)
+                held.clear()
+
+        for batch in batches:
+            blocks, lengths = batch.column(batch.schema.get_field_index("block")).to_numpy(), batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | ((lengths[1:] == window) != (lengths[:-1] == window))) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if blocks[a] != block:
+                    yield from packed()
+                    block, used = int(blocks[a]), 0
+                part = batch.slice(a, b - a)
+                if lengths[a] == window:
+                    yield from placed(pa.Table.from_batches([part]), used + np.arange(b - a), np.zeros(b - a, np.int64))
+                    used += b - a
+                else:
+                    held.append(part)
+        yield from packed()
+
+    dealt = pieces.repartition("block").sortWithinPartitions("block", (F.col("length") < window))
+    return map_batches(dealt, run, schema + ", sequence_id bigint, offset bigint")
