@@ -206,13 +206,24 @@ def test_boosting_matches_plain():
 
 
 def test_held_out_urls(spark, data):
-    """Learned from one half of labelled URLs, right on the other half: hosts of
-    a few kinds, of which the model sees lengths, hyphens, entropy and suffixes."""
-    own = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    """Trained on one half of the seeds' labels, right on the other half."""
+    own = spark.read.parquet(f"{data}/pages.parquet")
+    labelled = own.select("page_id", "url", F.rlike(urlfilter.host_and_path(F.col("url"))[0], F.lit("casino|bets|pills|ads-")).alias("blocked"))
+    model = urlfilter.fit(labelled.where("page_id % 2 = 0"))
+    rows = scored(labelled.where("page_id % 2 = 1"), model)
+    assert sum(r.blocked == (r.score > 0) for r in rows) / len(rows) > 0.9
+
+
+def test_held_out_hosts(spark):
+    """Blocked hosts are few; of those held out most are found, few others."""
+    own = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     labelled = own.select("page_id", "url", F.rlike(urlfilter.host_and_path(F.col("url"))[0], F.lit("casino|bets|pills|ads-|spam|adult")).alias("blocked"))
     model = urlfilter.fit(labelled.where("page_id % 2 = 0"))
     rows = scored(labelled.where("page_id % 2 = 1"), model)
-    assert sum(r.blocked == (r.score > 0) for r in rows) / len(rows) > 0.97
+    found, there = [r for r in rows if r.score > 0], [r for r in rows if r.blocked]
+    hit = sum(r.blocked for r in found)
+    print(len(rows), len(there), len(found), hit)
+    assert hit / len(there) > 0.9 and hit / len(found) > 0.9
 
 
 def test_odd_urls(spark):

@@ -121,12 +121,12 @@ found AS (SELECT id, count(*) AS n_quotes, count(origin_turn) AS n_linked,
 turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM m)),
 clean AS (SELECT id, CASE WHEN count(*) FILTER (marks <> '') = 0 AND NOT bool_or(contains(line, '>')) THEN string_agg(line, chr(10) ORDER BY n)
   ELSE regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (marks = ''), ''), '^(?:[ \t\r]*\n)+|\s+$', '', 'g') END AS text FROM bodies GROUP BY id),
-joined AS (SELECT m.id, m.conv_id, m.turn, m.role, c.text, CASE WHEN m.conv_id IS NULL OR m.turn IS NULL THEN NULL ELSE coalesce(-f.here[2], t.previous) END AS parent_turn,
+joined AS (SELECT m.id, m.conv_id, m.turn, m.role, c.text, CASE WHEN c.text <> m.text THEN m.text END AS quoting, CASE WHEN m.conv_id IS NULL OR m.turn IS NULL THEN NULL ELSE coalesce(-f.here[2], t.previous) END AS parent_turn,
   CASE WHEN f.here IS NULL THEN f.there[2] END AS origin_conv, CASE WHEN f.here IS NULL THEN f.there[3] END AS origin_turn,
   coalesce(f.n_quotes, 0) AS n_quotes, coalesce(f.n_linked, 0) AS n_linked
   FROM m LEFT JOIN found f ON m.id = f.id LEFT JOIN turns t ON m.conv_id = t.conv_id AND m.turn = t.turn LEFT JOIN clean c ON m.id = c.id)
 SELECT conv_id, turn, role, text, parent_turn, origin_conv, origin_turn, n_quotes, n_linked,
-  CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN rank() OVER (PARTITION BY conv_id ORDER BY parent_turn NULLS FIRST, turn, role NULLS FIRST, text NULLS FIRST) END AS position FROM joined
+  CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN rank() OVER (PARTITION BY conv_id ORDER BY parent_turn NULLS FIRST, turn, role NULLS FIRST, text NULLS FIRST, quoting NULLS FIRST) END AS position FROM joined
 """
 
 

@@ -28,8 +28,8 @@ are answered by nothing and have no position.  Null and empty texts have no
 passages; texts of any length are taken whole, at a cost in proportion to
 their lines.  The code points U+FDD0 and U+FDD1, which are no characters, do
 not count in passages.  Repeated rows stay; equal turns of a conversation
-share their parent and take positions by role and clean text, nulls first, and
-wholly equal ones share a position.  An empty table gives an empty result.
+share their parent and take positions by role, clean text and text with its
+quotes, nulls first, and wholly equal ones share a position.  An empty table gives an empty result.
 Extra columns are ignored.
 """
 
@@ -126,7 +126,7 @@ def _previous_turns(messages: DataFrame, block_turns: int) -> DataFrame:
 
 
 def _positions(messages: DataFrame, block_turns: int) -> DataFrame:
-    """``messages`` with position: the rank by (parent, turn, role, text) in each conversation."""
+    """``messages`` with position: the rank by (parent, turn, role, text, text with its quotes) in each conversation."""
     parent = F.coalesce("parent_turn", F.lit(-(2**63)))
     blocked = messages.withColumns({"parent": parent, "many": F.floor(F.coalesce("parent_turn", F.lit(-1)) / block_turns), "block": F.floor(F.col("turn") / block_turns)})
     blocked = blocked.withColumn("many", F.when(F.col("parent_turn").isNull(), F.lit(-(2**63))).otherwise(F.col("many")))
@@ -136,7 +136,7 @@ def _positions(messages: DataFrame, block_turns: int) -> DataFrame:
     far = Window.partitionBy("conv_id").orderBy("many").rowsBetween(*earlier)
     wholes = counts.groupBy("conv_id", "many").agg(F.sum("n").alias("n")).select("conv_id", "many", F.coalesce(F.sum("n").over(far), F.lit(0)).alias("far"))
     counts = counts.select("conv_id", "many", "parent", "block", F.coalesce(F.sum("n").over(near), F.lit(0)).alias("near")).join(wholes, ["conv_id", "many"])
-    inside = Window.partitionBy("conv_id", "many", "parent", "block").orderBy("turn", "role", "text")
+    inside = Window.partitionBy("conv_id", "many", "parent", "block").orderBy("turn", "role", "text", "quoting")
     placed = blocked.withColumn("place", F.rank().over(inside)).join(counts, ["conv_id", "many", "parent", "block"])
     return placed.withColumn("position", F.col("far") + F.col("near") + F.col("place")).drop("many", "parent", "block", "far", "near", "place")
 
@@ -177,7 +177,8 @@ def thread_conversations(messages: DataFrame, block_turns: int = BLOCK_TURNS) ->
         F.min(F.when(same, F.struct("level", (-F.col("origin_turn")).alias("t")))).alias("here"),
         F.min(F.when(~same, F.struct("level", "origin_conv", "origin_turn"))).alias("there"),
     )
-    clean = own.select("conv_id", "turn", "role", unquoted(F.col("text")).alias("text"), "text_hash")
+    clean = unquoted(F.col("text"))
+    clean = own.select("conv_id", "turn", "role", clean.alias("text"), "text_hash", F.when(clean != F.col("text"), F.col("text")).alias("quoting"))
     known = clean.where("conv_id is not null and turn is not null")
     threaded = known.join(found, ["conv_id", "turn", "text_hash"], "left").join(_previous_turns(known, block_turns), ["conv_id", "turn"])
     threaded = threaded.withColumn("parent_turn", F.coalesce(-F.col("here.t"), "previous"))
