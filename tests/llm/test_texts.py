@@ -350,12 +350,12 @@ def plain_mcd(x):
         for _ in range(quality.MOST_STEPS):
             at = steps(center, np.linalg.inv(cov))
             own = x[at <= np.sort(at)[int(np.ceil(quality.HELD * len(x))) - 1]]
-            center, cov = own.mean(axis=0), floored(np.cov(own.T, bias=True))
-            now = np.linalg.slogdet(cov)[1]
-            if last - now < 1e-6:
+            new = own.mean(axis=0), floored(np.cov(own.T, bias=True))
+            now = np.linalg.slogdet(new[1])[1]
+            if now >= last - 1e-6:
                 break
-            last = now
-        ends.append((round(now, 6), len(ends), center, cov))
+            (center, cov), last = new, now
+        ends.append((round(last, 6), len(ends), center, cov))
     _, _, center, cov = min(ends, key=lambda e: e[:2])
     raw = floored(cov * quality.concentration(quality.HELD, p))
     own = x[steps(center, np.linalg.inv(raw)) <= np.floor(np.log(quality.chi_square(quality.REWEIGHT, p)) * quality.STEPS_A_UNIT)]

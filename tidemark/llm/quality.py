@@ -9,8 +9,8 @@ form a vector.  Its location and scatter are minimum-covariance-determinant
 estimates of each (language, source).  From each of three deterministic starts
 (scatters about the medians: of the median absolute deviations, of squashed
 values, and of directions), concentration steps refit mean and covariance on
-the ``HELD`` share of vectors nearest by Mahalanobis distance, until no group's
-determinant falls any more; the start that ends at the least determinant is
+the ``HELD`` share of vectors nearest by Mahalanobis distance, as long as the
+group's determinant falls by it; the start that ends at the least determinant is
 taken, and mean and covariance are fitted once more on the vectors that it
 does not hold for outlying (``REWEIGHT``).  A vector whose squared distance is
 beyond the chi-square quantile for ``1 - REJECT`` is rejected.
@@ -59,6 +59,12 @@ STEPS_A_UNIT = 256
 #: keeps shares that are nearly always 0 from making every other value odd.
 FLOORS = {"log_words": 0.25, "log_word_chars": 0.1, "symbol_share": 0.04, "line_share": 0.1, "repeat_share": 0.08, "capital_share": 0.04}
 STATISTICS = tuple(FLOORS)
+_P = len(STATISTICS)
+_PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
+
+#: Columns of an estimate: its centre and the upper half of its precision.
+_CENTER = [f"m{i}" for i in range(_P)]
+ESTIMATE = [*_CENTER, *(f"p{i}{j}" for i, j in _PAIRS)]
 
 _WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -161,11 +167,10 @@ def inverse(matrix: Column, size: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.struct(matrix.alias("cells"), F.lit(0.0).alias("log_det")), sweep)
 
 
-def distance(center: Column, precision: Column) -> Column:
-    """Squared Mahalanobis distance of a row's statistics."""
-    z = [F.col(c) - F.get(center, F.lit(i)) for i, c in enumerate(STATISTICS)]
-    p = len(STATISTICS)
-    return _sum([z[i] * _sum([F.get(precision, F.lit(i * p + j)) * z[j] for j in range(p)]) for i in range(p)])
+def distance() -> Column:
+    """Squared Mahalanobis distance of a row's statistics from the estimate in its columns."""
+    z = [F.col(c) - F.col(m) for c, m in zip(STATISTICS, _CENTER)]
+    return _sum([z[i] * _sum([z[j] * F.col(f"p{i}{j}") * (1.0 if i == j else 2.0) for j in range(i, _P)]) for i in range(_P)])
 
 
 def chi_square(share: float, degrees: int) -> float:
@@ -183,10 +188,6 @@ def concentration(share: float, degrees: int) -> float:
     return share / low
 
 
-_P = len(STATISTICS)
-_PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
-
-
 def _vector(columns: list[Column]) -> list[Column]:
     """Sums of the columns and of their products, for an aggregation."""
     return [F.array(*[F.sum(c) for c in columns]).alias("s"), F.array(*[F.sum(columns[i] * columns[j]) for i, j in _PAIRS]).alias("q")]
@@ -203,10 +204,18 @@ def _covariance(n: Column, s: Column, q: Column, factor: float = 1.0) -> list[Co
     return cells
 
 
+def _estimate(keys: list[str], center: Column, scatter: Column, table: DataFrame) -> DataFrame:
+    """keys, the columns of an estimate, scatter and log_det."""
+    own = table.select(*keys, center.alias("center"), scatter.alias("scatter")).withColumn("i", inverse(F.col("scatter"), _P))
+    means = [F.get("center", F.lit(i)).alias(c) for i, c in enumerate(_CENTER)]
+    cells = [F.get("i.cells", F.lit(i * _P + j)).alias(f"p{i}{j}") for i, j in _PAIRS]
+    return own.select(*keys, *means, *cells, "scatter", F.col("i.log_det").alias("log_det"))
+
+
 def _fitted(sums: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """center, precision and log_det from the sums of each group."""
-    moments = sums.select(*keys, F.array(*[F.get("s", F.lit(i)) / F.col("n") for i in range(_P)]).alias("center"), inverse(F.array(*_covariance(F.col("n"), F.col("s"), F.col("q"), factor)), _P).alias("i"))
-    return moments.select(*keys, "center", F.col("i.cells").alias("precision"), F.col("i.log_det").alias("log_det"))
+    """The estimate of each group from its sums."""
+    center = F.array(*[F.get("s", F.lit(i)) / F.col("n") for i in range(_P)])
+    return _estimate(keys, center, F.array(*_covariance(F.col("n"), F.col("s"), F.col("q"), factor)), sums)
 
 
 def _share_step(counted: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -240,13 +249,12 @@ def with_groups(stats: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
 
 def _distances(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
     """Each vector under each estimate of its group, with the step of its distance."""
-    placed = met(rows, now.select("group", "start", "center", "precision"), ["group"], few)
-    away = distance(F.col("center"), F.col("precision"))
-    return placed.select("group", "start", *STATISTICS, F.floor(F.log(away + 1e-9) * STEPS_A_UNIT).alias("step"))
+    placed = met(rows, now.select("group", "start", *ESTIMATE), ["group"], few)
+    return placed.select("group", "start", *STATISTICS, F.floor(F.log(distance() + 1e-9) * STEPS_A_UNIT).alias("step"))
 
 
 def starts(rows: DataFrame) -> DataFrame:
-    """group, start, center, precision and log_det of the three starts."""
+    """group, start and the estimates of the three starts."""
     columns = [F.col(c) for c in STATISTICS]
     centers = materialize(_medians(rows, columns), "medians")
     few = fits(centers, items=_P)
@@ -280,36 +288,36 @@ def starts(rows: DataFrame) -> DataFrame:
         scatter(lambda i, j: pair("u", i, j) * _P),
     ]
     each = sums.select("group", "center", F.posexplode(F.array(*kinds)).alias("start", "scatter"))
-    each = each.select("group", "start", "center", inverse(F.col("scatter"), _P).alias("i"))
-    return materialize(each.select("group", "start", "center", F.col("i.cells").alias("precision"), F.col("i.log_det").alias("log_det")), "estimates", done=[scaled])
+    return materialize(_estimate(["group", "start"], F.col("center"), F.col("scatter"), each), "estimates", done=[scaled])
 
 
 def fit_groups(rows: DataFrame, held: float = HELD, most_steps: int = MOST_STEPS) -> DataFrame:
-    """group, center and precision of every group of the vectors."""
-    columns = [F.col(c) for c in STATISTICS]
-    now = starts(rows)
+    """group and estimate of every group of the vectors."""
+    columns, keys = [F.col(c) for c in STATISTICS], ["group", "start"]
+    now = starts(rows).withColumns({"log_det": F.lit(float("inf")), "falls": F.lit(True)})
     few = fits(now, items=_P * _P)
-    keys = ["group", "start"]
+    own = [*ESTIMATE, "scatter", "log_det"]
     for _ in range(most_steps):
-        placed = _distances(rows, now, few)
+        falling = now.where("falls")
+        placed = _distances(rows, falling, few)
         cuts = _share_step(placed.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("n")), keys, held).withColumnRenamed("step", "cut")
         sums = met(placed, cuts, keys, few).where("step <= cut").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *_vector(columns))
-        old = now.select(*keys, F.col("log_det").alias("old"))
-        fitted = _fitted(sums, keys, 1.0).join(old, keys).withColumn("fall", F.col("old") - F.col("log_det")).drop("old")
-        now = materialize(fitted, "estimates", done=[now])
-        fall = now.agg(F.max("fall")).first()[0]
-        if fall is None or fall < 1e-6:
+        new = _fitted(sums, keys, 1.0)
+        both = now.join(new.select(*keys, F.struct(*own).alias("new")), keys, "left")
+        falls = F.coalesce(F.col("new.log_det") < F.col("log_det") - 1e-6, F.lit(False))
+        chosen = both.select(*keys, falls.alias("falls"), *[F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in own])
+        now = materialize(chosen, "estimates", done=[now])
+        if not now.agg(F.max("falls")).first()[0]:
             break
-    best = now.groupBy("group").agg(F.min(F.struct(F.round("log_det", 9).alias("log_det"), "start")).alias("best")).select("group", "best.start")
-    # the covariance of the nearest share, made consistent and inverted again
-    chosen = now.join(best, keys).select("group", F.lit(0).alias("start"), "center", inverse(F.col("precision"), _P)["cells"].alias("scatter"))
+    best = now.groupBy("group").agg(F.min(F.struct(F.round("log_det", 6).alias("log_det"), "start")).alias("best")).select("group", "best.start")
+    # the covariance of the nearest share, made consistent
     factor = concentration(held, _P)
     cells = [F.get("scatter", F.lit(m)) * factor for m in range(_P * _P)]
     cells = [F.greatest(c, F.lit(FLOORS[STATISTICS[m // _P]] ** 2)) if m % (_P + 1) == 0 else c for m, c in enumerate(cells)]
-    raw = materialize(chosen.select("group", "start", "center", inverse(F.array(*cells), _P)["cells"].alias("precision")), "estimates", done=[now])
+    raw = materialize(_estimate(keys, F.array(*_CENTER), F.array(*cells), now.join(best, keys)), "estimates", done=[now])
     kept = _distances(rows, raw, few).where(F.col("step") <= math.floor(math.log(chi_square(REWEIGHT, _P)) * STEPS_A_UNIT))
     sums = kept.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *_vector(columns))
-    return materialize(_fitted(sums, ["group"], concentration(REWEIGHT, _P)).select("group", "center", "precision"), "estimates", done=[raw])
+    return materialize(_fitted(sums, ["group"], concentration(REWEIGHT, _P)).select("group", *ESTIMATE), "estimates", done=[raw])
 
 
 def _group(*names: str) -> Column:
@@ -323,7 +331,6 @@ def judge(documents: DataFrame, reject: float = REJECT, least_group: int = LEAST
     grouped = materialize(with_groups(stats, least_group).drop("lang", "source"), "statistics", done=[stats])
     rows = grouped.where(~F.col("base_failed") & F.col("group").isNotNull()).select("group", *STATISTICS)
     fitted = fit_groups(rows)
-    out = met(grouped, fitted, ["group"], fits(fitted, items=_P * _P), "left")
-    out = out.withColumn("distance", distance(F.col("center"), F.col("precision")))
+    out = met(grouped, fitted, ["group"], fits(fitted), "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi_square(1 - reject, _P))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
