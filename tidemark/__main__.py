@@ -11,6 +11,12 @@ from tidemark.config import EngineConfig, TumblingWindow
 from tidemark.plans.pipeline import replay_check, run_log
 
 
+def _truth(text: str) -> bool:
+    if text not in ("true", "false"):
+        raise argparse.ArgumentTypeError("true or false")
+    return text == "true"
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tidemark", description="Revisions of windowed sums over an event log.")
     commands = top.add_subparsers(dest="command", required=True)
@@ -24,6 +30,9 @@ def parser() -> argparse.ArgumentParser:
             command.add_argument("--drops-log", required=True)
             command.add_argument("--snapshot-dir")
             command.add_argument("--stop-after", type=int, default=0)
+            command.add_argument("--snapshot-every", type=int, default=0)
+            command.add_argument("--use-snapshot", type=_truth, default=True)
+            command.add_argument("--append-logs", type=_truth, default=None, help="append when a run goes on from a snapshot, unless this says otherwise")
         else:
             command.add_argument("--work-dir", required=True)
             command.add_argument("--crash-after", type=int, default=2)
@@ -35,7 +44,7 @@ def main(arguments: list[str] | None = None) -> int:
     config = EngineConfig(TumblingWindow(own.window_size_micros), own.out_of_orderness_bound_micros)
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
     if own.command == "run":
-        run_log(spark, own.event_log, own.output_log, own.drops_log, config, own.snapshot_dir, own.stop_after)
+        run_log(spark, own.event_log, own.output_log, own.drops_log, config, own.snapshot_dir, own.stop_after, own.snapshot_every, own.use_snapshot, own.append_logs)
         return 0
     same = replay_check(spark, own.event_log, own.work_dir, config, own.crash_after)
     for name, equal in same.items():

@@ -33,17 +33,23 @@ def mark_first(arrivals: DataFrame) -> DataFrame:
     return arrivals.withColumn("first", F.row_number().over(order) == 1)
 
 
-def observe(arrivals: DataFrame, config: EngineConfig) -> DataFrame:
+def observe(arrivals: DataFrame, config: EngineConfig, top: int | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Arrivals with first, block, prev_max, watermark, out_of_order and late.
 
-    For a duplicate, ``watermark`` is the one its drop record states.
+    ``top`` is the greatest event time, and ``seen`` has the event_ids, of what
+    was processed before.  For a duplicate, ``watermark`` is the one its drop
+    record states.
     """
     order = order_columns(config)
     marked = mark_first(arrivals).withColumn("block", value_blocks(arrivals, order[0], config.block_rows))
-    seen = running(marked, [], "block", order, {"prev_max": ("max", F.when(F.col("first"), F.col("event_time")), False)})
+    if seen is not None:
+        known = seen.select("event_id", F.lit(True).alias("known"))
+        marked = marked.join(known, "event_id", "left").withColumn("first", F.col("first") & F.col("known").isNull()).drop("known")
+    running_max = running(marked, [], "block", order, {"prev_max": ("max", F.when(F.col("first"), F.col("event_time")), False)})
+    seen = running_max if top is None else running_max.withColumn("prev_max", F.greatest("prev_max", F.lit(top).cast("bigint")))
     watermark = F.greatest("prev_max", "event_time") - config.bound
     if config.mode == BUFFERED:  # every duplicate is met before anything is processed
-        at_duplicate = F.lit(NO_WATERMARK)
+        at_duplicate = F.lit(NO_WATERMARK if top is None else top - config.bound)
     else:
         at_duplicate = F.coalesce(F.col("prev_max") - config.bound, F.lit(NO_WATERMARK))
     seen = seen.withColumn("watermark", F.when(F.col("first"), watermark).otherwise(at_duplicate))
@@ -79,3 +85,12 @@ def final_state(observed: DataFrame, config: EngineConfig) -> DataFrame:
     """Watermark and progress after the last arrival, in one row."""
     top = observed.where("first").agg(F.max("event_time").alias("max_event_time_seen"), F.max("ingest_seq").alias("max_ingest_seq_processed"))
     return top.select("max_event_time_seen", (F.col("max_event_time_seen") - config.bound).alias("watermark"), "max_ingest_seq_processed")
+
+
+def up_to(arrivals: DataFrame, count: int, seen: DataFrame | None = None) -> DataFrame:
+    """Arrivals up to the ``count``-th that is no duplicate, by ingest_seq."""
+    firsts = arrivals.groupBy("event_id").agg(F.min("ingest_seq").alias("ingest_seq"))
+    if seen is not None:
+        firsts = firsts.join(seen.select("event_id"), "event_id", "left_anti")
+    last = firsts.orderBy("ingest_seq").limit(count).agg(F.max("ingest_seq"), F.count(F.lit(1))).first()
+    return arrivals if last[1] < count else arrivals.where(F.col("ingest_seq") <= last[0])

@@ -15,14 +15,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Quantiles that the driver holds; beyond so many blocks each is split evenly.
+MOST_CUTS = 1024
+
+
 def value_blocks(df: DataFrame, column: str, block_rows: int) -> Column:
-    """Block number by even ranges of a long column, about ``block_rows`` rows each."""
-    low, high, count = df.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
-    if not count or low is None:
+    """Block number of a long column: by its quantiles, and by even ranges
+    between two of them, about ``block_rows`` rows each.
+
+    A block holds at most about a ``MOST_CUTS``th of the rows, wherever the
+    values lie, but for rows of one value.
+    """
+    low, count = df.agg(F.min(column), F.count(F.lit(1))).first()
+    wanted = -(-count // block_rows)
+    if wanted <= 1 or low is None:
         return F.lit(0).cast("bigint")
-    blocks = max(1, -(-count // block_rows))
-    width = max(1, -(-(high - low + 1) // blocks))
-    return F.call_function("div", F.col(column) - F.lit(low), F.lit(width).cast("bigint"))
+    cuts = min(wanted, MOST_CUTS)
+    shares = [i / cuts for i in range(1, cuts)] + [1.0]
+    found = sorted({low, *(max(low, int(x)) for x in df.approxQuantile(column, shares, 0.1 / cuts))})
+    parts = -(-wanted // cuts)
+    widths = [max(1, -(-(after - own) // parts)) for own, after in zip(found, [*found[1:], found[-1] + 1])]
+    bounds, value = F.lit(found).cast("array<bigint>"), F.col(column)
+    steps = F.array(*[F.lit(1 << k) for k in range(len(found).bit_length() - 1, -1, -1)])
+    segment = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(bounds, at + s) <= value, F.lit(False)), at + s).otherwise(at))
+    if parts == 1:
+        return segment.cast("bigint")
+    inside = F.coalesce(F.try_subtract(value, F.get(bounds, segment)), F.lit(2**63 - 1))
+    part = F.least(F.call_function("div", inside, F.get(F.lit(widths).cast("array<bigint>"), segment)), F.lit(parts - 1).cast("bigint"))
+    return segment * parts + part
 
 
 def _combined(kind: str, before: Column, own: Column) -> Column:

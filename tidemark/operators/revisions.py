@@ -23,20 +23,59 @@ INITIAL, LATE_UPDATE, CORRECTION = "Initial", "UpdateLateData", "Correction"
 WINDOW = ["key", "start", "end"]
 
 
-def revision_log(accepted: DataFrame, config: EngineConfig, contributors: bool = False) -> DataFrame:
+def revision_log(accepted: DataFrame, config: EngineConfig, contributors: bool = False, windows: DataFrame | None = None) -> DataFrame:
     """key, start, end, version, value, reason, trigger_event_id, old_value
-    (and contributors) of every revision, with its event's columns of order."""
+    (and contributors) of every revision, with its event's columns of order.
+
+    ``windows`` has the state of windows that were revised before.
+    """
     placed = assign_windows(accepted, config.window)
     order = order_columns(config)
-    value = F.col("value")
-    totals = running(placed, WINDOW, "block", order, {"total": ("sum", value, True), "version": ("sum", F.lit(1).cast("bigint"), True)})
-    reason = F.when(F.col("version") == 1, INITIAL).when(F.col("out_of_order"), LATE_UPDATE).otherwise(CORRECTION)
-    old = F.when(F.col("version") > 1, F.col("total") - value)
-    made = totals.select(*WINDOW, "version", F.col("total").alias("value"), reason.alias("reason"), F.col("event_id").alias("trigger_event_id"), old.alias("old_value"), *[c for c in order if c != "event_id"])
+    totals = running(placed, WINDOW, "block", order, {"total": ("sum", F.col("value"), True), "version": ("sum", F.lit(1).cast("bigint"), True)})
     if contributors:
-        so_far = Window.partitionBy(*WINDOW).orderBy("version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        made = made.withColumn("contributors", F.array_sort(F.collect_set("trigger_event_id").over(so_far)))
-    return made
+        totals = _with_contributors(totals)
+    if windows is not None:
+        before = windows.select(*WINDOW, F.col("value").alias("_value"), F.col("version").alias("_version"), F.col("contributors").alias("_ids"))
+        totals = totals.join(before, WINDOW, "left").withColumns({"total": F.col("total") + F.coalesce("_value", F.lit(0)), "version": F.col("version") + F.coalesce("_version", F.lit(0))})
+        if contributors:
+            totals = totals.withColumn("contributors", F.array_sort(F.concat(F.coalesce("_ids", F.array().cast("array<string>")), "contributors")))
+    reason = F.when(F.col("version") == 1, INITIAL).when(F.col("out_of_order"), LATE_UPDATE).otherwise(CORRECTION)
+    old = F.when(F.col("version") > 1, F.col("total") - F.col("value"))
+    more = ["contributors"] if contributors else []
+    return totals.select(*WINDOW, "version", F.col("total").alias("value"), reason.alias("reason"), F.col("event_id").alias("trigger_event_id"), old.alias("old_value"), *[c for c in order if c != "event_id"], *more)
+
+
+def _with_contributors(totals: DataFrame) -> DataFrame:
+    """The sorted ids of each version: those of its block so far, and those of
+    the blocks before, so a hot window is not one task."""
+    inside = Window.partitionBy(*WINDOW, "block").orderBy("version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = totals.withColumn("_own", F.collect_list("event_id").over(inside))
+    blocks = totals.groupBy(*WINDOW, "block").agg(F.collect_list("event_id").alias("_all"))
+    earlier = Window.partitionBy(*WINDOW).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(*WINDOW, "block", F.flatten(F.collect_list("_all").over(earlier)).alias("_before"))
+    joined = local.join(before, [*WINDOW, "block"])
+    return joined.withColumn("contributors", F.array_sort(F.concat("_before", "_own"))).drop("_own", "_before")
+
+
+def contributor_changes(revisions: DataFrame) -> DataFrame:
+    """``revisions`` (with contributors) with added and removed: the differences
+    of each version's contributors from those of the version before."""
+    last = Window.partitionBy(*WINDOW).orderBy("version")
+    before = F.coalesce(F.lag("contributors").over(last), F.array().cast("array<string>"))
+    both = revisions.withColumn("_before", before)
+    return both.withColumns({"added": F.array_sort(F.array_except("contributors", "_before")), "removed": F.array_sort(F.array_except("_before", "contributors"))}).drop("_before")
+
+
+def changed(candidates: DataFrame) -> DataFrame:
+    """Candidates (with contributors) that differ from the one before in value
+    or contributors; only these are emitted.
+
+    A candidate made by an accepted event always adds it, so ``revision_log``
+    emits every one; this is for candidates made otherwise.
+    """
+    last = Window.partitionBy(*WINDOW).orderBy("version")
+    same = F.lag("value").over(last).eqNullSafe(F.col("value")) & F.lag("contributors").over(last).eqNullSafe(F.col("contributors")) & (F.row_number().over(last) > 1)
+    return candidates.withColumn("_same", same).where("not _same").drop("_same")
 
 
 def output_records(revisions: DataFrame) -> DataFrame:
@@ -56,11 +95,18 @@ def explain(index: DataFrame, key: str, start: int, end: int, version: int) -> D
     return index.where((F.col("key") == key) & (F.col("start") == start) & (F.col("end") == end) & (F.col("version") == version))
 
 
-def window_state(accepted: DataFrame, config: EngineConfig, contributors: bool = False) -> DataFrame:
-    """Value, version (and contributors) of every window after the last event."""
+def window_state(accepted: DataFrame, config: EngineConfig, contributors: bool = False, windows: DataFrame | None = None) -> DataFrame:
+    """Value, version (and contributors) of every window after the last event.
+
+    ``windows`` has the state of windows that were revised before.
+    """
     placed = assign_windows(accepted, config.window)
-    more = [F.array_sort(F.collect_set("event_id")).alias("contributors")] if contributors else []
-    return placed.groupBy(*WINDOW).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("version"), *more)
+    more = [F.collect_set("event_id").alias("contributors")] if contributors else []
+    made = placed.groupBy(*WINDOW).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("version"), *more)
+    if windows is not None:
+        made = made.unionByName(windows.select(*made.columns)).groupBy(*WINDOW)
+        made = made.agg(F.sum("value").alias("value"), F.sum("version").alias("version"), *([F.flatten(F.collect_list("contributors")).alias("contributors")] if contributors else []))
+    return made.withColumn("contributors", F.array_sort("contributors")) if contributors else made
 
 
 def reason_counts(revisions: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,21 +10,44 @@ from pyspark.sql import functions as F
 from tidemark.config import LINE, EngineConfig
 from tidemark.operators import ordering, revisions
 from tidemark.sources import logs
-from tidemark.sources.events import ARRIVAL_COLUMNS, read_event_log
+from tidemark.sources.events import read_event_log
+from tidemark.sources.shared import delete, scratch, written
 
-SNAPSHOT_TABLES = ["arrivals", "windows", "causal", "state"]
+SNAPSHOT_TABLES = ["seen", "windows", "causal", "state"]
+
+
+@dataclass(frozen=True)
+class EngineState:
+    """What earlier runs left: the greatest event time and ingest_seq processed,
+    the last ingest_seq read, the ids seen, windows and causal records."""
+
+    top: int | None = None
+    processed: int | None = None
+    offset: int | None = None
+    seen: DataFrame | None = None
+    windows: DataFrame | None = None
+    causal: DataFrame | None = None
+    versions: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class RevisionRun:
-    """What a run over some arrivals yields; every table is lazy."""
+    """What a run over some arrivals, from some state, yields; every table is lazy."""
 
     config: EngineConfig
     arrivals: DataFrame
+    before: EngineState = EngineState()
+    table: DataFrame | None = None
 
     @property
     def observed(self) -> DataFrame:
-        return ordering.observe(self.arrivals, self.config)
+        if self.table is not None:
+            return self.table
+        return ordering.observe(self.arrivals, self.config, self.before.top, self.before.seen)
+
+    def once(self, path: str) -> RevisionRun:
+        """The run with its observed arrivals written, so nothing is computed twice."""
+        return replace(self, table=written(self.observed, path))
 
     @property
     def accepted(self) -> DataFrame:
@@ -35,7 +58,7 @@ class RevisionRun:
         return ordering.drops(self.observed)
 
     def revisions(self, contributors: bool = False) -> DataFrame:
-        return revisions.revision_log(self.accepted, self.config, contributors)
+        return revisions.revision_log(self.accepted, self.config, contributors, self.before.windows)
 
     @property
     def outputs(self) -> DataFrame:
@@ -43,52 +66,95 @@ class RevisionRun:
 
     @property
     def causal(self) -> DataFrame:
+        """Causal records of this run."""
         return revisions.causal_index(self.revisions())
 
     def explain(self, key: str, start: int, end: int, version: int) -> DataFrame:
-        return revisions.explain(self.causal, key, start, end, version)
+        """The causal record of one version, of this run or an earlier one."""
+        index = self.causal if self.before.causal is None else self.causal.unionByName(self.before.causal)
+        return revisions.explain(index, key, start, end, version)
 
     @property
     def windows(self) -> DataFrame:
-        return revisions.window_state(self.accepted, self.config, contributors=True)
+        return revisions.window_state(self.accepted, self.config, contributors=True, windows=self.before.windows)
+
+    @property
+    def seen(self) -> DataFrame:
+        """Ids that this run has met first."""
+        return self.observed.where("first").select("event_id")
 
     @property
     def state(self) -> DataFrame:
         """Watermark and progress after the last arrival, in one row."""
-        return ordering.final_state(self.observed, self.config)
+        own = ordering.final_state(self.observed, self.config)
+        top, done = (F.greatest(c, F.lit(x).cast("bigint")) for c, x in (("max_event_time_seen", self.before.top), ("max_ingest_seq_processed", self.before.processed)))
+        return own.select(top.alias("max_event_time_seen"), (top - self.config.bound).alias("watermark"), done.alias("max_ingest_seq_processed"))
+
+    def step(self, count: int = 1) -> RevisionRun:
+        """The run over the next arrivals only, up to ``count`` that are no duplicates."""
+        return replace(self, arrivals=ordering.up_to(self.arrivals, count, self.before.seen), table=None)
+
+
+def load_state(spark: SparkSession, folder: str) -> EngineState | None:
+    """The state that a snapshot holds; None without one."""
+    found = logs.read_snapshot(spark, folder, SNAPSHOT_TABLES)
+    if found is None:
+        return None
+    tables, versions = found
+    row = tables["state"].first()
+    return EngineState(row["max_event_time_seen"], row["max_ingest_seq_processed"], row["offset"], tables["seen"], tables["windows"], tables["causal"], tuple(versions))
+
+
+def save_state(run: RevisionRun, offset: int | None, folder: str) -> None:
+    """A snapshot version with the state after the run."""
+    tables = {"seen": run.seen, "windows": run.windows, "causal": run.causal, "state": run.state.withColumn("offset", F.lit(offset).cast("bigint"))}
+    logs.write_snapshot(tables, folder, list(run.before.versions))
 
 
-def run_log(spark: SparkSession, event_log: str, output_log: str, drops_log: str, config: EngineConfig, snapshot_dir: str | None = None, stop_after: int = 0) -> RevisionRun:
+def run_log(
+    spark: SparkSession, event_log: str, output_log: str, drops_log: str, config: EngineConfig, snapshot_dir: str | None = None,
+    stop_after: int = 0, snapshot_every: int = 0, use_snapshot: bool = True, append_logs: bool | None = None,
+) -> RevisionRun:
     """Process an event log and write outputs, drops and a snapshot.
 
-    With a snapshot, arrivals that it covers are not read from the log again:
-    they are part of the snapshot, and only records of new arrivals are
-    appended.  Running twice therefore changes nothing.  ``stop_after`` ends
-    after so many processed arrivals (late ones count, duplicates do not).
+    A snapshot's windows, ids and watermark are where the run goes on from;
+    arrivals up to its offset are not read again.  ``use_snapshot`` tells
+    whether one that is there is used.  Logs are appended to when a run goes
+    on, else begun anew; ``append_logs`` settles it.  Records are kept by the
+    offset that a run started from, so one that was broken off before its
+    snapshot replaces its records when it is repeated.  ``stop_after`` ends
+    after so many processed arrivals (late ones count, duplicates do not), and
+    ``snapshot_every`` saves the state after each so many.
     """
     if config.mode != LINE:
         raise ValueError("a log is processed line by line")
-    known = logs.read_snapshot(spark, snapshot_dir, SNAPSHOT_TABLES) if snapshot_dir else None
-    fresh = read_event_log(spark, event_log)
-    offset = known["arrivals"].agg(F.max("ingest_seq")).first()[0] if known else None
-    fresh = ordering.after_offset(fresh, offset)
-    if stop_after:
-        limit = fresh.select("ingest_seq", "event_id")
-        past = known["arrivals"].select("event_id").distinct() if known else None
-        limit = limit.groupBy("event_id").agg(F.min("ingest_seq").alias("ingest_seq"))
-        limit = limit.join(past, "event_id", "left_anti") if past else limit
-        last = limit.orderBy("ingest_seq").limit(stop_after).agg(F.max("ingest_seq")).first()[0]
-        fresh = fresh.where(F.col("ingest_seq") <= last) if last is not None else fresh
-    arrivals = fresh if known is None else known["arrivals"].select(*ARRIVAL_COLUMNS).unionByName(fresh)
-    done = RevisionRun(config, arrivals)
-    new = F.col("ingest_seq") > (offset if offset is not None else -(2**63))
-    observed = done.observed
-    made = revisions.output_records(done.revisions(contributors=True).where(new))
-    logs.write_log(made, output_log, append=known is not None)
-    logs.write_log(ordering.drops(observed.where(new)), drops_log, append=known is not None)
-    if snapshot_dir:
-        logs.write_snapshot({"arrivals": arrivals, "windows": done.windows, "causal": done.causal, "state": done.state}, snapshot_dir)
-    return done
+    if snapshot_every and not snapshot_dir:
+        raise ValueError("snapshots need a folder")
+    before = load_state(spark, snapshot_dir) if snapshot_dir and use_snapshot else None
+    if append_logs is None:
+        append_logs = before is not None
+    if not append_logs:
+        for path in (output_log, drops_log):
+            logs.clear_log(spark, path)
+    before, left = before or EngineState(), stop_after
+    while True:
+        count = min(x for x in (left, snapshot_every, 2**62) if x)
+        fresh = ordering.after_offset(read_event_log(spark, event_log), before.offset)
+        arrivals = ordering.up_to(fresh, count, before.seen) if count < 2**62 else fresh
+        path = scratch(spark, "observed")
+        done = RevisionRun(config, arrivals, before).once(path)
+        last, processed = done.observed.agg(F.max("ingest_seq"), F.sum(F.col("first").cast("bigint"))).first()
+        if last is not None:
+            logs.write_log(done.outputs, output_log, before.offset)
+            logs.write_log(done.drops, drops_log, before.offset)
+        offset = before.offset if last is None else last
+        if snapshot_dir and (last is not None or not before.versions):
+            save_state(done, offset, snapshot_dir)
+        left -= processed or 0
+        if count == 2**62 or (processed or 0) < count or (stop_after and left <= 0):
+            return done
+        before = load_state(spark, snapshot_dir)
+        delete(spark, path)
 
 
 def replay_check(spark: SparkSession, event_log: str, work_dir: str, config: EngineConfig, crash_after: int) -> dict[str, bool]:
@@ -99,7 +165,7 @@ def replay_check(spark: SparkSession, event_log: str, work_dir: str, config: Eng
     for stop in (crash_after, 0):
         run_log(spark, event_log, f"{work_dir}/resumed/outputs", f"{work_dir}/resumed/drops", config, snapshots, stop)
     same = {}
-    for name in ("outputs", "drops"):
-        full, resumed = (spark.read.text(f"{work_dir}/{x}/{name}") for x in ("full", "resumed"))
+    for name, read in (("outputs", logs.read_outputs), ("drops", logs.read_drops)):
+        full, resumed = (logs.as_json(read(spark, f"{work_dir}/{x}/{name}")) for x in ("full", "resumed"))
         same[name] = full.exceptAll(resumed).isEmpty() and resumed.exceptAll(full).isEmpty()
     return same

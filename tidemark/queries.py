@@ -223,13 +223,8 @@ def window_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contributor_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set differences between neighbouring versions' contributors, computed
     from the sets themselves."""
-    from pyspark.sql.window import Window
-
-    own = _run(spark, sf_dir).revisions(contributors=True)
-    before = F.coalesce(F.lag("contributors").over(Window.partitionBy("key", "start", "end").orderBy("version")), F.array().cast("array<string>"))
-    both = own.withColumn("before", before)
-    difference = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ",")
-    return both.select("key", "start", "end", "version", difference("contributors", "before").alias("added"), difference("before", "contributors").alias("removed"))
+    own = revisions.contributor_changes(_run(spark, sf_dir).revisions(contributors=True))
+    return own.select("key", "start", "end", "version", _list("added"), _list("removed"))
 
 
 @_register(f'WITH {_revisions()} SELECT key, start, "end", version, value, reason, trigger_event_id, old_value, contributors FROM revisions')

@@ -1,19 +1,32 @@
 """Output, drop and snapshot files.
 
 Records are written as compact JSON lines with their fields in alphabetical
-order and nulls kept.  A snapshot is a folder of Parquet tables that holds
-everything a resumed run needs: windows, causal index, seen ids, and the
-watermark's and the progress marker's values.
+order and nulls kept, in one folder for each offset that a run started from:
+a run that is repeated after a crash replaces what it wrote before.  Read
+back, records are held against their schema and the values of their enums.
+
+A snapshot is a chain of versions.  Each holds the windows and the watermark's
+and the progress marker's values as they are then, and the ids and causal
+records that it added; its list of versions names those it builds on.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.ordering import DUPLICATE, LATE
+from tidemark.operators.revisions import CORRECTION, INITIAL, LATE_UPDATE
+from tidemark.sources.shared import delete, exists
+
+WINDOW_ID = "window_id struct<key:string,start:bigint,end:bigint>"
+OUTPUT = f"{WINDOW_ID}, value bigint, version bigint, contributors array<string>, reason string, trigger_event_id string, diff struct<old_value:bigint,new_value:bigint,added_event_ids:array<string>,removed_event_ids:array<string>>"
+DROP = f"event_id string, {WINDOW_ID}, decision string, watermark_at_decision bigint"
+
 
 def _sorted(column: Column, kind: T.DataType) -> Column:
     """The value with all struct fields in alphabetical order."""
@@ -29,16 +42,52 @@ def as_json(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_log(records: DataFrame, path: str, append: bool = False) -> None:
-    as_json(records).write.mode("append" if append else "overwrite").text(path)
+def write_log(records: DataFrame, path: str, offset: int | None = None) -> None:
+    """The records of a run that started after ``offset``."""
+    as_json(records).write.mode("overwrite").text(f"{path}/from={'start' if offset is None else offset}")
+
+
+def clear_log(spark: SparkSession, path: str) -> None:
+    delete(spark, path)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a log; malformed lines are errors."""
+    names = spark.createDataFrame([], schema).columns
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).select(*names)
+
+
+def _checked(records: DataFrame, required: list[str], enum: str, values: list[str]) -> DataFrame:
+    """The records; a missing field or an unknown enum value fails the query."""
+
+    def or_fail(name: str) -> Column:
+        column = F.col(name)
+        wrong = F.raise_error(F.concat(F.lit(f"record with {name} "), F.coalesce(column.cast("string"), F.lit("missing")))).cast(records.schema[name].dataType)
+        if name == enum:
+            return F.when(column.isin(values), column).otherwise(wrong)
+        return F.coalesce(column, wrong)
+
+    return records.select(*[or_fail(c).alias(c) if c in required else F.col(c) for c in records.columns])
+
+
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    required = ["value", "version", "reason", "trigger_event_id"]
+    return _checked(read_log(spark, path, OUTPUT), required, "reason", [INITIAL, LATE_UPDATE, CORRECTION])
+
+
+def read_drops(spark: SparkSession, path: str) -> DataFrame:
+    return _checked(read_log(spark, path, DROP), ["event_id", "decision", "watermark_at_decision"], "decision", [DUPLICATE, LATE])
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+#: Tables of a snapshot that hold what a version added; the others are whole.
+ADDED = ("seen", "causal")
 
 
-def write_snapshot(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write the tables to a new version below ``folder``, then point to it.
+def write_snapshot(tables: dict[str, DataFrame], folder: str, after: list[str]) -> list[str]:
+    """Write the tables as a version that builds on the versions ``after``,
+    then point to it; the versions that it builds on, with its own.
 
     The pointer is written last, so a crash leaves the version before it.
     """
@@ -46,16 +95,20 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str) -> str:
     for name, table in tables.items():
         table.write.parquet(f"{folder}/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    moment = spark.range(1).select(F.current_timestamp().alias("at"), F.lit(version).alias("version"))
+    chain = [*after, version]
+    moment = spark.range(1).select(F.lit(len(chain)).alias("length"), F.current_timestamp().alias("at"), F.array(*map(F.lit, chain)).alias("versions"))
     moment.coalesce(1).write.mode("append").parquet(f"{folder}/versions")
-    return version
+    return chain
 
 
-def read_snapshot(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame] | None:
-    """Tables of the last version; None if there is no snapshot.  A snapshot
-    that cannot be read is an error."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+def read_snapshot(spark: SparkSession, folder: str, names: list[str]) -> tuple[dict[str, DataFrame], list[str]] | None:
+    """Tables of the last version, and the versions it is made of; None if there
+    is no snapshot.  A snapshot that cannot be read is an error."""
+    if not exists(spark, f"{folder}/versions"):
         return None
-    version = spark.read.parquet(f"{folder}/versions").orderBy(F.desc("at")).first()["version"]
-    return {name: spark.read.parquet(f"{folder}/{version}/{name}") for name in names}
+    chain = spark.read.parquet(f"{folder}/versions").orderBy(F.desc("at")).first()["versions"]
+    found = {}
+    for name in names:
+        parts = [spark.read.parquet(f"{folder}/{v}/{name}") for v in (chain if name in ADDED else chain[-1:])]
+        found[name] = reduce(DataFrame.unionByName, parts)
+    return found, list(chain)
