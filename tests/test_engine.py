@@ -11,8 +11,9 @@ from hypothesis import strategies as st
 from tests.model import process
 from tidemark.config import BUFFERED, NO_WATERMARK, EngineConfig, SlidingWindow, TumblingWindow
 from tidemark.operators.windows import assign_windows
-from tidemark.plans.pipeline import RevisionRun, replay_check, run_log
+from tidemark.plans.pipeline import RevisionRun, load_state, replay_check, run_log
 from tidemark.sources.events import EVENT, read_event_log
+from tidemark.sources.logs import read_drops, read_outputs
 
 SCHEMA = "event_id string, event_time bigint, system_time bigint, ingest_seq bigint, key string, value bigint"
 SECOND = 1_000_000
@@ -140,6 +141,114 @@ def test_stop_and_resume(spark, tmp_path, stop):
     assert replay_check(spark, log, str(tmp_path / "work"), GOLDEN, stop) == {"outputs": True, "drops": True}
 
 
+def read_all(spark, folder):
+    found = {}
+    for name in ("outputs", "drops"):
+        found[name] = sorted(r.value for r in spark.read.text(str(folder / name)).collect())
+    return found
+
+
+def many(count=60):
+    """A log with late, repeated and out-of-order arrivals."""
+    return [(f"E{n * 7 % 45}", (n * 37 % 50) * SECOND, n, n + 1, "AB"[n % 2], n) for n in range(count)]
+
+
+@pytest.mark.parametrize("every", [1, 7, 100])
+def test_snapshot_every(spark, tmp_path, every):
+    """Saving the state on the way changes no record; the state that is loaded is the whole run's."""
+    rows = many(20 if every == 1 else 60)
+    log = write_log(tmp_path / "events.jsonl", rows)
+    run_log(spark, log, str(tmp_path / "a/outputs"), str(tmp_path / "a/drops"), GOLDEN, str(tmp_path / "a/s"))
+    run_log(spark, log, str(tmp_path / "b/outputs"), str(tmp_path / "b/drops"), GOLDEN, str(tmp_path / "b/s"), snapshot_every=every)
+    assert read_all(spark, tmp_path / "a") == read_all(spark, tmp_path / "b")
+    one, two = (load_state(spark, str(tmp_path / f"{x}/s")) for x in "ab")
+    assert (one.top, one.processed, one.offset) == (two.top, two.processed, two.offset)
+    for table in ("seen", "windows", "causal"):
+        a, b = getattr(one, table), getattr(two, table)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    assert len(two.versions) >= (2 if every < 60 else 1)
+
+
+def test_crash_before_snapshot(spark, tmp_path, monkeypatch):
+    """Records written by a run that died before its snapshot are not doubled."""
+    from tidemark.plans import pipeline
+
+    log = write_log(tmp_path / "events.jsonl", many())
+    whole, broken = ([log, str(tmp_path / f"{x}/outputs"), str(tmp_path / f"{x}/drops"), GOLDEN, str(tmp_path / f"{x}/s")] for x in "ab")
+    run_log(spark, *whole)
+    run_log(spark, *broken, stop_after=9)
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "save_state", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            run_log(spark, *broken, stop_after=11)
+    run_log(spark, *broken)
+    assert read_all(spark, tmp_path / "a") == read_all(spark, tmp_path / "b")
+
+
+def test_flags(spark, tmp_path):
+    """Without the snapshot a run starts anew; logs that are not appended to begin anew."""
+    log = write_log(tmp_path / "events.jsonl", EXAMPLE)
+    paths = [log, str(tmp_path / "outputs"), str(tmp_path / "drops"), GOLDEN, str(tmp_path / "s")]
+    run_log(spark, *paths, stop_after=2)
+    run_log(spark, *paths, use_snapshot=False)
+    whole = read_all(spark, tmp_path)
+    assert len(whole["outputs"]) == 3 and len(whole["drops"]) == 1
+    run_log(spark, *paths, stop_after=2, use_snapshot=False)
+    run_log(spark, *paths, append_logs=False)
+    assert len(spark.read.text(str(tmp_path / "outputs")).collect()) == 1
+    with pytest.raises(ValueError):
+        run_log(spark, *paths[:4], snapshot_every=3)
+
+
+def test_one_step(spark):
+    found = run(spark, EXAMPLE, GOLDEN)
+    assert [r.trigger_event_id for r in found.step().outputs.collect()] == ["E1"]
+    assert found.step(3).revisions().count() == 3 and found.step(9).drops.count() == 1
+
+
+def test_records_are_checked(spark, tmp_path):
+    good = '{"window_id":{"end":2,"key":"k","start":1},"value":1,"version":1,"contributors":["a"],"reason":"Initial","trigger_event_id":"a","diff":null}'
+    for number, (bad, read) in enumerate([(good.replace("Initial", "Unknown"), read_outputs), (good.replace('"version":1,', ""), read_outputs), ('{"event_id":"a","decision":"Lost","watermark_at_decision":1}', read_drops)]):
+        (tmp_path / f"{number}.jsonl").write_text(bad + "\n")
+        with pytest.raises(Exception, match="record with"):
+            read(spark, str(tmp_path / f"{number}.jsonl")).collect()
+    (tmp_path / "good.jsonl").write_text(good + "\n")
+    assert read_outputs(spark, str(tmp_path / "good.jsonl")).first().reason == "Initial"
+    assert read_outputs(spark, str(tmp_path / "nothing")).count() == 0
+
+
+@pytest.mark.parametrize("outlier", [0, 2**62, -(2**62)])
+def test_blocks_are_even(spark, outlier):
+    """One far value leaves the others' blocks as they were; blocks never fall as values rise."""
+    from tidemark.operators import prefix
+
+    values = [(n * n,) for n in range(4000)] + [(outlier,)]
+    for most in (8, 1024):
+        prefix.MOST_CUTS, usual = most, prefix.MOST_CUTS
+        rows = spark.createDataFrame(values, "v bigint")
+        found = sorted(map(tuple, rows.select("v", prefix.value_blocks(rows, "v", 100).alias("b")).collect()))
+        prefix.MOST_CUTS = usual
+        assert [b for _, b in found] == sorted(b for _, b in found)
+        sizes = {b: sum(1 for _, x in found if x == b) for _, b in found}
+        assert len(sizes) >= (8 if most == 8 else 30) and max(sizes.values()) <= (700 if most == 8 else 220)
+
+
+def test_hot_window(spark):
+    """One window over many blocks: its contributors are those of the model."""
+    rows = [(f"e{n}", n % 7, n, n, "k", 1) for n in range(120)]
+    check(spark, rows, EngineConfig(TumblingWindow(100), 50, block_rows=16))
+
+
+def test_change_detection(spark):
+    from tidemark.operators.revisions import changed, contributor_changes
+
+    rows = [("k", 0, 9, 1, 5, ["a"]), ("k", 0, 9, 2, 5, ["a"]), ("k", 0, 9, 3, 5, ["a", "b"]), ("k", 0, 9, 4, 6, ["b"]), ("k", 9, 18, 1, 6, ["b"])]
+    made = spark.createDataFrame(rows, "key string, start bigint, end bigint, version bigint, value bigint, contributors array<string>")
+    assert sorted((r.start, r.version) for r in changed(made).collect()) == [(0, 1), (0, 3), (0, 4), (9, 1)]
+    found = {(r.start, r.version): (r.added, r.removed) for r in contributor_changes(made).collect()}
+    assert found[0, 1] == (["a"], []) and found[0, 3] == (["b"], []) and found[0, 4] == ([], ["a"])
+
+
 def test_bad_lines(spark, tmp_path):
     good = '{"event_id":"a","event_time":1,"system_time":1,"ingest_seq":1,"payload":{"key":"k","value":1}}'
     for number, bad in enumerate(["{broken", '{"event_id":"a","event_time":1,"system_time":1,"ingest_seq":1,"payload":{"key":"k"}}', '{"event_id":"a"}']):

@@ -150,7 +150,7 @@ def run_log(
         offset = before.offset if last is None else last
         if snapshot_dir and (last is not None or not before.versions):
             save_state(done, offset, snapshot_dir)
-        left -= processed or 0
+        left -= (processed or 0) if stop_after else 0
         if count == 2**62 or (processed or 0) < count or (stop_after and left <= 0):
             return done
         before = load_state(spark, snapshot_dir)

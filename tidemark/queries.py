@@ -12,9 +12,11 @@ from tidemark.config import BUFFERED, EngineConfig, SlidingWindow, TumblingWindo
 from tidemark.functions.arithmetic import floor_div, floor_multiple
 from tidemark.operators import ordering, revisions
 from tidemark.operators.windows import assign_windows
-from tidemark.plans.pipeline import RevisionRun
-from tidemark.sources.events import disordered_arrivals
+from tidemark.plans.pipeline import RevisionRun, load_state, replay_check, run_log
+from tidemark.sources import logs
+from tidemark.sources.events import disordered_arrivals, read_event_log
 from tidemark.sources.logs import as_json
+from tidemark.sources.shared import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -318,6 +320,107 @@ def engine_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir).state
 
 
+def _event_log(spark: SparkSession, sf_dir: str) -> str:
+    """The disordered arrivals as a log of JSON lines, a blank one after each tenth."""
+    path = scratch(spark, "event-log")
+    own = _run(spark, sf_dir).arrivals
+    events = own.select("event_id", "event_time", "system_time", "ingest_seq", F.struct("key", "value").alias("payload"))
+    line = F.to_json(F.struct("*"))
+    events.select(F.when(F.col("ingest_seq") % 10 == 0, F.concat(line, F.lit("\n  "))).otherwise(line)).write.text(path)
+    return path
+
+
+def _logged(spark: SparkSession, sf_dir: str, *options: dict) -> str:
+    """A folder with the logs and the snapshot of runs over the event log."""
+    log, folder = _event_log(spark, sf_dir), scratch(spark, "run")
+    for option in options:
+        run_log(spark, log, f"{folder}/outputs", f"{folder}/drops", TUMBLING, f"{folder}/snapshot", **option)
+    return folder
+
+
+@_register(f"WITH {_ARRIVALS} SELECT event_id, event_time, system_time, ingest_seq, key, value FROM arrivals")
+def event_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as JSON lines, blank ones among them, and read strictly."""
+    return read_event_log(spark, _event_log(spark, sf_dir))
+
+
+_OUTPUT = """SELECT key, start, "end", version, value, reason, trigger_event_id, old_value, CASE WHEN version > 1 THEN value END AS new_value, contributors"""
+
+
+def _output_columns(outputs: DataFrame) -> DataFrame:
+    return outputs.select("window_id.*", "version", "value", "reason", "trigger_event_id", "diff.old_value", "diff.new_value", _list("contributors"))
+
+
+@_register(f"WITH {_revisions()} {_OUTPUT} FROM revisions")
+def output_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output records written to a log and read back, enums checked."""
+    return _output_columns(logs.read_outputs(spark, f"{_logged(spark, sf_dir, {})}/outputs"))
+
+
+@_register(f"""WITH {_LINE} SELECT event_id, CASE WHEN first THEN 'LateDrop' ELSE 'DuplicateDrop' END AS decision, watermark AS watermark_at_decision FROM decided WHERE late OR NOT first""")
+def drop_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop records written to a log and read back, enums checked."""
+    return logs.read_drops(spark, f"{_logged(spark, sf_dir, {})}/drops").drop("window_id")
+
+
+STOP, EVERY = 4000, 3000
+
+
+@_register(f"WITH {_revisions()} {_OUTPUT} FROM revisions")
+def stopped_and_resumed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that stops, and one that goes on from its snapshot and saves more on the way."""
+    return _output_columns(logs.read_outputs(spark, f"{_logged(spark, sf_dir, {'stop_after': STOP}, {'snapshot_every': EVERY})}/outputs"))
+
+
+@_register(f"""WITH {_revisions()}, last AS (SELECT max(ingest_seq) AS seq FROM (SELECT ingest_seq FROM marked WHERE first ORDER BY ingest_seq LIMIT {STOP}))
+SELECT count(*) AS n, max(t.ingest_seq) AS last_seq FROM totals t, last WHERE t.ingest_seq <= last.seq""")
+def stop_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a run that ends after so many arrivals."""
+    folder = _logged(spark, sf_dir, {"stop_after": STOP})
+    ids = _run(spark, sf_dir).arrivals.groupBy("event_id").agg(F.min("ingest_seq").alias("ingest_seq"))
+    made = logs.read_outputs(spark, f"{folder}/outputs").join(ids, F.col("trigger_event_id") == F.col("event_id"))
+    return made.agg(F.count(F.lit(1)).alias("n"), F.max("ingest_seq").alias("last_seq"))
+
+
+@_register(f"""WITH {_revisions()} SELECT key, start, "end", version, value, contributors FROM revisions r
+QUALIFY row_number() OVER (PARTITION BY key, start, "end" ORDER BY version DESC) = 1""")
+def snapshot_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that a stopped and resumed run saved, as they are loaded."""
+    state = load_state(spark, f"{_logged(spark, sf_dir, {'stop_after': STOP}, {})}/snapshot")
+    return state.windows.select("key", "start", "end", "version", "value", _list("contributors"))
+
+
+@_register(f"""WITH {_ARRIVALS} SELECT max(event_time) FILTER (first) AS max_event_time_seen, max(ingest_seq) FILTER (first) AS max_ingest_seq_processed, max(ingest_seq) AS read_up_to,
+  count(*) FILTER (first) AS n_seen FROM marked""")
+def snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermark, progress and ids that a stopped and resumed run saved, as they are loaded."""
+    state = load_state(spark, f"{_logged(spark, sf_dir, {'stop_after': STOP}, {})}/snapshot")
+    return state.seen.agg(F.lit(state.top).alias("max_event_time_seen"), F.lit(state.processed).alias("max_ingest_seq_processed"), F.lit(state.offset).alias("read_up_to"), F.count(F.lit(1)).alias("n_seen"))
+
+
+@_register("SELECT 'outputs' AS log, true AS same UNION ALL SELECT 'drops', true")
+def replay_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether stopping and going on gives the records of one whole run."""
+    same = replay_check(spark, _event_log(spark, sf_dir), scratch(spark, "replay"), TUMBLING, STOP)
+    return spark.createDataFrame(list(same.items()), "log string, same boolean")
+
+
+@_register(f"""WITH {_revisions()}, steps AS (SELECT key, start, "end", version, version % 3 > 0 AS counts FROM revisions)
+SELECT r.key, r.start, r."end", r.version FROM revisions r JOIN steps s USING (key, start, "end", version) WHERE s.counts OR r.version = 1""")
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of candidates every third of which repeats the one before, those that are emitted."""
+    own = _run(spark, sf_dir).revisions(contributors=True).select("key", "start", "end", "version", "value", "contributors")
+    repeats = own.where("version % 3 = 2").withColumn("version", F.col("version") + 1)
+    candidates = own.where("version % 3 > 0").unionByName(repeats.join(own.select("key", "start", "end", "version"), ["key", "start", "end", "version"], "left_semi"))
+    return revisions.changed(candidates).select("key", "start", "end", "version")
+
+
+@_register(f"WITH {_revisions()}, ends AS (SELECT max(ingest_seq) AS last FROM (SELECT ingest_seq FROM marked WHERE first ORDER BY ingest_seq LIMIT 2)) SELECT t.event_id AS trigger_event_id, t.version FROM totals t, ends WHERE t.ingest_seq <= ends.last")
+def single_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the first two arrivals, one step at a time."""
+    return _run(spark, sf_dir).step(2).revisions().select("trigger_event_id", "version")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
