@@ -2,8 +2,10 @@
 
 The watermark and the duplicates are global, so all arrivals share one state:
 the greatest event time, the ids seen, and each window's value, version and
-last contributors.  A micro-batch is processed in processing order, whatever
-order and chunks its rows come in.  Records are tagged ``output`` or ``drop``.
+contributors.  A micro-batch is processed in processing order, whatever
+order and chunks its rows come in.  Records are tagged ``output`` or ``drop``;
+outputs carry their contributors and what they added, from which
+``output_records`` and ``causal_records`` make the batch engine's records.
 
 State is kept by the RocksDB provider; set
 ``spark.sql.streaming.stateStore.providerClass`` accordingly.
@@ -26,7 +28,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 SCHEMA = (
     "kind string, event_id string, ingest_seq bigint, key string, start bigint, end bigint, value bigint, version bigint, "
-    "reason string, old_value bigint, decision string, watermark_at_decision bigint"
+    "reason string, old_value bigint, decision string, watermark_at_decision bigint, contributors array<string>, added_event_ids array<string>"
 )
 
 
@@ -39,7 +41,7 @@ class RevisionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.top = handle.getValueState("top", "event_time bigint")
         self.seen = handle.getMapState("seen", "event_id string", "ingest_seq bigint")
-        self.windows = handle.getMapState("windows", "key string, start bigint", "value bigint, version bigint")
+        self.windows = handle.getMapState("windows", "key string, start bigint", "value bigint, version bigint, contributors array<string>")
 
     def _starts(self, time: int) -> list[int]:
         window = self.config.window
@@ -79,19 +81,21 @@ class RevisionProcessor(StatefulProcessor):
                 found.append(self._revise(r, start, out_of_order))
         if top is not None:
             self.top.update((top,))
-        yield pd.DataFrame(found, columns=[c.split()[0] for c in SCHEMA.split(", ")]).convert_dtypes()
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        made = pd.DataFrame(found, columns=names)
+        yield made.astype({c: "Int64" for c, kind in (x.split() for x in SCHEMA.split(", ")) if kind == "bigint"})
 
     def _drop(self, r, decision: str, top: int | None) -> tuple:
         mark = NO_WATERMARK if top is None else top - self.config.bound
-        return ("drop", r.event_id, int(r.ingest_seq), None, None, None, None, None, None, None, decision, mark)
+        return ("drop", r.event_id, int(r.ingest_seq), None, None, None, None, None, None, None, decision, mark, None, None)
 
     def _revise(self, r, start: int, out_of_order: bool) -> tuple:
         at = (r.key, start)
-        old, version = self.windows.getValue(at) if self.windows.containsKey(at) else (None, 0)
-        value = int(r.value) + (old or 0)
-        self.windows.updateValue(at, (value, version + 1))
+        old, version, ids = self.windows.getValue(at) if self.windows.containsKey(at) else (None, 0, [])
+        value, ids = int(r.value) + (old or 0), sorted([*ids, r.event_id])
+        self.windows.updateValue(at, (value, version + 1, ids))
         reason = INITIAL if not version else LATE_UPDATE if out_of_order else CORRECTION
-        return ("output", r.event_id, int(r.ingest_seq), r.key, start, start + self.config.window.size, value, version + 1, reason, old, None, None)
+        return ("output", r.event_id, int(r.ingest_seq), r.key, start, start + self.config.window.size, value, version + 1, reason, old, None, None, ids, [r.event_id])
 
     def close(self) -> None:
         pass
@@ -103,6 +107,20 @@ def stream_revisions(arrivals: DataFrame, config: EngineConfig) -> DataFrame:
     return keyed.groupBy("everything").transformWithStateInPandas(RevisionProcessor(config), SCHEMA, "Append", "None")
 
 
+def output_records(tagged: DataFrame) -> DataFrame:
+    """The batch engine's output records from tagged ones."""
+    made = tagged.where(F.col("kind") == "output")
+    none = F.array().cast("array<string>")
+    diff = F.when(F.col("version") > 1, F.struct("old_value", F.col("value").alias("new_value"), "added_event_ids", none.alias("removed_event_ids")))
+    return made.select(F.struct("key", "start", "end").alias("window_id"), "value", "version", "contributors", "reason", F.col("event_id").alias("trigger_event_id"), diff.alias("diff"))
+
+
+def causal_records(tagged: DataFrame) -> DataFrame:
+    """What each version of each window was caused by, from tagged records."""
+    made = tagged.where(F.col("kind") == "output")
+    return made.select("key", "start", "end", "version", F.col("event_id").alias("trigger_event_id"), "added_event_ids", F.array().cast("array<string>").alias("removed_event_ids"))
+
+
 def start(arrivals: DataFrame, config: EngineConfig, output_path: str, drop_path: str, checkpoint: str, **trigger):
     """Write outputs and drops below two folders, one subfolder a micro-batch,
     so a batch that is repeated after a failure replaces itself."""
