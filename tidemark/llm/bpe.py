@@ -7,8 +7,11 @@ have no ids yet are encoded together: their symbols lie in one flat array,
 each round looks up neighbouring pairs by binary search over the sorted pair
 keys, and merges the lowest-ranked pair of every word at once.
 
-Null texts count as empty; empty texts have no ids.  Rows are independent, so
-ties, repeats and extra columns need no care.
+Null texts count as empty; empty texts have no ids.  Texts of any length are
+taken whole; a pre-token of n bytes takes up to n rounds over what is left of
+it, as the lowest-ranked pair of a word merges wherever it occurs.  An empty
+table gives an empty result.  Rows are independent, so ties, repeats and extra
+columns need no care.
 """
 
 from __future__ import annotations

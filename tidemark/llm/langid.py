@@ -7,15 +7,18 @@ each profile's out-of-place distance sums how far every n-gram's rank lies
 from its rank in the profile, with the profile's length for one that is not
 there.  The nearest profile names the language.
 
-Profiles are fitted on a bounded sample: of each language about
-``sample`` labelled documents, taken by a hash of doc_id at a rate that
-follows from the language's count.  Prediction covers every whole text.
+Profiles are fitted on a bounded sample: of each of the ``MOST_LANGUAGES``
+most frequent labels about ``sample`` documents, taken by a hash of doc_id at a
+rate that follows from the label's count.  Prediction covers every whole text.
 
 Null texts and texts without letters give ``und`` with score 0, as does every
 text when no labelled document is there.  Equal n-gram counts are ranked by
-the n-gram's code points, equal distances go to the first language by name.
+the n-gram's number (shorter ones first, then by code points), equal distances
+go to the first language by name.  Texts of any length are taken whole.
+Repeated rows are predicted alike and learned from as often as they are there.
 Documents without doc_id are predicted but never learned from and not held
-out.  Extra columns are ignored.
+out.  An empty table gives an empty result.  Extra columns are ignored, but
+``keep_identified`` keeps them.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from tidemark.llm.storage import map_batches
 
 PROFILE_GRAMS = 400
 SAMPLE_DOCUMENTS = 2000
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 
 #: Letters lie below 2**20; the two bits above three of them tell the n-gram's length.
@@ -113,11 +117,12 @@ def held_out() -> F.Column:
 def fit_profiles(documents: DataFrame, limit: int = PROFILE_GRAMS, sample: int = SAMPLE_DOCUMENTS) -> Profiles:
     """Profiles of each language of the labelled documents outside the held-out fold."""
     learn = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
-    if not sizes:
+    sizes = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).toArrow()
+    if not len(sizes):
         return Profiles({}, limit)
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1, -(-n // sample)))])
-    chosen = learn.where(F.pmod(F.xxhash64("doc_id"), rate[F.col("lang")]) == 0)
+    rates = pa.table({"lang": sizes["lang"], "rate": pa.array([max(1, -(-n // sample)) for n in sizes["count"].to_pylist()], pa.int64())})
+    rates = F.broadcast(documents.sparkSession.createDataFrame(rates))  # one row a language
+    chosen = learn.join(rates, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("rate")) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +138,7 @@ def fit_profiles(documents: DataFrame, limit: int = PROFILE_GRAMS, sample: int =
     counts = map_batches(chosen.select("text", "lang"), count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    ranked: dict[str, list[int]] = {lang: [] for lang in sizes}
+    ranked: dict[str, list[int]] = {lang: [] for lang in sizes["lang"].to_pylist()}
     for row in sorted(top.collect(), key=lambda r: r["place"]):
         ranked[row["lang"]].append(row["gram"])
     return Profiles({k: v for k, v in ranked.items() if v}, limit)

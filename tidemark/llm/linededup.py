@@ -285,12 +285,16 @@ def near_lines(lines: DataFrame, classes: DataFrame, threshold: int, broadcast_b
         short = F.greatest("n_words", y["n_words"]) <= SHORT_WORDS
         return short & (F.least("n_chars", y["n_chars"]) >= (threshold + 1) ** 2) & (F.abs(F.col("n_chars") - y["n_chars"]) <= threshold) & F.coalesce(apart <= 2 * threshold, F.lit(False))
 
-    def words_alike(y: Column, edits: int, least: int) -> Column:
+    def words_alike(y: Column, edits: int, least: int, below: int) -> Column:
+        words = F.least("n_words", y["n_words"])
         apart = F.bit_count(F.col("word_signature").bitwiseXOR(y["word_signature"]))
-        return (F.least("n_words", y["n_words"]) >= least) & (F.abs(F.col("n_words") - y["n_words"]) <= edits) & (apart <= 2 * edits)
+        return (words >= least) & (words < below) & (F.abs(F.col("n_words") - y["n_words"]) <= edits) & (apart <= 2 * edits)
+
+    # a pair that is long enough for more edits needs no test of fewer
+    by_words = [(edits, least, below) for (edits, least), below in zip(WORD_EDITS, [*(x for _, x in WORD_EDITS[1:]), 2**31 - 1])]
 
     def alike(y: Column) -> Column:
-        kinds = [chars_alike(y), *[words_alike(y, *kind) for kind in WORD_EDITS]]
+        kinds = [chars_alike(y), *[words_alike(y, *kind) for kind in by_words]]
         return (F.col("indexed") | y["indexed"]) & (F.col("place") != y["place"]) & reduce(or_, kinds)
 
     met = posts.join(texts.drop("line", "words"), "name")
@@ -300,8 +304,7 @@ def near_lines(lines: DataFrame, classes: DataFrame, threshold: int, broadcast_b
 
     def earlier(y: Column) -> Column:
         kinds = [chars_alike(y) & within_edits(letters_of(F.col("line")), letters_of(y["line"]), threshold)]
-        # of a pair that is long enough for more edits, more edits decide
-        kinds += [words_alike(y, *kind) & within_edits(F.col("words"), y["words"], kind[0]) for kind in reversed(WORD_EDITS)]
+        kinds += [words_alike(y, *kind) & within_edits(F.col("words"), y["words"], kind[0]) for kind in by_words]
         return (F.col("indexed") | y["indexed"]) & (y["place"] < F.col("place")) & reduce(or_, kinds)
 
     found = _against_chunks(met, [*entry, "line", "words"], earlier, chunk_lines, broadcast_bytes)

@@ -391,8 +391,10 @@ def _linked(documents: DataFrame, width: int, percent: int, chunk_sets: int = CH
     blocks = materialize(posts.join(hubs, "shingle").select("hub", "c1").distinct(), "blocks")
 
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / chunk_shingles)).cast("int")
-    sizes = blocks.join(classes.select("c1", "n"), "c1").groupBy("hub").agg(chunks.alias("chunks"))
-    dealt = blocks.join(sizes, "hub").join(classes.select("c1", "c2", "n", "sketch"), "c1")
+    sizes = blocks.join(classes.select("c1", "n"), "c1").groupBy("hub").agg(chunks.alias("chunks")).where("chunks > 1")
+    # only blocks of several chunks are looked up, so a large one's classes stay where they are
+    dealt = blocks.join(small(sizes), "hub", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.join(classes.select("c1", "c2", "n", "sketch"), "c1")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("c1", "c2"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})

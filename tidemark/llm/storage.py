@@ -3,7 +3,7 @@
 An operator whose input would otherwise be computed twice, or whose plan
 would grow with each iteration, writes it once as Parquet below the folder
 that ``spark.checkpoint.dir`` names.  A lost executor then costs a re-read
-and nothing more.
+and nothing more.  Tables go when the interpreter ends, or by ``release``.
 """
 
 from __future__ import annotations
@@ -59,7 +59,11 @@ def ship(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this subpackage there for the workers, and with
-    Arrow batches of whole texts held small."""
+    Arrow batches of whole texts held small.
+
+    The plan runs later, so the session keeps ``BATCH_BYTES`` as the size of
+    its Arrow batches, unless it has a size of its own.
+    """
     ship(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get(_BATCH, _USUAL_BATCH) == _USUAL_BATCH:  # a session's own choice stays
@@ -154,6 +158,14 @@ def discard(table: DataFrame) -> None:
         _delete(_written.pop(path), path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that operators have written in this session, once
+    nothing reads their results any more."""
+    for path, owner in list(_written.items()):
+        if owner is spark:
+            _delete(_written.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
