@@ -115,6 +115,19 @@ def _bands() -> list[tuple[int, int, int]]:
     return [(edits, least, most) for (edits, least), most in zip(WORD_EDITS, [*ends, 2**31 - 1])]
 
 
+def _word_range(line: Column, n: Column, start: Column, width: Column) -> Column:
+    """Words ``start`` (from 1) to ``start + width - 1`` of a line of ``n``,
+    looked for from the nearer end."""
+
+    def first(x: Column, count: Column) -> Column:
+        return F.call_function("substring_index", x, F.lit(" "), count)
+
+    end = start + width - 1
+    forwards = F.when(start > 1, first(first(line, end), -width)).otherwise(first(line, end))
+    backwards = F.when(end < n, first(first(line, -(n - start + 1)), width)).otherwise(first(line, -width))
+    return F.when(start <= n - end, forwards).otherwise(backwards)
+
+
 def line_keys(lines: DataFrame, threshold: int) -> DataFrame:
     """key and post of every line's lookups, for every kind of edits that it is
     long enough for; a post is the line's name, its lowest bit 0 for index keys."""
@@ -134,8 +147,7 @@ def line_keys(lines: DataFrame, threshold: int) -> DataFrame:
     posed = posed.withColumn("size", F.when(F.col("letters"), F.length("line")).otherwise(F.col("n_words"))).where(~F.col("letters") | (F.col("size") >= (threshold + 1) ** 2))
     start, width = _part(F.col("size"), *map(F.col, ("edits", "less", "number", "shift")))
     posed = posed.withColumns({"start": start, "width": width})
-    before = F.call_function("substring_index", F.col("line"), F.lit(" "), F.col("start") + F.col("width") - 1)
-    part = F.when(F.col("letters"), F.col("line").substr(F.col("start"), F.col("width"))).otherwise(F.call_function("substring_index", before, F.lit(" "), -F.col("width")))
+    part = F.when(F.col("letters"), F.col("line").substr(F.col("start"), F.col("width"))).otherwise(_word_range(F.col("line"), F.col("size"), F.col("start"), F.col("width")))
     key = F.xxhash64("edits", "number", F.col("size") - F.col("less"), part)
     return posed.select(_name(key).alias("key"), _name(F.col("k1")).bitwiseOR(F.col("bit").cast("bigint")).alias("post"))
 
@@ -207,7 +219,7 @@ def letters_of(text: Column) -> Column:
 
 
 def _blank(text: Column) -> Column:
-    return F.btrim(text, F.lit(_WHITE)) == ""
+    return F.ltrim(text, F.lit(_WHITE)) == ""
 
 
 def split_lines(documents: DataFrame, least_chars: int) -> DataFrame:
@@ -215,7 +227,9 @@ def split_lines(documents: DataFrame, least_chars: int) -> DataFrame:
     two hashes of each line."""
     named = documents.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("row"), F.split("text", "\n").alias("lines"))
     split = named.select("doc", "row", F.posexplode("lines").alias("number", "line"))
-    normal = split.select(F.struct("doc", "row", "number").alias("place"), F.lower(F.trim("line")).alias("line")).where((F.length("line") >= least_chars) & ~_blank(F.col("line")))
+    normal = split.select(F.struct("doc", "row", "number").alias("place"), F.lower(F.trim("line")).alias("line")).where(~_blank(F.col("line")))
+    if least_chars > 1:
+        normal = normal.where(F.length("line") >= least_chars)
     spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
     return normal.select("place", "line", (spaces + 1).alias("n_words"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
@@ -263,17 +277,27 @@ def _once(lines: DataFrame, classes: DataFrame, broadcast_bytes: int) -> DataFra
     return lines.join(F.broadcast(often), ["k1", "k2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("place"))).drop("first")
 
 
-def near_lines(lines: DataFrame, classes: DataFrame, threshold: int, broadcast_bytes: int, chunk_lines: int) -> DataFrame:
-    """k1 and k2 of the distinct lines that have an earlier near line."""
-    posts = materialize(line_keys(_once(lines, classes, broadcast_bytes), threshold), "line-keys")
-    shared = posts.groupBy("key").agg(F.min("post").alias("low"), F.max("post").alias("high"), F.min(F.col("post").bitwiseAND(F.lit(1))).alias("index"))
-    shared = materialize(shared.where((_name(F.col("low")) != _name(F.col("high"))) & (F.col("index") == 0)).select("key"), "line-shared")
+def near_lines(lines: DataFrame, often: DataFrame, threshold: int, broadcast_bytes: int, chunk_lines: int) -> DataFrame:
+    """k1 and k2 of the distinct lines that have an earlier near line.
+
+    ``often`` has k1, k2 and the first place of each line that is there more
+    than once.  Keys of repeats are left out as far as it can be broadcast;
+    those that stay count once all the same.
+    """
+
+    def once(rows: DataFrame) -> DataFrame:
+        """The first of equal lines."""
+        return rows.join(small(often, broadcast_bytes), ["k1", "k2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("place"))).drop("first")
+
+    distinct = once(lines) if fits(often, broadcast_bytes) else lines
+    posts = materialize(line_keys(distinct, threshold), "line-keys")
+    shared = posts.groupBy("key").agg(F.min("post").alias("low"), F.max("post").alias("high"))
+    shared = materialize(shared.where(_name(F.col("low")) != _name(F.col("high"))).select("key"), "line-shared")
     met = posts.join(small(shared, broadcast_bytes), "key").groupBy("key", _name(F.col("post")).alias("name"))
     posts = materialize(met.agg((F.min(F.col("post").bitwiseAND(F.lit(1))) == 0).alias("indexed")), "line-posts", done=[posts, shared])
 
-    wanted = posts.select("name").distinct()
-    wanted = materialize(classes.withColumn("name", _name(F.col("k1"))).join(wanted, "name", "left_semi").select("name", "k1", "k2", F.col("first").alias("place")), "line-names")
-    texts = lines.join(small(wanted, broadcast_bytes), ["k1", "k2", "place"])
+    wanted = materialize(posts.select("name").distinct(), "line-names")
+    texts = once(lines.withColumn("name", _name(F.col("k1"))).join(small(wanted, broadcast_bytes), "name", "left_semi"))
     texts = texts.dropDuplicates(["k1", "k2"])  # equal rows of a document have equal places
     texts = texts.withColumn("words", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
     texts = texts.withColumns({"word_signature": word_signature(F.col("words")), "n_chars": F.length("line"), "line": F.when(F.col("n_words") <= SHORT_WORDS, F.col("line"))})
@@ -315,11 +339,12 @@ def repeated_lines(documents: DataFrame, threshold: int = THRESHOLD, least_chars
     """doc, row (hash of the text), number and whether it is near (else equal) of
     every line to be removed."""
     lines = materialize(split_lines(documents, least_chars), "lines")
-    classes = materialize(lines.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
-    written = near_lines(lines, classes, threshold, broadcast_bytes, chunk_lines)
-    near = small(written, broadcast_bytes).withColumn("near", F.lit(True))
-    marked = classes.join(near, ["k1", "k2"], "left").where("n > 1 or near")
-    marked = materialize(marked.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-marks", done=[classes, written])
+    often = materialize(lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2"), "line-repeats")
+    first = lines.select("k1", "k2", "place").join(small(often, broadcast_bytes), ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("place").alias("first"))
+    often = materialize(first, "line-firsts", done=[often])
+    near = near_lines(lines, often, threshold, broadcast_bytes, chunk_lines)
+    marked = often.join(near.withColumn("near", F.lit(True)), ["k1", "k2"], "full")
+    marked = materialize(marked.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-marks", done=[often, near])
     found = lines.select("k1", "k2", "place").join(small(marked, broadcast_bytes), ["k1", "k2"]).where("near or place <> first")
     return materialize(found.select("place.doc", "place.row", "place.number", "near").distinct(), "line-found", done=[lines, marked])
 

@@ -31,6 +31,9 @@ BATCH_BYTES = "2m"
 
 _BATCH, _USUAL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
+#: Tables that are read a few times are packed quickly.
+_QUICK = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}
+
 _written: dict[str, SparkSession] = {}
 _shipped: set[str] = set()
 
@@ -93,7 +96,7 @@ def materialize(df: DataFrame, label: str = "table", done: Iterable[DataFrame] =
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**_QUICK).parquet(path)
     _written[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
     table.written_at = path
