@@ -83,6 +83,26 @@ def test_one_of_each(spark):
     assert Counter(r.doc_id for r in kept.collect()) == expected
 
 
+def test_common_shingle(spark):
+    """One shingle, and one beginning, in every document; two near pairs."""
+    rows = [(k, "the same words stand here " + prose(k, 60).replace("\n", " ") + f" end{k}") for k in range(300)]
+    rows += [(1000, rows[5][1] + " more"), (1001, "new " + rows[9][1]), (1002, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for chunk_sets in (7, 1500):
+        found = ngram_join.link_components(docs, 3, 90, chunk_sets=chunk_sets)
+        assert sorted(map(tuple, found.collect()), key=key) == plain_components(rows, 3, 90)
+
+
+def test_words_of_regular_build(spark):
+    """Long words that polynomial hashes confuse are told apart."""
+    one, other = "a", "b"
+    for _ in range(10):
+        one, other = one + other, other + one
+    docs = spark.createDataFrame([(1, one), (2, other), (3, f"x {one} y"), (4, f"x {other} y"), (5, one)], "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in ngram_join.link_components(docs, 3, 90).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
 def test_prefix_tree():
     rng = np.random.default_rng(3)
     from tidemark.llm.hashing import mix
@@ -156,30 +176,45 @@ def test_edit_distance(spark):
         assert [r.near for r in found] == [edits(r.a, r.b) <= threshold for r in found]
 
 
-def plain_dedupe(rows, threshold, least):
-    """Texts left, by the rule of the module's docstring."""
+def plain_near(a, b, threshold, least):
+    """Whether two lines are near, by the rule of the module's docstring."""
+    words = a.split(" "), b.split(" ")
+    n = min(map(len, words))
+    if n >= 8 and abs(len(words[0]) - len(words[1])) <= 2:
+        allowed = 2 if n >= 16 else 1
+        if sum((Counter(words[0]) - Counter(words[1])).values()) <= allowed and edits(*words) <= allowed:
+            return True
+    short = max(map(len, words)) <= 18 and min(len(a), len(b)) >= max(least, (threshold + 1) ** 2)
+    return short and abs(len(a) - len(b)) <= threshold and edits(a, b) <= threshold
+
+
+def plain_dedupe(rows, threshold, least, marks):
+    """doc_id and text left of each row; ``marks`` are the hashes of texts."""
     order = []
     for r in rows:
         for number, line in enumerate((r[1] or "").split("\n") if r[1] is not None else []):
             normal = re.sub(r"^ +| +$", "", line).lower()
-            if len(normal) >= least:
-                order.append(((r[0] if r[0] is not None else 2**63, number), normal))
+            if len(normal) >= least and normal.strip(" \t\n\x0b\f\r"):
+                order.append(((r[0] if r[0] is not None else 2**63, marks[r[1]], number), normal))
     first = {}
     for place, normal in sorted(order):
         first.setdefault(normal, place)
-    near = {a for a in first for b in first if first[b] < first[a] and abs(len(a) - len(b)) <= threshold and edits(a, b) <= threshold}
+    near = {a for a in first for b in first if first[b] < first[a] and plain_near(a, b, threshold, least)}
     gone = {(place, normal) for place, normal in order if normal in near or first[normal] != place}
     out = []
     for r in rows:
         if r[1] is None:
             out.append((r[0], None))
             continue
-        lines = r[1].split("\n")
         at = r[0] if r[0] is not None else 2**63
-        out.append((r[0], "\n".join(x for n, x in enumerate(lines) if ((at, n), re.sub(r"^ +| +$", "", x).lower()) not in gone)))
+        out.append((r[0], "\n".join(x for n, x in enumerate(r[1].split("\n")) if ((at, marks[r[1]], n), re.sub(r"^ +| +$", "", x).lower()) not in gone)))
     return sorted(out, key=key)
 
 
+def text_marks(docs):
+    return {r.text: r.mark for r in docs.select("text", F.xxhash64("text").alias("mark")).collect()}
+
+
 @pytest.mark.parametrize(("broadcast_bytes", "chunk_lines"), [(0, 2), (24_000_000, 128)])
 def test_lines(spark, broadcast_bytes, chunk_lines):
     rng, extra = random.Random(9), []
@@ -196,7 +231,7 @@ def test_lines(spark, broadcast_bytes, chunk_lines):
     rows = [(i, t, "en", None, None, 0, "", "", 0, "z") for i, t in [*extra, (1, None), (2, ""), (None, pool[0]), (None, pool[0] + "\nshort"), (3, "short\nshort"), (4, prose(77, 9000)), (4, prose(77, 9000))]]
     docs = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
     found = linededup.dedupe_lines(docs, 2, 12, broadcast_bytes, chunk_lines)
-    expected = plain_dedupe([r for r in rows if r[0] != 4], 2, 12)
+    expected = plain_dedupe([r for r in rows if r[0] != 4], 2, 12, text_marks(docs))
     assert sorted((tuple(r) for r in found.where("doc_id is null or doc_id <> 4").select("doc_id", "text").collect()), key=key) == expected
     assert found.columns == [*docs.columns, "n_lines", "n_equal", "n_near"]
     assert linededup.dedupe_lines(none(spark)).count() == 0
@@ -235,6 +270,35 @@ def test_lines_of_shared_ids(spark, doc_id):
     assert texts in (["", "same place", "unique text of its own"], ["", "unique text of its own\nsame place"])
 
 
+def test_removed_by_row(spark):
+    """Rows without doc_id or of one doc_id keep what stands nowhere else."""
+    rows = [(1, "a text"), (None, "a text"), (None, "b text"), (7, "a text"), (7, "c text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted((tuple(r) for r in linededup.dedupe_lines(docs).select("doc_id", "text").collect()), key=key)
+    assert found == sorted([(1, "a text"), (None, ""), (None, "b text"), (7, ""), (7, "c text")], key=key)
+    assert sorted(r.text for r in linededup.dedupe_lines(docs, drop_emptied=True).collect()) == ["a text", "b text", "c text"]
+
+
+@pytest.mark.parametrize(("broadcast_bytes", "chunk_lines"), [(0, 3), (24_000_000, 128)])
+def test_lines_of_all_lengths(spark, broadcast_bytes, chunk_lines):
+    """Lines of 1 to 40 words, changed in words and letters, in rows with
+    repeated and missing doc_ids."""
+    rng, rows = random.Random(12), []
+    pool = [" ".join(prose(k, n).split()[:n]) for k, n in enumerate([1, 2, 5, 7, 8, 9, 14, 15, 16, 17, 18, 19, 20, 24, 40] * 2)]
+    for k in range(90):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            words = rng.choice(pool).split(" ")
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = rng.choice([[], ["new"], [words[at] + "x"], [words[at][:-1]], [words[at] + " " + "more"]])
+            lines.append(" ".join(words))
+        rows.append((rng.choice([None, 5, 6, k + 100]), "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = linededup.dedupe_lines(docs, broadcast_bytes=broadcast_bytes, chunk_lines=chunk_lines)
+    assert sorted((tuple(r) for r in found.select("doc_id", "text").collect()), key=key) == plain_dedupe(rows, 2, 1, text_marks(docs))
+
+
 def test_lookups_lose_nothing(spark):
     """Lines within the threshold always share a lookup key."""
     rng, rows = random.Random(5), []
@@ -279,6 +343,46 @@ def test_pipeline(spark, data):
     assert packed.select("doc_id").distinct().count() == kept.count()
 
 
+def test_pipeline_stages_plainly(spark, data):
+    """Line dedup, personal data and packing against plain versions, each on
+    what the stage before it kept."""
+    import zlib
+
+    import corpus_pipeline as own
+    from tests.llm.test_texts import plain_spans
+    from tidemark.llm.queries import vocabulary
+    from tokenizers import Tokenizer
+
+    stage = {name: f for name, f in own.STAGES}
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    identified = stage["language ID"](spark, docs, data).cache()
+    rows = [(r.doc_id, r.text) for r in identified.collect()]
+    deduped = stage["line dedup"](spark, identified, data).cache()
+    emptied = {text for _, text in rows if not text.strip(" \t\n\x0b\f\r")}
+    expected = [x for x, before in zip(plain_dedupe(rows, 2, 1, text_marks(identified)), sorted(rows, key=lambda r: r[0])) if x[1].strip(" \t\n\x0b\f\r") or before[1] in emptied]
+    assert sorted((r.doc_id, r.text) for r in deduped.collect()) == sorted(expected)
+    clean = stage["PII"](spark, deduped, data)
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert set(texts) == {r.doc_id for r in deduped.collect()}
+    for r in deduped.collect():
+        spans = plain_spans(r.text)
+        assert all(r.text[a:b] not in texts[r.doc_id] for a, b, _ in spans)
+        if not re.search("[0-9@]", r.text):
+            assert texts[r.doc_id] == r.text
+    library = Tokenizer.from_file(vocabulary())
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    windows = {}
+    for p in stage["packing"](spark, clean, data).collect():
+        piece = ids[p.doc_id][p.start : p.start + p.length]
+        assert p.ids == piece and p.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes()) and p.doc_tokens == len(ids[p.doc_id])
+        windows.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        ids[p.doc_id][p.start : p.start + p.length] = [None] * p.length
+    assert all(x is None for own in ids.values() for x in own)
+    for own_pieces in windows.values():
+        ends = [0, *(a + n for a, n in sorted(own_pieces))]
+        assert [a for a, _ in sorted(own_pieces)] == ends[:-1] and ends[-1] <= 2048
+
+
 def test_pipeline_edges(spark, tmp_path):
     import corpus_pipeline as own
 

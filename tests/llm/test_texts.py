@@ -61,6 +61,28 @@ def test_held_out_accuracy(spark, data):
     assert (held.lang_pred == held.lang).mean() > 0.97 and found.score.between(0, 1).all()
 
 
+def test_profiles_match_plain_counts(spark):
+    """Profiles rank the n-grams of all learned documents, counted plainly."""
+
+    def code(gram):
+        out = 0
+        for c in gram:
+            out = out << 20 | (0 if c == "_" else ord(c))
+        return out | {1: 0, 2: 1 << 60, 3: 1 << 61}[len(gram)]
+
+    rows = [(k, prose(k, 20) if k % 2 else "xyz zyx " * (k % 5 + 1), ["b", "a"][k % 2] if k % 7 else None) for k in range(60)] + [(None, "never learned", "a"), (77, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    profiles = langid.fit_profiles(docs, limit=50)
+    for row, lang in enumerate(profiles.languages):
+        counts = Counter()
+        for doc_id, text, own in rows:
+            if own == lang and doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5:
+                counts.update(plain_grams(text or ""))
+        expected = sorted((-n, code(g)) for g, n in counts.items())[:50]
+        found = sorted((rank, gram) for gram, rank in zip(profiles.grams.tolist(), profiles.ranks[row].tolist()) if rank >= 0)
+        assert [g for _, g in found] == [g for _, g in expected]
+
+
 def test_language_edges(spark):
     docs, rows = awkward(spark)
     found = langid.identify(docs, langid.fit_profiles(docs)).collect()
