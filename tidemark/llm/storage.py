@@ -118,8 +118,7 @@ def row_bytes(kind: T.DataType, items: int = 0) -> int:
 
 def fits(df: DataFrame, limit: int = BROADCAST_BYTES, items: int = 0) -> bool:
     """Whether the table's counted rows stay under so many bytes."""
-    width = row_bytes(df.schema, items)
-    return df.limit(limit // width + 1).count() * width <= limit
+    return df.count() * row_bytes(df.schema, items) <= limit
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
