@@ -289,9 +289,9 @@ def test_lines_of_all_lengths(spark, broadcast_bytes, chunk_lines):
         lines = []
         for _ in range(rng.randrange(1, 5)):
             words = rng.choice(pool).split(" ")
-            for _ in range(rng.randrange(0, 4)):
+            for _ in range(rng.randrange(0, 4) if words else 0):
                 at = rng.randrange(len(words))
-                words[at : at + rng.randrange(2)] = rng.choice([[], ["new"], [words[at] + "x"], [words[at][:-1]], [words[at] + " " + "more"]])
+                words[at : at + rng.randrange(2)] = rng.choice([[words[at]], ["new"], [words[at] + "x"], [words[at][:-1]], [words[at] + " " + "more"], [] if len(words) > 1 else ["one"]])
             lines.append(" ".join(words))
         rows.append((rng.choice([None, 5, 6, k + 100]), "\n".join(lines)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)

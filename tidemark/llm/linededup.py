@@ -160,6 +160,7 @@ def within_edits(left: Column, right: Column, threshold: int) -> Column:
     mark rows that are one more or one less than the row above, already moved
     to the next column's window.  The distance follows the window's lower edge
     down the diagonal and, once that has passed the last row, the last row.
+    Equal beginnings and ends are left out first.
     """
     bits = 2 * threshold + 1
     full = (1 << bits) - 1
@@ -210,7 +211,21 @@ def within_edits(left: Column, right: Column, threshold: int) -> Column:
         places = F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(places, start, step)["distance"]
 
-    found = let(left, lambda rows: let(right, lambda columns: distance(rows, columns)))
+    def agree(x: Column, y: Column) -> Column:
+        """How many first items are equal."""
+        differs = F.array_position(F.zip_with(x, y, lambda a, b: a == b), F.lit(False))
+        return let(differs, lambda at: F.when(at > 0, at - 1).otherwise(F.least(F.size(x), F.size(y)))).cast("int")
+
+    def cut_front(x: Column, y: Column, use) -> Column:
+        def without(n: Column) -> Column:
+            return let(F.slice(x, n + 1, F.size(x) - n), lambda a: let(F.slice(y, n + 1, F.size(y) - n), lambda b: use(a, b)))
+
+        return let(agree(x, y), without)
+
+    def turned(x: Column, y: Column) -> Column:
+        return let(F.reverse(x), lambda a: let(F.reverse(y), lambda b: cut_front(a, b, distance)))
+
+    found = let(left, lambda rows: let(right, lambda columns: cut_front(rows, columns, turned)))
     return F.when(F.abs(F.size(left) - F.size(right)) <= threshold, found <= threshold).otherwise(F.lit(False))
 
 

@@ -250,7 +250,7 @@ def with_groups(stats: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
 def _distances(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
     """Each vector under each estimate of its group, with the step of its distance."""
     placed = met(rows, now.select("group", "start", *ESTIMATE), ["group"], few)
-    return placed.select("group", "start", *STATISTICS, F.floor(F.log(distance() + 1e-9) * STEPS_A_UNIT).alias("step"))
+    return placed.select("row", "group", "start", *STATISTICS, F.floor(F.log(distance() + 1e-9) * STEPS_A_UNIT).alias("step"))
 
 
 def starts(rows: DataFrame) -> DataFrame:
@@ -328,8 +328,10 @@ def _group(*names: str) -> Column:
 def judge(documents: DataFrame, reject: float = REJECT, least_group: int = LEAST_GROUP) -> DataFrame:
     """doc_id, counts, base_failed, distance and kept of every document."""
     stats = materialize(vector(base_statistics(documents)), "statistics")
-    grouped = materialize(with_groups(stats, least_group).drop("lang", "source"), "statistics", done=[stats])
-    rows = grouped.where(~F.col("base_failed") & F.col("group").isNotNull()).select("group", *STATISTICS)
+    # a number of its own lets equal rows of a group be dealt apart
+    numbered = with_groups(stats, least_group).drop("lang", "source").withColumn("row", F.monotonically_increasing_id())
+    grouped = materialize(numbered, "statistics", done=[stats])
+    rows = grouped.where(~F.col("base_failed") & F.col("group").isNotNull()).select("row", "group", *STATISTICS)
     fitted = fit_groups(rows)
     out = met(grouped, fitted, ["group"], fits(fitted), "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi_square(1 - reject, _P))

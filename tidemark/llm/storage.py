@@ -132,11 +132,15 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 def met(rows: DataFrame, table: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
     """``rows`` joined with the ``table`` of one row a key: by broadcast if it
-    is ``few``, else with the rows of each key dealt over ``SALTS`` tasks."""
+    is ``few``, else with the rows of each key dealt over ``SALTS`` tasks.
+
+    Rows are dealt by a hash of all their columns, so that a task that is run
+    again deals them alike.
+    """
     if few:
         return rows.join(F.broadcast(table), keys, how)
     salt, = unused(rows, "salt")
-    dealt = rows.withColumn(salt, F.floor(F.rand(7) * SALTS).cast("int"))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(copies, [*keys, salt], how).drop(salt)
 
