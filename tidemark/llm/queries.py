@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, fingerprint, langid, linededup, ngram_join, packing, pii, quality, quotes, urlfilter
+from tidemark.llm.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +24,8 @@ def vocabulary() -> str:
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's messages quote nothing; two of three are made to."""
-    return quotes.thread_conversations(quotes.quoting(_table(spark, sf_dir, "conversations")))
+    made = materialize(quotes.quoting(_table(spark, sf_dir, "conversations")), "quoting")
+    return quotes.thread_conversations(made)
 
 
 def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
