@@ -5,7 +5,9 @@ numbers.  A bidirectional LSTM over characters with a CRF on top, trained here
 in numpy from labelled spans, adds spans in forms that the patterns miss (a
 phone number without +, an address with spaces about its @).  Its tags obey
 the CRF's transitions, and every span must hold a digit or an @, so windows
-without either decode to no span and are not computed.
+without either decode to no span and are not computed.  A decoded span must be
+of its kind (digits of a card pass Luhn, parts of an address are at most 255);
+of one that is not, the longest runs of words that are stay candidates.
 
 Texts are covered by overlapping windows on a fixed grid.  A span shorter than
 the stride lies inside of some window; a window's spans that touch an end of
@@ -36,6 +38,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +50,9 @@ from tidemark.llm.storage import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, TRAIN_CHARS = 160, 80, 80
-HIDDEN, EMBED = 24, 12
-TRAIN_WINDOWS, CONTEXT_TEXTS, CONTEXT_CHARS = 6000, 400, 1000
-BATCH, STEPS, SEED = 64, 420, 20
+HIDDEN, EMBED = 32, 12
+TRAIN_WINDOWS, CONTEXT_TEXTS, CONTEXT_CHARS = 8000, 400, 1000
+BATCH, STEPS, SEED = 64, 600, 20
 
 #: Tags: 0 is outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
@@ -145,31 +148,37 @@ class Network:
             w[f"bias_{way}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
         return Network(w)
 
-    def _run(self, inputs: np.ndarray, way: str, keep: list | None) -> np.ndarray:
-        """Hidden states (steps, batch, HIDDEN) of one direction, in input order."""
-        w, steps, count = self.weights, len(inputs), inputs.shape[1]
-        ahead = inputs @ w[f"in_{way}"] + w[f"bias_{way}"]
-        hidden, cell = np.zeros((count, HIDDEN), np.float32), np.zeros((count, HIDDEN), np.float32)
-        out = np.empty((steps, count, HIDDEN), np.float32)
-        for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            z = ahead[t] + hidden @ w[f"rec_{way}"]
-            gates, fresh = _sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
-            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-            before, old = cell, hidden
-            cell = f * before + i * fresh
+    def _both(self, name: str) -> np.ndarray:
+        return np.stack([self.weights[f"{name}_f"], self.weights[f"{name}_b"]])
+
+    def _run(self, inputs: np.ndarray, keep: dict | None) -> np.ndarray:
+        """Hidden states (steps, batch, 2 * HIDDEN) of both directions, which
+        run side by side, the second one from the end."""
+        steps, count = inputs.shape[:2]
+        turned = np.stack([inputs, inputs[::-1]], axis=1)
+        ahead = np.matmul(turned, self._both("in")) + self._both("bias")[:, None, :]
+        rec = self._both("rec")
+        hidden, cell = np.zeros((2, count, HIDDEN), np.float32), np.zeros((2, count, HIDDEN), np.float32)
+        out = np.empty((steps, 2, count, HIDDEN), np.result_type(hidden, rec))
+        trace = []
+        for t in range(steps):
+            z = ahead[t] + np.matmul(hidden, rec)
+            gates, fresh = _sigmoid(z[..., : 3 * HIDDEN]), np.tanh(z[..., 3 * HIDDEN :])
+            before = cell
+            cell = gates[..., HIDDEN : 2 * HIDDEN] * before + gates[..., :HIDDEN] * fresh
             squashed = np.tanh(cell)
-            out[t] = hidden = o * squashed
+            out[t] = hidden = gates[..., 2 * HIDDEN :] * squashed
             if keep is not None:
-                keep.append((t, i, f, o, fresh, before, squashed, old))
-        return out
+                trace.append((gates, fresh, before, squashed))
+        if keep is not None:
+            keep.update(turned=turned, out=out, trace=trace)
+        return np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
 
     def scores(self, chars: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Tag scores (steps, batch, TAGS) of windows of symbols (batch, steps)."""
-        inputs = self.weights["embed"][chars.T]
-        traces = {"f": None, "b": None} if keep is None else {"f": [], "b": []}
-        states = np.concatenate([self._run(inputs, way, traces[way]) for way in ("f", "b")], axis=2)
+        states = self._run(self.weights["embed"][chars.T], keep)
         if keep is not None:
-            keep.update(inputs=inputs, traces=traces, states=states)
+            keep["states"] = states
         return states @ self.weights["out"] + self.weights["out_bias"]
 
     def gradients(self, chars: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -177,26 +186,32 @@ class Network:
         kept: dict = {}
         scores = self.scores(chars, kept)
         loss, d_scores, d_move = crf_loss(scores, self.weights["move"] + ALLOWED, tags.T)
-        w, states = self.weights, kept["states"]
-        grads = {"move": d_move, "out": np.einsum("tbh,tbk->hk", states, d_scores), "out_bias": d_scores.sum((0, 1))}
-        d_states, d_inputs = d_scores @ w["out"].T, np.zeros_like(kept["inputs"])
-        for way, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
-            d_hidden = np.zeros(states[0, :, :HIDDEN].shape, np.float32)
-            d_cell, d_z = np.zeros_like(d_hidden), np.empty((*states.shape[:2], 4 * HIDDEN), np.float32)
-            d_rec = np.zeros_like(w[f"rec_{way}"])
-            for t, i, f, o, fresh, before, squashed, old in reversed(kept["traces"][way]):
-                d_hidden = d_hidden + d_states[t, :, part]
-                d_cell = d_cell + d_hidden * o * (1 - squashed**2)
-                z = d_z[t]
-                z[:, :HIDDEN] = d_cell * fresh * i * (1 - i)
-                z[:, HIDDEN : 2 * HIDDEN] = d_cell * before * f * (1 - f)
-                z[:, 2 * HIDDEN : 3 * HIDDEN] = d_hidden * squashed * o * (1 - o)
-                z[:, 3 * HIDDEN :] = d_cell * i * (1 - fresh**2)
-                d_rec += old.T @ z
-                d_hidden, d_cell = z @ w[f"rec_{way}"].T, d_cell * f
-            grads[f"rec_{way}"], grads[f"bias_{way}"] = d_rec, d_z.sum((0, 1))
-            grads[f"in_{way}"] = np.einsum("tbe,tbz->ez", kept["inputs"], d_z)
-            d_inputs += d_z @ w[f"in_{way}"].T
+        w, states, out, turned = self.weights, kept["states"], kept["out"], kept["turned"]
+        flat = d_scores.reshape(-1, TAGS)
+        grads = {"move": d_move, "out": states.reshape(-1, 2 * HIDDEN).T @ flat, "out_bias": flat.sum(0)}
+        d_states = d_scores @ w["out"].T
+        d_out = np.stack([d_states[..., :HIDDEN], d_states[::-1, :, HIDDEN:]], axis=1)
+        back = self._both("rec").transpose(0, 2, 1)
+        d_hidden = d_cell = np.zeros_like(out[0])
+        d_z = np.empty((*out.shape[:3], 4 * HIDDEN), out.dtype)
+        for t in range(len(out) - 1, -1, -1):
+            gates, fresh, before, squashed = kept["trace"][t]
+            i, f, o = gates[..., :HIDDEN], gates[..., HIDDEN : 2 * HIDDEN], gates[..., 2 * HIDDEN :]
+            d_hidden = d_hidden + d_out[t]
+            d_cell = d_cell + d_hidden * o * (1 - squashed**2)
+            z = d_z[t]
+            z[..., :HIDDEN] = d_cell * fresh * i * (1 - i)
+            z[..., HIDDEN : 2 * HIDDEN] = d_cell * before * f * (1 - f)
+            z[..., 2 * HIDDEN : 3 * HIDDEN] = d_hidden * squashed * o * (1 - o)
+            z[..., 3 * HIDDEN :] = d_cell * i * (1 - fresh**2)
+            d_hidden, d_cell = np.matmul(z, back), d_cell * f
+        old = np.concatenate([np.zeros_like(out[:1]), out[:-1]])
+        d_inputs = np.zeros_like(turned[:, 0])
+        for k, way in enumerate("fb"):
+            own = d_z[:, k].reshape(-1, 4 * HIDDEN)
+            grads[f"rec_{way}"], grads[f"bias_{way}"] = old[:, k].reshape(-1, HIDDEN).T @ own, own.sum(0)
+            grads[f"in_{way}"] = turned[:, k].reshape(-1, EMBED).T @ own
+            d_inputs = d_inputs + (d_z[:, k] @ w[f"in_{way}"].T)[:: 1 - 2 * k]
         grads["embed"] = np.zeros_like(w["embed"])
         np.add.at(grads["embed"], chars.T.ravel(), d_inputs.reshape(-1, EMBED))
         return loss, grads
@@ -276,20 +291,26 @@ def _card_digits(rng: np.random.Generator, n: int) -> str:
 
 def labelled_value(rng: np.random.Generator, kind: int) -> str:
     """A value of the kind, in one of its usual or looser forms."""
-    form = rng.integers(0, 6)
+
+    def one(*choices):
+        return choices[rng.integers(0, len(choices))]
+
     if kind == 0:
-        local = _word(rng) + ["", f".{_word(rng)}", _digits(rng, 2), f".{_digits(rng, 2)}", f"_{_word(rng)}", ""][rng.integers(0, 6)]
-        host = _word(rng) + ["", _digits(rng, 1), f".{_word(rng)}"][rng.integers(0, 3)]
-        at, dot = [("@", "."), ("@", "."), ("@", "."), (" @ ", "."), (" @ ", " . "), ("@ ", ".")][form]
-        return f"{local}{at}{host}{dot}{['com', 'org', 'net', 'example.com', 'de', 'fr'][rng.integers(0, 6)]}"
+        local = _word(rng) + one("", "", f".{_word(rng)}", _digits(rng, 2), f".{_digits(rng, 2)}", f"_{_word(rng)}", f"-{_word(rng)}")
+        host = one("", f"{_word(rng)}.") + _word(rng) + one("", "", _digits(rng, 1), f"-{_word(rng)}")
+        top = one("com", "org", "net", "example.com", "de", "fr", _word(rng, 2, 5), _word(rng, 2, 5), f"{_word(rng, 2, 4)}.{_word(rng, 2, 3)}")
+        at, dot = one(("@", "."), ("@", "."), ("@", "."), (" @ ", "."), (" @ ", " . "), ("@ ", "."), (" @", "."))
+        return f"{local}{at}{host}{dot}{top}"
     if kind == 1:
-        return [".", ".", ".", ".", " . ", "[.]"][form].join(map(str, rng.integers(1, 255, 4)))
+        return one(".", ".", ".", ".", " . ", "[.]").join(map(str, rng.integers(1, 255, 4)))
     if kind == 2:
-        digits = _card_digits(rng, 16)
-        gap = ["", "", " ", "-", ".", "/"][form]
-        return gap.join(digits[i : i + 4] for i in range(0, 16, 4))
+        digits, gap = _card_digits(rng, one(16, 16, 16, 15)), one("", " ", " ", "-", ".", "/", "_")
+        cuts = [0, 4, 8, 12, 16] if len(digits) == 16 else [0, 4, 10, 15]
+        return gap.join(digits[i:j] for i, j in zip(cuts, cuts[1:]))
     area, first, last = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-    return [f"+1 ({area}) {first}-{last}", f"+{rng.integers(1, 99)} {area} {first} {last}", f"({area}) {first}-{last}", f"{area}-{first}-{last}", f"1-{area}-{first}-{last}", f"+1.{area}.{first}.{last}"][form]
+    gap = one("-", "-", " ", ".")
+    number = one(f"{area}{gap}{first}{gap}{last}", f"({area}) {first}{gap}{last}", f"({area}){first}{gap}{last}")
+    return one("", "", "+1 ", "1-", "+1.", f"+{rng.integers(1, 99)} ") + number
 
 
 def look_alike(rng: np.random.Generator) -> str:
@@ -327,7 +348,7 @@ def training_windows(contexts: list[str], count: int, rng: np.random.Generator)
             around = " ".join(_word(rng) for _ in range(20))
         text, marks, used = "", [], 0
         for _ in range(rng.integers(1, 4)):
-            step = int(rng.integers(0, 30))
+            step = int(rng.integers(0, 30)) if rng.random() < 0.75 else 0  # values may stand side by side
             text += around[used : used + step]
             marks += [0] * (len(text) - len(marks))
             used += step
@@ -432,6 +453,20 @@ def _valid(text: str, kind: int) -> bool:
     return 7 <= digits <= 15 and not re.search(r"[^0-9 ()+./-]", text)
 
 
+#: Code points of a part of a span that cannot be of its kind as a whole.
+MOST_PART = 120
+
+
+def _valid_parts(text: str, kind: int) -> Iterator[tuple[int, int]]:
+    """From each word of the text the longest run of words that can be of the kind."""
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    for i, (a, _) in enumerate(words):
+        ends = [b for _, b in takewhile(lambda w: w[1] - a <= MOST_PART, words[i : i + MOST_PART])]
+        best = next((b for b in reversed(ends) if _valid(text[a:b], kind)), None)
+        if best is not None:
+            yield a, best
+
+
 def reconcile(candidates: list[tuple[float, Span]]) -> list[Span]:
     """Disjoint spans of the greatest total score; ties go to earlier spans."""
     best: dict[Span, float] = {}
@@ -473,9 +508,14 @@ def learned_spans(texts: list[str], net: Network, batch: int = 256) -> list[list
     move = net.weights["move"] + ALLOWED
 
     def closed(row: int, span: Span, score: float) -> None:
-        value = texts[row][span[0] : span[1]]
-        if score > 0 and _TRIGGER.search(value) and _valid(value, span[2]):
+        start, end, kind = span
+        value = texts[row][start:end]
+        if score <= 0 or not _TRIGGER.search(value):
+            return
+        if _valid(value, kind):
             found[row].append((score, span))
+        else:  # values side by side may be tagged as one
+            found[row].extend((score * (b - a) / len(value), (start + a, start + b, kind)) for a, b in _valid_parts(value, kind))
 
     for a in range(0, len(places), batch):
         part = places[a : a + batch]
