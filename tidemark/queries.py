@@ -395,7 +395,8 @@ def snapshot_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watermark, progress and ids that a stopped and resumed run saved, as they are loaded."""
     state = load_state(spark, f"{_logged(spark, sf_dir, {'stop_after': STOP}, {})}/snapshot")
-    return state.seen.agg(F.lit(state.top).alias("max_event_time_seen"), F.lit(state.processed).alias("max_ingest_seq_processed"), F.lit(state.offset).alias("read_up_to"), F.count(F.lit(1)).alias("n_seen"))
+    values = {"max_event_time_seen": state.top, "max_ingest_seq_processed": state.processed, "read_up_to": state.offset}
+    return state.seen.agg(*[F.lit(v).cast("bigint").alias(k) for k, v in values.items()], F.count(F.lit(1)).alias("n_seen"))
 
 
 @_register("SELECT 'outputs' AS log, true AS same UNION ALL SELECT 'drops', true")
