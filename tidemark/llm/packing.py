@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,8 @@ def pack_lengths(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
 
 def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False, blocks: int = 0) -> DataFrame:
     """Pieces of at most ``window`` ids; with ``keep_ids`` also the ids, with
-    ``blocks`` also the block that each piece is dealt to."""
+    ``blocks`` also the block that each piece is dealt to (and the ids as bytes,
+    which move at less cost)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: Counter = Counter()
@@ -123,11 +125,11 @@ def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id:
                     crc.append(zlib.crc32(piece.tobytes()))
                     total.append(len(ids))
                     if keep_ids:
-                        own.append(piece.astype(np.int32))
+                        own.append(piece.tobytes() if blocks else piece.astype(np.int32))
             columns = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if keep_ids:
-                columns, names = [*columns, pa.array(own, pa.list_(pa.int32()))], [*names, "ids"]
+                columns, names = [*columns, pa.array(own, pa.binary() if blocks else pa.list_(pa.int32()))], [*names, "ids"]
             if blocks:
                 block = []
                 for key in zip(doc, start, crc):
@@ -138,30 +140,47 @@ def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id:
                 columns, names = [*columns, pa.array(block, pa.int64())], [*names, "block"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(documents.select("doc_id", "text"), run, PIECE_SCHEMA + (", ids array<int>" if keep_ids else "") + (", block bigint" if blocks else ""))
+    kinds = [", ids binary" if blocks else ", ids array<int>"] if keep_ids else []
+    return map_batches(documents.select("doc_id", "text"), run, PIECE_SCHEMA + "".join(kinds) + (", block bigint" if blocks else ""))
+
+
+def _as_lists(column: pa.Array) -> pa.Array:
+    """Lists of ids from their bytes."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    values = np.frombuffer(data, np.int32)[ends[0] : ends[-1]] if ends[-1] else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(values))
+
+
+#: Pieces of a block's remainders that leave a worker at once.
+_SENT = 512
 
 
 def pack_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, block_pieces: int = BLOCK_PIECES, keep_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset; padding follows each sequence's last piece."""
     pieces = cut_documents(documents, path, window, end_id, keep_ids, blocks=max(1, math.ceil(documents.count() / block_pieces)))
-    names = [c for c in pieces.columns if c != "block"]
-    schema = pieces.select(*names).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    schema = PIECE_SCHEMA + (", ids array<int>" if keep_ids else "") + ", sequence_id bigint, offset bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         block, used = None, 0
 
-        def placed(rows: pa.Table, sequence: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
-            out = rows.drop_columns(["block"]).append_column("sequence_id", pa.array(np.int64(block << 32) + sequence)).append_column("offset", pa.array(offset))
-            yield from out.combine_chunks().to_batches()
+        def placed(rows: pa.RecordBatch, sequence: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
+            named = {n: c for n, c in zip(rows.schema.names, rows.columns) if n != "block"}
+            if keep_ids:
+                named["ids"] = _as_lists(named["ids"])
+            return pa.RecordBatch.from_pydict({**named, "sequence_id": pa.array(np.int64(block << 32) + sequence), "offset": pa.array(offset)})
 
         def packed() -> Iterator[pa.RecordBatch]:
             """The block's remainders, which come after its whole windows."""
             if held:
-                rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-                sequence, offset, _ = pack_lengths(rows["length"].to_numpy(), window)
-                yield from placed(rows, sequence + used, offset)
+                rows = pa.Table.from_batches(held).combine_chunks()
                 held.clear()
+                order = pc.sort_indices(rows, [("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+                sequence, offset, _ = pack_lengths(rows["length"].take(order).to_numpy(), window)
+                for a in range(0, len(order), _SENT):
+                    part = rows.take(order[a : a + _SENT]).combine_chunks().to_batches()[0]
+                    yield placed(part, used + sequence[a : a + _SENT], offset[a : a + _SENT])
 
         for batch in batches:
             blocks, lengths = batch.column(batch.schema.get_field_index("block")).to_numpy(), batch.column(2).to_numpy()
@@ -174,11 +193,11 @@ def pack_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id
                     block, used = int(blocks[a]), 0
                 part = batch.slice(a, b - a)
                 if lengths[a] == window:
-                    yield from placed(pa.Table.from_batches([part]), used + np.arange(b - a), np.zeros(b - a, np.int64))
+                    yield placed(part, used + np.arange(b - a), np.zeros(b - a, np.int64))
                     used += b - a
                 else:
                     held.append(part)
         yield from packed()
 
     dealt = pieces.repartition("block").sortWithinPartitions("block", (F.col("length") < window))
-    return map_batches(dealt, run, schema + ", sequence_id bigint, offset bigint")
+    return map_batches(dealt, run, schema)
