@@ -97,12 +97,13 @@ def quote_links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, text_hash, level, origin_conv and origin_turn of each
     quoted passage; the origin is null if no message wrote it."""
     known = messages.where("conv_id is not null and turn is not null")
-    quoting = known.where(F.contains("text", F.lit(">"))).select("conv_id", "turn", F.xxhash64("text").alias("text_hash"), F.explode(passages(F.col("text"))).alias("p"))
-    quotes = materialize(quoting.where("p.level > 0").select("conv_id", "turn", "text_hash", F.col("p.level").alias("level"), *_digest(F.col("p.body"))).distinct(), "quotes")
+    parsed = known.select("conv_id", "turn", F.xxhash64("text").alias("text_hash"), F.explode(passages(F.col("text"))).alias("p"))
+    parsed = materialize(parsed.select("conv_id", "turn", "text_hash", F.col("p.level").alias("level"), *_digest(F.col("p.body"))), "passages")
+    quotes = materialize(parsed.where("level > 0").distinct(), "quotes")
     wanted = materialize(quotes.select(*_HASH).distinct(), "quoted")
-    written = known.select("conv_id", "turn", F.explode(passages(F.col("text"))).alias("p")).where("p.level = 0").select("conv_id", "turn", *_digest(F.col("p.body")))
+    written = parsed.where("level = 0").select("conv_id", "turn", *_HASH)
     here = met(written, wanted.withColumn("asked", F.lit(True)), _HASH, fits(wanted)).groupBy(*_HASH, "conv_id").agg(F.min("turn").alias("turn"))
-    here = materialize(here, "written", done=[wanted])
+    here = materialize(here, "written", done=[wanted, parsed])
     writer = F.struct("conv_id", "turn")
     first = materialize(here.groupBy(*_HASH).agg(F.min(writer).alias("first")), "first-writers")
     few = fits(first)
