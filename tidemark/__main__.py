@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
             command.add_argument("--stop-after", type=int, default=0)
             command.add_argument("--snapshot-every", type=int, default=0)
             command.add_argument("--use-snapshot", type=_truth, default=True)
+            command.add_argument("--contributors", type=_truth, default=True, help="whether each output line holds its contributors; the reader makes those that are left out")
             command.add_argument("--append-logs", type=_truth, default=None, help="append when a run goes on from a snapshot, unless this says otherwise")
         else:
             command.add_argument("--work-dir", required=True)
@@ -44,7 +45,7 @@ def main(arguments: list[str] | None = None) -> int:
     config = EngineConfig(TumblingWindow(own.window_size_micros), own.out_of_orderness_bound_micros)
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
     if own.command == "run":
-        run_log(spark, own.event_log, own.output_log, own.drops_log, config, own.snapshot_dir, own.stop_after, own.snapshot_every, own.use_snapshot, own.append_logs)
+        run_log(spark, own.event_log, own.output_log, own.drops_log, config, own.snapshot_dir, own.stop_after, own.snapshot_every, own.use_snapshot, own.append_logs, own.contributors)
         return 0
     same = replay_check(spark, own.event_log, own.work_dir, config, own.crash_after)
     for name, equal in same.items():

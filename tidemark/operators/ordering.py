@@ -87,10 +87,16 @@ def final_state(observed: DataFrame, config: EngineConfig) -> DataFrame:
     return top.select("max_event_time_seen", (F.col("max_event_time_seen") - config.bound).alias("watermark"), "max_ingest_seq_processed")
 
 
+def ends(observed: DataFrame, config: EngineConfig, every: int) -> list[int]:
+    """ingest_seq of each ``every``-th arrival that is no duplicate."""
+    placed = running(observed.where("first").select("event_id", "ingest_seq", "block"), [], "block", ["ingest_seq", "event_id"], {"place": ("sum", F.lit(1).cast("bigint"), True)})
+    return sorted(r[0] for r in placed.where(F.col("place") % every == 0).select("ingest_seq").collect())
+
+
 def up_to(arrivals: DataFrame, count: int, seen: DataFrame | None = None) -> DataFrame:
     """Arrivals up to the ``count``-th that is no duplicate, by ingest_seq."""
     firsts = arrivals.groupBy("event_id").agg(F.min("ingest_seq").alias("ingest_seq"))
     if seen is not None:
         firsts = firsts.join(seen.select("event_id"), "event_id", "left_anti")
-    last = firsts.orderBy("ingest_seq").limit(count).agg(F.max("ingest_seq"), F.count(F.lit(1))).first()
+    last = firsts.select("ingest_seq").orderBy("ingest_seq").limit(count).agg(F.max("ingest_seq"), F.count(F.lit(1))).first()
     return arrivals if last[1] < count else arrivals.where(F.col("ingest_seq") <= last[0])

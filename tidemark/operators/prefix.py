@@ -19,6 +19,14 @@ from pyspark.sql.window import Window
 MOST_CUTS = 1024
 
 
+def segment(bounds: Sequence[int], column: str) -> Column:
+    """Place of the last of the ascending ``bounds`` that is not over the
+    value of a long column; 0 if there is none."""
+    found, value = F.lit(list(bounds)).cast("array<bigint>"), F.col(column)
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(found, at + s) <= value, F.lit(False)), at + s).otherwise(at))
+
+
 def value_blocks(df: DataFrame, column: str, block_rows: int) -> Column:
     """Block number of a long column: by its quantiles, and by even ranges
     between two of them, about ``block_rows`` rows each.
@@ -35,14 +43,12 @@ def value_blocks(df: DataFrame, column: str, block_rows: int) -> Column:
     found = sorted({low, *(max(low, int(x)) for x in df.approxQuantile(column, shares, 0.1 / cuts))})
     parts = -(-wanted // cuts)
     widths = [max(1, -(-(after - own) // parts)) for own, after in zip(found, [*found[1:], found[-1] + 1])]
-    bounds, value = F.lit(found).cast("array<bigint>"), F.col(column)
-    steps = F.array(*[F.lit(1 << k) for k in range(len(found).bit_length() - 1, -1, -1)])
-    segment = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(bounds, at + s) <= value, F.lit(False)), at + s).otherwise(at))
+    bounds, own = F.lit(found).cast("array<bigint>"), segment(found, column)
     if parts == 1:
-        return segment.cast("bigint")
-    inside = F.coalesce(F.try_subtract(value, F.get(bounds, segment)), F.lit(2**63 - 1))
-    part = F.least(F.call_function("div", inside, F.get(F.lit(widths).cast("array<bigint>"), segment)), F.lit(parts - 1).cast("bigint"))
-    return segment * parts + part
+        return own.cast("bigint")
+    inside = F.coalesce(F.try_subtract(F.col(column), F.get(bounds, own)), F.lit(2**63 - 1))
+    part = F.least(F.call_function("div", inside, F.get(F.lit(widths).cast("array<bigint>"), own)), F.lit(parts - 1).cast("bigint"))
+    return own * parts + part
 
 
 def _combined(kind: str, before: Column, own: Column) -> Column:

@@ -9,7 +9,7 @@ is only made when asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,7 +38,7 @@ def revision_log(accepted: DataFrame, config: EngineConfig, contributors: bool =
         before = windows.select(*WINDOW, F.col("value").alias("_value"), F.col("version").alias("_version"), F.col("contributors").alias("_ids"))
         totals = totals.join(before, WINDOW, "left").withColumns({"total": F.col("total") + F.coalesce("_value", F.lit(0)), "version": F.col("version") + F.coalesce("_version", F.lit(0))})
         if contributors:
-            totals = totals.withColumn("contributors", F.array_sort(F.concat(F.coalesce("_ids", F.array().cast("array<string>")), "contributors")))
+            totals = totals.withColumn("contributors", F.sort_array(F.concat(F.coalesce("_ids", F.array().cast("array<string>")), "contributors")))
     reason = F.when(F.col("version") == 1, INITIAL).when(F.col("out_of_order"), LATE_UPDATE).otherwise(CORRECTION)
     old = F.when(F.col("version") > 1, F.col("total") - F.col("value"))
     more = ["contributors"] if contributors else []
@@ -54,7 +54,21 @@ def _with_contributors(totals: DataFrame) -> DataFrame:
     earlier = Window.partitionBy(*WINDOW).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(*WINDOW, "block", F.flatten(F.collect_list("_all").over(earlier)).alias("_before"))
     joined = local.join(before, [*WINDOW, "block"])
-    return joined.withColumn("contributors", F.array_sort(F.concat("_before", "_own"))).drop("_own", "_before")
+    return joined.withColumn("contributors", F.sort_array(F.concat("_before", "_own"))).drop("_own", "_before")
+
+
+def restore_contributors(records: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
+    """Output records with the contributors that they were written without:
+    the triggers of their window's versions up to their own.
+
+    A window whose earlier versions are not all there is an error.
+    """
+    named = [F.coalesce(F.col(f"window_id.{c}"), F.raise_error(F.lit(f"record with window {c} missing")).cast(kind)).alias(c) for c, kind in zip(WINDOW, ("string", "bigint", "bigint"))]
+    flat = records.select("*", *named, F.col("trigger_event_id").alias("event_id"), F.call_function("div", F.col("version") - 1, F.lit(block_rows)).alias("block"))
+    found = _with_contributors(flat.withColumnRenamed("contributors", "_given"))
+    wrong = F.raise_error(F.concat(F.lit("record with earlier versions missing: "), F.col("version").cast("string"))).cast("array<string>")
+    whole = F.when(F.size("contributors") == F.col("version"), F.col("contributors")).otherwise(wrong)
+    return found.withColumn("contributors", F.coalesce("_given", whole)).select(*records.columns)
 
 
 def contributor_changes(revisions: DataFrame) -> DataFrame:
@@ -85,9 +99,9 @@ def output_records(revisions: DataFrame) -> DataFrame:
     return revisions.select(F.struct(*WINDOW).alias("window_id"), "value", "version", "contributors", "reason", "trigger_event_id", diff.alias("diff"))
 
 
-def causal_index(revisions: DataFrame) -> DataFrame:
+def causal_index(revisions: DataFrame, *more: Column) -> DataFrame:
     """What each version of each window was caused by."""
-    return revisions.select(*WINDOW, "version", "trigger_event_id", F.array("trigger_event_id").alias("added_event_ids"), F.array().cast("array<string>").alias("removed_event_ids"))
+    return revisions.select(*WINDOW, "version", "trigger_event_id", F.array("trigger_event_id").alias("added_event_ids"), F.array().cast("array<string>").alias("removed_event_ids"), *more)
 
 
 def explain(index: DataFrame, key: str, start: int, end: int, version: int) -> DataFrame:
@@ -95,18 +109,24 @@ def explain(index: DataFrame, key: str, start: int, end: int, version: int) -> D
     return index.where((F.col("key") == key) & (F.col("start") == start) & (F.col("end") == end) & (F.col("version") == version))
 
 
-def window_state(accepted: DataFrame, config: EngineConfig, contributors: bool = False, windows: DataFrame | None = None) -> DataFrame:
+def window_state(accepted: DataFrame, config: EngineConfig, contributors: bool = False, windows: DataFrame | None = None, each: tuple[str, ...] = ()) -> DataFrame:
     """Value, version (and contributors) of every window after the last event.
 
-    ``windows`` has the state of windows that were revised before.
+    ``windows`` has the state of windows that were revised before.  With
+    columns ``each``, what the rows of each of their values add to a window.
     """
     placed = assign_windows(accepted, config.window)
     more = [F.collect_set("event_id").alias("contributors")] if contributors else []
-    made = placed.groupBy(*WINDOW).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("version"), *more)
+    made = placed.groupBy(*WINDOW, *each).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("version"), *more)
     if windows is not None:
-        made = made.unionByName(windows.select(*made.columns)).groupBy(*WINDOW)
-        made = made.agg(F.sum("value").alias("value"), F.sum("version").alias("version"), *([F.flatten(F.collect_list("contributors")).alias("contributors")] if contributors else []))
-    return made.withColumn("contributors", F.array_sort("contributors")) if contributors else made
+        return summed(made.unionByName(windows.select(*made.columns)))
+    return made.withColumn("contributors", F.sort_array("contributors")) if contributors else made
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """State of windows from what several runs added to each."""
+    more = [F.sort_array(F.flatten(F.collect_list("contributors"))).alias("contributors")] if "contributors" in parts.columns else []
+    return parts.groupBy(*WINDOW).agg(F.sum("value").alias("value"), F.sum("version").alias("version"), *more)
 
 
 def reason_counts(revisions: DataFrame) -> DataFrame:

@@ -5,9 +5,15 @@ order and nulls kept, in one folder for each offset that a run started from:
 a run that is repeated after a crash replaces what it wrote before.  Read
 back, records are held against their schema and the values of their enums.
 
-A snapshot is a chain of versions.  Each holds the windows and the watermark's
-and the progress marker's values as they are then, and the ids and causal
-records that it added; its list of versions names those it builds on.
+Contributors in each output record make a log that grows with the square of a
+window's events.  A log may be written without: ``contributors`` is null, the
+lines are compressed, and ``read_outputs`` makes them from what each version
+added.
+
+A snapshot is a chain of versions.  Each holds the watermark's and the progress
+marker's values as they are then, and what it added to the windows, ids and
+causal records; its list of versions names those it builds on.  Versions that
+one pass saved share a folder, where ``saved`` tells them apart.
 """
 
 from __future__ import annotations
@@ -20,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ordering import DUPLICATE, LATE
-from tidemark.operators.revisions import CORRECTION, INITIAL, LATE_UPDATE
-from tidemark.sources.shared import delete, exists
+from tidemark.operators.revisions import CORRECTION, INITIAL, LATE_UPDATE, restore_contributors
+from tidemark.sources.shared import delete, exists, touch
 
 WINDOW_ID = "window_id struct<key:string,start:bigint,end:bigint>"
 OUTPUT = f"{WINDOW_ID}, value bigint, version bigint, contributors array<string>, reason string, trigger_event_id string, diff struct<old_value:bigint,new_value:bigint,added_event_ids:array<string>,removed_event_ids:array<string>>"
@@ -42,9 +48,19 @@ def as_json(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_log(records: DataFrame, path: str, offset: int | None = None) -> None:
+def write_log(records: DataFrame, path: str, offset: int | None = None, compression: str = "none") -> None:
     """The records of a run that started after ``offset``."""
-    as_json(records).write.mode("overwrite").text(f"{path}/from={'start' if offset is None else offset}")
+    as_json(records).write.mode("overwrite").text(f"{path}/from={'start' if offset is None else offset}", compression=compression)
+
+
+#: A file that says that records of a log were written without contributors.
+_LEAN = "_without_contributors"
+
+
+def write_lean_outputs(records: DataFrame, path: str, offset: int | None = None) -> None:
+    """The same of output records that have no contributors."""
+    touch(records.sparkSession, f"{path}/{_LEAN}")
+    write_log(records, path, offset, "gzip")
 
 
 def clear_log(spark: SparkSession, path: str) -> None:
@@ -72,9 +88,11 @@ def _checked(records: DataFrame, required: list[str], enum: str, values: list[st
     return records.select(*[or_fail(c).alias(c) if c in required else F.col(c) for c in records.columns])
 
 
-def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+def read_outputs(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Output records; if not ``whole``, contributors only where lines hold them."""
     required = ["value", "version", "reason", "trigger_event_id"]
-    return _checked(read_log(spark, path, OUTPUT), required, "reason", [INITIAL, LATE_UPDATE, CORRECTION])
+    found = _checked(read_log(spark, path, OUTPUT), required, "reason", [INITIAL, LATE_UPDATE, CORRECTION])
+    return restore_contributors(found) if whole and exists(spark, f"{path}/{_LEAN}") else found
 
 
 def read_drops(spark: SparkSession, path: str) -> DataFrame:
@@ -82,20 +100,21 @@ def read_drops(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Tables of a snapshot that hold what a version added; the others are whole.
-ADDED = ("seen", "causal")
+ADDED = ("seen", "windows", "causal")
 
 
-def write_snapshot(tables: dict[str, DataFrame], folder: str, after: list[str]) -> list[str]:
-    """Write the tables as a version that builds on the versions ``after``,
-    then point to it; the versions that it builds on, with its own.
+def write_snapshot(tables: dict[str, DataFrame], folder: str, after: list[str], count: int = 1) -> list[str]:
+    """Write the tables as ``count`` versions, one for each number of their
+    column ``saved`` from 0, that build on the versions ``after``, then point
+    to the last; the versions that it builds on, with its own.
 
-    The pointer is written last, so a crash leaves the version before it.
+    The pointer is written last, so a crash leaves the version before them.
     """
-    version = uuid.uuid4().hex
+    pass_id = uuid.uuid4().hex
     for name, table in tables.items():
-        table.write.parquet(f"{folder}/{version}/{name}")
+        table.write.parquet(f"{folder}/{pass_id}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    chain = [*after, version]
+    chain = [*after, *[f"{pass_id}-{n}" for n in range(count)]]
     moment = spark.range(1).select(F.lit(len(chain)).alias("length"), F.current_timestamp().alias("at"), F.array(*map(F.lit, chain)).alias("versions"))
     moment.coalesce(1).write.mode("append").parquet(f"{folder}/versions")
     return chain
@@ -107,8 +126,15 @@ def read_snapshot(spark: SparkSession, folder: str, names: list[str]) -> tuple[d
     if not exists(spark, f"{folder}/versions"):
         return None
     chain = spark.read.parquet(f"{folder}/versions").orderBy(F.desc("at")).first()["versions"]
+    last = {}  # of each pass, in order
+    for version in chain:
+        pass_id, number = version.split("-")
+        last[pass_id] = int(number)
     found = {}
     for name in names:
-        parts = [spark.read.parquet(f"{folder}/{v}/{name}") for v in (chain if name in ADDED else chain[-1:])]
-        found[name] = reduce(DataFrame.unionByName, parts)
+        if name in ADDED:
+            parts = [spark.read.parquet(f"{folder}/{p}/{name}").where(F.col("saved") <= n) for p, n in last.items()]
+        else:
+            parts = [spark.read.parquet(f"{folder}/{pass_id}/{name}").where(F.col("saved") == int(number))]
+        found[name] = reduce(DataFrame.unionByName, parts).drop("saved")
     return found, list(chain)

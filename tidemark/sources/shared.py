@@ -23,6 +23,13 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file; one that is there stays."""
+    target, files = _path(spark, path)
+    if not files.exists(target):
+        files.create(target).close()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the session's checkpoint folder; in a temporary one only in local mode."""
     context = spark.sparkContext
