@@ -6,11 +6,13 @@ import shutil
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from tests.test_engine import EXAMPLE, GOLDEN, SECOND, many, write_log
+from tests.test_engine import EXAMPLE, GOLDEN, SCHEMA, SECOND, many, write_log
 from tidemark import queries as engine
 from tidemark.config import EngineConfig, TumblingWindow
-from tidemark.plans.pipeline import load_state, run_log
+from tidemark.operators.revisions import changed, mark_contributors
+from tidemark.plans.pipeline import RevisionRun, load_state, run_log
 from tidemark.sources.logs import read_outputs
 
 WIDE = EngineConfig(TumblingWindow(1000 * SECOND), 1000 * SECOND)
@@ -47,3 +49,18 @@ def test_lean_log_needs_all_versions(spark, tmp_path):
     shutil.rmtree(tmp_path / "outputs/from=start")
     with pytest.raises(Exception, match="earlier versions missing"):
         read_outputs(spark, str(tmp_path / "outputs")).collect()
+
+
+def test_changes_without_sets(spark, data):
+    """Change detection moves no sets of contributors, and marks emit what sets do."""
+    plan = engine.queries()["change_detection"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    run = RevisionRun(WIDE, spark.createDataFrame(many(), SCHEMA))
+    columns = ["key", "start", "end", "version", "value", "contributors"]
+    found = []
+    for own in (run.revisions(contributors=True), mark_contributors(run.revisions())):
+        own = own.select(*columns)
+        again = own.where("version % 3 = 2").withColumn("version", F.col("version") + 1)
+        emitted = changed(own.where("version % 3 > 0").unionByName(again))
+        found.append(sorted(tuple(r) for r in emitted.select(*columns[:4]).collect()))
+    assert found[0] == found[1] and len(found[0]) > 20

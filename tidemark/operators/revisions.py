@@ -80,10 +80,21 @@ def contributor_changes(revisions: DataFrame) -> DataFrame:
     return both.withColumns({"added": F.array_sort(F.array_except("contributors", "_before")), "removed": F.array_sort(F.array_except("_before", "contributors"))}).drop("_before")
 
 
+def mark_contributors(revisions: DataFrame) -> DataFrame:
+    """``revisions`` of one log with a mark of each version's contributors.
+
+    A version adds its own event, which no other version of its window has, and
+    removes nothing: a window's sets are nested, so those of one size are equal
+    and the size, the version number, is the mark.
+    """
+    return revisions.withColumn("contributors", F.col("version"))
+
+
 def changed(candidates: DataFrame) -> DataFrame:
     """Candidates (with contributors) that differ from the one before in value
     or contributors; only these are emitted.
 
+    Contributors may be the sets or marks that are equal where the sets are.
     A candidate made by an accepted event always adds it, so ``revision_log``
     emits every one; this is for candidates made otherwise.
     """
