@@ -12,8 +12,10 @@ from tests.test_engine import EXAMPLE, GOLDEN, SCHEMA, SECOND, many, write_log
 from tidemark import queries as engine
 from tidemark.config import EngineConfig, TumblingWindow
 from tidemark.operators.revisions import changed, mark_contributors
+from tidemark.plans import pipeline
 from tidemark.plans.pipeline import RevisionRun, _same, load_state, replay_check, run_log
 from tidemark.sources.logs import read_outputs
+from tidemark.sources.shared import scratch
 
 WIDE = EngineConfig(TumblingWindow(1000 * SECOND), 1000 * SECOND)
 
@@ -74,3 +76,13 @@ def test_replay_in_lean_logs(spark, tmp_path):
         assert all('"contributors":null' in r.value for r in spark.read.text(str(tmp_path / f"w/{name}/outputs")).collect())
     one = spark.createDataFrame([("a", 1), ("a", 1), ("b", None)], "x string, y bigint")
     assert _same(one, one.orderBy("x")) and not _same(one, one.distinct()) and not _same(one, one.where("x = 'a'"))
+
+
+@pytest.mark.parametrize("name", ["drop_log_scan"])
+def test_queries_write_lean_logs(spark, data, monkeypatch, name):
+    """Queries that read other files of a run write no sets of contributors on the way."""
+    folders = []
+    monkeypatch.setattr(engine, "scratch", lambda s, label: folders.append(scratch(s, label)) or folders[-1])
+    engine.queries()[name](spark, data)
+    lines = spark.read.text(f"{folders[-1]}/outputs")
+    assert lines.count() == lines.where(F.col("value").contains('"contributors":null')).count() > 100
