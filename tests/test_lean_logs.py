@@ -78,7 +78,7 @@ def test_replay_in_lean_logs(spark, tmp_path):
     assert _same(one, one.orderBy("x")) and not _same(one, one.distinct()) and not _same(one, one.where("x = 'a'"))
 
 
-@pytest.mark.parametrize("name", ["drop_log_scan"])
+@pytest.mark.parametrize("name", ["drop_log_scan", "snapshot_state"])
 def test_queries_write_lean_logs(spark, data, monkeypatch, name):
     """Queries that read other files of a run write no sets of contributors on the way."""
     folders = []
