@@ -78,7 +78,7 @@ def test_replay_in_lean_logs(spark, tmp_path):
     assert _same(one, one.orderBy("x")) and not _same(one, one.distinct()) and not _same(one, one.where("x = 'a'"))
 
 
-@pytest.mark.parametrize("name", ["drop_log_scan", "snapshot_state"])
+@pytest.mark.parametrize("name", ["drop_log_scan", "snapshot_state", "snapshot_windows"])
 def test_queries_write_lean_logs(spark, data, monkeypatch, name):
     """Queries that read other files of a run write no sets of contributors on the way."""
     folders = []
@@ -86,3 +86,13 @@ def test_queries_write_lean_logs(spark, data, monkeypatch, name):
     engine.queries()[name](spark, data)
     lines = spark.read.text(f"{folders[-1]}/outputs")
     assert lines.count() == lines.where(F.col("value").contains('"contributors":null')).count() > 100
+
+
+def test_snapshots_are_linear(spark, tmp_path):
+    """Versions keep what they added: an id is in one of them, however many there are."""
+    log = write_log(tmp_path / "events.jsonl", many())
+    run_log(spark, *paths(log, tmp_path, WIDE), snapshot_every=5)
+    state = load_state(spark, str(tmp_path / "s"))
+    saved = spark.read.parquet(*map(str, (tmp_path / "s").glob("*/windows")))
+    assert saved.select(F.sum(F.size("contributors"))).first()[0] == 45 and len(state.versions) >= 9
+    assert sorted(i for r in state.windows.collect() for i in r.contributors) == sorted(f"E{n}" for n in range(45))
