@@ -96,3 +96,20 @@ def test_snapshots_are_linear(spark, tmp_path):
     saved = spark.read.parquet(*map(str, (tmp_path / "s").glob("*/windows")))
     assert saved.select(F.sum(F.size("contributors"))).first()[0] == 45 and len(state.versions) >= 9
     assert sorted(i for r in state.windows.collect() for i in r.contributors) == sorted(f"E{n}" for n in range(45))
+
+
+@pytest.mark.parametrize("most", [2, 256])
+def test_passes(spark, tmp_path, monkeypatch, most):
+    """A pass saves many versions; the logs and the state are those of one run whatever the passes."""
+    passes = []
+    monkeypatch.setattr(pipeline, "MOST_SAVED", most)
+    monkeypatch.setattr(pipeline, "save_state", lambda *a, save=pipeline.save_state: passes.append(a) or save(*a))
+    log = write_log(tmp_path / "events.jsonl", many())
+    run_log(spark, *paths(log, tmp_path / "a", WIDE))
+    run_log(spark, *paths(log, tmp_path / "b", WIDE), snapshot_every=6, contributors=False)
+    assert len(passes) - 1 == (1 if most == 256 else 4)
+    one, two = (sorted(map(str, read_outputs(spark, str(tmp_path / f"{x}/outputs")).collect())) for x in "ab")
+    assert one == two
+    one, two = (load_state(spark, str(tmp_path / f"{x}/s")) for x in "ab")
+    assert (one.top, one.processed, one.offset) == (two.top, two.processed, two.offset) and len(two.versions) == 8
+    assert sorted(map(str, one.windows.collect())) == sorted(map(str, two.windows.collect()))
