@@ -7,12 +7,12 @@ event time is under the watermark that it has just moved.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import BUFFERED, NO_WATERMARK, EngineConfig
-from tidemark.operators.prefix import running, value_blocks
+from tidemark.operators.prefix import Keep, running, value_blocks
 
 DUPLICATE, LATE = "DuplicateDrop", "LateDrop"
 
@@ -27,25 +27,47 @@ def order_columns(config: EngineConfig) -> list[str]:
     return ["system_time", "ingest_seq", "event_id"] if config.mode == BUFFERED else ["ingest_seq", "event_id"]
 
 
-def mark_first(arrivals: DataFrame) -> DataFrame:
-    """``first``: whether no earlier arrival has the event_id."""
+def mark_first(arrivals: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """``first``: whether no earlier arrival has the event_id, and ``seen`` has not."""
     order = Window.partitionBy("event_id").orderBy("ingest_seq", "system_time")
-    return arrivals.withColumn("first", F.row_number().over(order) == 1)
+    marked = arrivals.withColumn("first", F.row_number().over(order) == 1)
+    if seen is None:
+        return marked
+    known = seen.select("event_id", F.lit(True).alias("known"))
+    return marked.join(known, "event_id", "left").withColumn("first", F.col("first") & F.col("known").isNull()).drop("known")
 
 
-def observe(arrivals: DataFrame, config: EngineConfig, top: int | None = None, seen: DataFrame | None = None) -> DataFrame:
+def _marked_in_blocks(arrivals: DataFrame, seen: DataFrame | None, block: Column, order: list[str], keep: Keep) -> DataFrame:
+    """``mark_first``, with the rows dealt to their blocks and moved only there.
+
+    By event_id only the columns of the order are moved, and of these the
+    repeats are written.  They go to the blocks with the arrivals: of rows that
+    are equal in all these columns as many are no first ones as there are
+    repeats, and one that is left over comes before them.
+    """
+    place = [*order, *(c for c in ("ingest_seq", "system_time", "event_id") if c not in order)]
+    repeats = keep(mark_first(arrivals.select(*place), seen).where("not first").drop("first"), "repeats")
+    both = arrivals.withColumn("_again", F.lit(0)).unionByName(repeats.withColumn("_again", F.lit(1)), allowMissingColumns=True)
+    equal = Window.partitionBy("block", *place).orderBy(F.desc("_again"))
+    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    again = F.sum("_again").over(whole)
+    placed = both.withColumn("block", block).repartition("block")
+    marked = placed.withColumn("first", (F.row_number().over(equal) == again + 1) & (F.count(F.lit(1)).over(whole) > 2 * again))
+    return marked.where("_again = 0").drop("_again")
+
+
+def observe(arrivals: DataFrame, config: EngineConfig, top: int | None = None, seen: DataFrame | None = None, keep: Keep | None = None) -> DataFrame:
     """Arrivals with first, block, prev_max, watermark, out_of_order and late.
 
     ``top`` is the greatest event time, and ``seen`` has the event_ids, of what
     was processed before.  For a duplicate, ``watermark`` is the one its drop
-    record states.
+    record states.  With ``keep`` they are written on the way, and reading
+    them computes nothing twice.
     """
     order = order_columns(config)
-    marked = mark_first(arrivals).withColumn("block", value_blocks(arrivals, order[0], config.block_rows))
-    if seen is not None:
-        known = seen.select("event_id", F.lit(True).alias("known"))
-        marked = marked.join(known, "event_id", "left").withColumn("first", F.col("first") & F.col("known").isNull()).drop("known")
-    running_max = running(marked, [], "block", order, {"prev_max": ("max", F.when(F.col("first"), F.col("event_time")), False)})
+    block = value_blocks(arrivals, order[0], config.block_rows)
+    marked = mark_first(arrivals, seen).withColumn("block", block) if keep is None else _marked_in_blocks(arrivals, seen, block, order, keep)
+    running_max = running(marked, [], "block", order, {"prev_max": ("max", F.when(F.col("first"), F.col("event_time")), False)}, keep)
     seen = running_max if top is None else running_max.withColumn("prev_max", F.greatest("prev_max", F.lit(top).cast("bigint")))
     watermark = F.greatest("prev_max", "event_time") - config.bound
     if config.mode == BUFFERED:  # every duplicate is met before anything is processed

@@ -8,13 +8,16 @@ Sums, counts and maxima are associative, so the result is exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Writes a table under a name and reads it again.
+Keep = Callable[[DataFrame, str], DataFrame]
+
 #: Quantiles that the driver holds; beyond so many blocks each is split evenly.
 MOST_CUTS = 1024
 
@@ -57,20 +60,25 @@ def _combined(kind: str, before: Column, own: Column) -> Column:
     return F.coalesce(before, F.lit(0)) + F.coalesce(own, F.lit(0))
 
 
-def running(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], wanted: dict[str, tuple[str, Column, bool]]) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], wanted: dict[str, tuple[str, Column, bool]], keep: Keep | None = None) -> DataFrame:
     """``df`` with running aggregates by ``order`` within ``keys``.
 
     ``wanted`` maps a new column's name to (``sum`` or ``max``, the value, and
     whether the row itself counts).  ``block`` must not fall as ``order`` rises.
+    The totals are made before rows are dealt to blocks, so rows move once.
+    With ``keep`` the rows with their blocks' aggregates are written and read
+    again, and so are the totals; what comes back moves no rows.  The totals,
+    a row of fixed width for each block, are then broadcast.
     """
     total = {"sum": F.sum, "max": F.max}
     inside = Window.partitionBy(*keys, block).orderBy(*order)
     ends = {True: Window.currentRow, False: -1}
-    dealt = df.repartition(*keys, block)  # one exchange, read by the window and by the totals
-    local = dealt.withColumns({f"_{n}": total[kind](value).over(inside.rowsBetween(Window.unboundedPreceding, ends[own])) for n, (kind, value, own) in wanted.items()})
-    totals = dealt.groupBy(*keys, block).agg(*[total[kind](value).alias(f"_t_{n}") for n, (kind, value, _) in wanted.items()])
+    local = df.withColumns({f"_{n}": total[kind](value).over(inside.rowsBetween(Window.unboundedPreceding, ends[own])) for n, (kind, value, own) in wanted.items()})
+    if keep is not None:
+        local = df = keep(local, "rows")
+    totals = df.groupBy(*keys, block).agg(*[total[kind](value).alias(f"_t_{n}") for n, (kind, value, _) in wanted.items()])
     earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     sums = totals.select(*keys, block, *[total[kind](f"_t_{n}").over(earlier).alias(f"_b_{n}") for n, (kind, *_) in wanted.items()])
-    joined = local.join(sums, [*keys, block])
+    joined = local.join(sums if keep is None else F.broadcast(keep(sums, "blocks")), [*keys, block])
     out = joined.withColumns({n: _combined(kind, F.col(f"_b_{n}"), F.col(f"_{n}")) for n, (kind, *_) in wanted.items()})
     return out.drop(*[f"{p}_{n}" for n in wanted for p in ("", "_b")])

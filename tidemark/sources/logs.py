@@ -7,7 +7,7 @@ back, records are held against their schema and the values of their enums.
 
 Contributors in each output record make a log that grows with the square of a
 window's events.  A log may be written without: ``contributors`` is null, the
-lines are compressed, and ``read_outputs`` makes them from what each version
+lines (and those of the drops of that run) are compressed, and ``read_outputs`` makes them from what each version
 added.
 
 A snapshot is a chain of versions.  Each holds the watermark's and the progress
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.ordering import DUPLICATE, LATE
 from tidemark.operators.revisions import CORRECTION, INITIAL, LATE_UPDATE, restore_contributors
-from tidemark.sources.shared import delete, exists, touch
+from tidemark.sources.shared import delete, exists, shuffles_freed, touch
 
 WINDOW_ID = "window_id struct<key:string,start:bigint,end:bigint>"
 OUTPUT = f"{WINDOW_ID}, value bigint, version bigint, contributors array<string>, reason string, trigger_event_id string, diff struct<old_value:bigint,new_value:bigint,added_event_ids:array<string>,removed_event_ids:array<string>>"
@@ -50,7 +50,8 @@ def as_json(records: DataFrame) -> DataFrame:
 
 def write_log(records: DataFrame, path: str, offset: int | None = None, compression: str = "none") -> None:
     """The records of a run that started after ``offset``."""
-    as_json(records).write.mode("overwrite").text(f"{path}/from={'start' if offset is None else offset}", compression=compression)
+    with shuffles_freed(records.sparkSession):
+        as_json(records).write.mode("overwrite").text(f"{path}/from={'start' if offset is None else offset}", compression=compression)
 
 
 #: A file that says that records of a log were written without contributors.
@@ -112,7 +113,8 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str, after: list[str],
     """
     pass_id = uuid.uuid4().hex
     for name, table in tables.items():
-        table.write.parquet(f"{folder}/{pass_id}/{name}")
+        with shuffles_freed(table.sparkSession):
+            table.write.parquet(f"{folder}/{pass_id}/{name}", compression="zstd")
     spark = next(iter(tables.values())).sparkSession
     chain = [*after, *[f"{pass_id}-{n}" for n in range(count)]]
     moment = spark.range(1).select(F.lit(len(chain)).alias("length"), F.current_timestamp().alias("at"), F.array(*map(F.lit, chain)).alias("versions"))

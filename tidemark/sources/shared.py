@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +44,23 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """In here a query's shuffle files go when it ends; else they stay until
+    the driver happens to collect its garbage.  Spark before 4.1 keeps them."""
+    own = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, own)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written once and read again."""
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.mode("overwrite").parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
